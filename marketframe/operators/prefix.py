@@ -51,11 +51,11 @@ def prefix_totals(df: DataFrame, keys: list[str], levels: list[str], value: str,
                 .rowsBetween(Window.unboundedPreceding, -1)
             level = level.withColumn("_lb", F.min("_mm").over(before))
             if low is None:
-                low = level.select(*names, F.col("_lb").alias("_low"))
+                low = level.select(*names, F.col("_lb").alias("_lowbefore"))
             else:
-                low = level.join(low, names[:-1]).select(*names, F.least("_lb", "_low").alias("_low"))
+                low = level.join(low, names[:-1]).select(*names, F.least("_lb", "_lowbefore").alias("_lowbefore"))
         table = table.join(low, [*keys, *levels[:-1]])
     out = out.join(table, [*keys, *levels[:-1]]).withColumn(total, F.col("_in") + F.col("_offset"))
     if lowest:
-        out = out.withColumn(lowest, F.least(F.col("_lo") + F.col("_offset"), "_low"))
-    return out.drop("_in", "_lo", "_offset", "_low")
+        out = out.withColumn(lowest, F.least(F.col("_lo") + F.col("_offset"), "_lowbefore"))
+    return out.drop("_in", "_lo", "_offset", "_lowbefore")

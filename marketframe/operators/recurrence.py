@@ -6,6 +6,7 @@ whole history: windows span one block, and the table of block states has one row
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,44 +25,42 @@ class Ewm:
 
 def block_length(alpha: float) -> int:
     """Longest block whose scaling q^-j stays below 1e60."""
-    import math
     return max(8, min(256, int(60 * math.log(10) / -math.log(1 - alpha))))
 
 
 def ewm(df: DataFrame, specs: list[Ewm], keys=("asset_id",), order: str = "ts") -> DataFrame:
-    """Add one column per spec. The mean starts at the first non-null value; later nulls are not supported."""
-    import math
+    """Add one column per spec. Each mean starts at the first non-null value.
+
+    The values of one call must be null on the same rows, and nulls may only lead.
+    """
     keys = list(keys)
-    w = ordered(keys, order)
     block = min(block_length(s.alpha) for s in specs)
-    out = df
-    for i, s in enumerate(specs):
-        out = out.withColumn(f"_k{i}", F.count(s.value).over(running(w)) - 1)
-    for i, s in enumerate(specs):
-        out = out.withColumn(f"_b{i}", F.floor(F.col(f"_k{i}") / block))
-    states = None
-    for i, s in enumerate(specs):
-        q = 1 - s.alpha
-        j = F.col(f"_k{i}") % block
-        weight = F.when(F.col(f"_k{i}") == 0, 1.0).otherwise(s.alpha)
-        inside = Window.partitionBy(*keys, f"_b{i}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_l{i}", F.when(F.col(f"_k{i}") >= 0, F.sum(
-            weight * F.col(s.value) * F.pow(F.lit(q), -j)).over(inside) * F.pow(F.lit(q), j)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    by_block = ordered(keys, "_b")
+    j = F.pmod(F.col("_k"), F.lit(block))
+    df = df.withColumn("_k", F.count(specs[0].value).over(running(ordered(keys, order))) - 1)
+    df = df.withColumn("_b", F.floor(F.col("_k") / block))
+    weighted = {}
     for i, s in enumerate(specs):
-        q = 1 - s.alpha
-        ends = (out.where((F.col(f"_k{i}") >= 0) & (F.col(f"_k{i}") % block == block - 1))
-                .select(*keys, (F.col(f"_b{i}") + 1).alias(f"_b{i}"), F.col(f"_l{i}").alias("_end")))
-        depth = max(1, math.ceil(math.log(LAST_BITS) / (block * math.log(q))))
-        by_block = ordered(keys, f"_b{i}")
-        carry = F.col("_end")
+        q = F.lit(1 - s.alpha)
+        weight = F.when(F.col("_k") == 0, 1.0).otherwise(s.alpha)
+        weighted[f"_l{i}"] = F.when(F.col("_k") >= 0, F.sum(weight * F.col(s.value) * F.pow(q, -j)).over(inside)
+                                    * F.pow(q, j))
+    df = df.withColumns(weighted)
+    names = list(weighted)
+    ends = df.where((F.col("_k") >= 0) & (j == block - 1)).select(
+        *keys, (F.col("_b") + 1).alias("_b"), *[F.col(n).alias(f"_e{n}") for n in names])
+    carries = {}
+    for s, n in zip(specs, names):
+        depth = max(1, math.ceil(math.log(LAST_BITS) / (block * math.log(1 - s.alpha))))
+        carry = F.col(f"_e{n}")
         for back in range(1, depth):
-            carry = carry + F.coalesce(F.lag("_end", back).over(by_block), F.lit(0.0)) * (q ** (block * back))
-        states = ends.select(*keys, f"_b{i}", carry.alias(f"_c{i}"))
-        out = out.join(states, [*keys, f"_b{i}"], "left")
-        out = out.withColumn(s.out, F.col(f"_l{i}") + F.coalesce(F.col(f"_c{i}"), F.lit(0.0))
-                             * F.pow(F.lit(q), F.col(f"_k{i}") % block + 1))
-    drop = [f"_{c}{i}" for i in range(len(specs)) for c in "kblc"]
-    return out.drop(*drop)
+            carry = carry + F.coalesce(F.lag(f"_e{n}", back).over(by_block), F.lit(0.0)) * (1 - s.alpha) ** (block * back)
+        carries[f"_c{n}"] = carry
+    df = df.join(ends.withColumns(carries).drop(*[f"_e{n}" for n in names]), [*keys, "_b"], "left")
+    for s, n in zip(specs, names):
+        df = df.withColumn(s.out, F.col(n) + F.coalesce(F.col(f"_c{n}"), F.lit(0.0)) * F.pow(F.lit(1 - s.alpha), j + 1))
+    return df.drop("_k", "_b", *names, *carries)
 
 
 def trailing_ewm(df: DataFrame, column: str, alpha: float, value: str, n: int, out: str, w=None) -> DataFrame:

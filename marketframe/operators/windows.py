@@ -56,7 +56,7 @@ def shifted_signal(df: DataFrame, raw: str = "raw", out: str = "signal", w: Wind
     return df.withColumn(out, F.lag(raw, 1, 0).over(w or by_asset()).cast("long"))
 
 
-def state_changes(df: DataFrame, event: str, initial: str = "FLAT", out: str = "direction",
+def state_changes(df: DataFrame, event: str = "event", initial: str = "FLAT", out: str = "direction",
                   w: WindowSpec | None = None) -> DataFrame:
     """Rows where the held state changes; `event` is the state asked for on this row, null for 'keep'."""
     held = df.withColumn("_state", F.coalesce(F.last(event, ignorenulls=True).over(running(w)), F.lit(initial)))

@@ -95,7 +95,7 @@ def main():
     queries, oracles = load()
     wanted = [q for q in queries if not args or any(q == a or (a.endswith("*") and q.startswith(a[:-1])) for a in args)]
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(path)
     bad = []
     for name in wanted:
