@@ -70,7 +70,7 @@ def drawdown_episodes(curves: DataFrame, key: str = "portfolio_id", threshold: f
 def rolling_sharpe(curves: DataFrame, key: str = "portfolio_id", n: int = 252, rf: float = RISK_FREE) -> DataFrame:
     w = ordered(key)
     df = with_returns(curves, [key]).withColumn("_x", F.col("ret") - rf / TRADING_DAYS)
-    value = roll(F.avg, "_x", n, w) / roll(F.stddev_samp, "_x", n, w) * root_year()
+    value = roll(F.avg, "_x", n, w) / F.nullif(roll(F.stddev_samp, "_x", n, w), F.lit(0.0)) * root_year()
     return df.withColumn("rolling_sharpe", F.coalesce(value, F.lit(0.0))).where("ret IS NOT NULL")
 
 
@@ -108,8 +108,8 @@ def report_rolling_sharpe(curves: DataFrame, key: str = "portfolio_id", longest:
     n = F.col("_n")
     total = F.col("_s") - F.coalesce("_ps", F.lit(0.0))
     square = F.col("_q") - F.coalesce("_pq", F.lit(0.0))
-    sd = F.sqrt((square - total * total / n) / (n - 1))
-    return df.withColumn("rolling_sharpe", total / n / sd * root_year()).select(key, "ts", "rolling_sharpe")
+    sd = F.sqrt(F.greatest(square - total * total / n, F.lit(0.0)) / (n - 1))
+    return df.withColumn("rolling_sharpe", total / n / F.nullif(sd, F.lit(0.0)) * root_year()).select(key, "ts", "rolling_sharpe")
 
 
 def aligned_returns(curves: DataFrame, benchmark: DataFrame, key: str = "portfolio_id") -> DataFrame:
@@ -139,7 +139,7 @@ def attribution(aligned: DataFrame, key: str = "portfolio_id", least: int = 30)
         F.regr_r2(s, b).alias("r_squared"), F.avg(s).alias("_ms"), F.avg(b).alias("_mb"),
         F.regr_syy(s, b).alias("_syy"), F.regr_sxx(s, b).alias("_sxx")).where(F.col("_n") >= least)
     residual = F.col("_syy") * (1 - F.col("r_squared")) / (F.col("_n") - 2)
-    error = F.sqrt(residual * (1 / F.col("_n") + F.col("_mb") * F.col("_mb") / F.col("_sxx")))
+    error = F.sqrt(residual * (1 / F.col("_n") + F.col("_mb") * F.col("_mb") / F.nullif(F.col("_sxx"), F.lit(0.0))))
     return agg.select(key, (F.col("_ms") * 252).alias("total_annual_return"),
                       (F.col("beta") * F.col("_mb") * 252).alias("market_contribution"),
                       (F.col("_a") * 252).alias("alpha_contribution"), "beta", "r_squared",

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketframe.functions.stats import rnd
 from marketframe.operators.asof import asof_join
-from marketframe.operators.windows import by_asset, log_return, ordered, pct_change, roll, row_index
+from marketframe.operators.windows import by_asset, log_return, pct_change, roll
 
 
 def with_exogenous(bars: DataFrame, series: DataFrame, series_id: str, name: str = "vix") -> DataFrame:
@@ -62,7 +63,7 @@ def iv_rank(df: DataFrame, n: int = 252) -> DataFrame:
 def vix_regime(bars: DataFrame, vix: str = "vix") -> DataFrame:
     """Bands of the 20-observation mean, the confidence multiplier, and an alert when the extreme band is entered."""
     w = by_asset()
-    df = bars.where(F.col(vix).isNotNull()).withColumn("avg20", F.coalesce(roll(F.avg, vix, 20), F.col(vix)))
+    df = bars.where(F.col(vix).isNotNull()).withColumn("avg20", rnd(F.coalesce(roll(F.avg, vix, 20), F.col(vix)), 8))
     df = df.withColumn("regime", F.when(F.col("avg20") > 35, "HIGH_VOL_EXTREME").when(F.col("avg20") > 25, "HIGH_VOL")
                        .otherwise("LOW_VOL"))
     extreme = F.col("regime") == "HIGH_VOL_EXTREME"

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "marketframe") -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
                .config("spark.driver.memory", "12g")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
