@@ -18,9 +18,10 @@ def priced(df: DataFrame, s="s", k="strike", t="t", r="rate", v="iv", call="righ
     for step in (opt.cdf_columns(s, k, t, r, v), opt.cdf_values()):
         for name, text in step.items():
             df = df.withColumn(name, F.expr(text))
-    df = df.withColumn("price", F.expr(opt.price(s, k, t, r, v, call)))
-    df = df.withColumns({name: F.expr(text) for name, text in opt.greeks(s, k, t, r, v, call).items()})
-    return df.drop("d1", "d2", "n1", "n2")
+    # emitted by a generator: a filter on the price then stays above it instead of repeating the whole formula below
+    values = {"price": opt.price(s, k, t, r, v, call), **opt.greeks(s, k, t, r, v, call)}
+    block = F.array(F.struct(*[F.expr(text).cast("double").alias(name) for name, text in values.items()]))
+    return df.select("*", F.inline(block)).drop("d1", "d2", "n1", "n2")
 
 
 def generate_chain(underlyings: DataFrame, dtes=EXPIRATIONS, width: float = 0.20, steps: int = 10) -> DataFrame:
