@@ -218,3 +218,16 @@ def mark_to_market(spark, d):
     return holdings.mark_to_market(positions, m.bars(), "1998-06-30").select(
         "strategy_id", "asset_id", "quantity", rnd("current_price").alias("current_price"),
         rnd("market_value", 4).alias("market_value"))
+
+
+@query("positions_avg_cost", """WITH RECURSIVE n AS MATERIALIZED (
+      SELECT *, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS q, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY ts, order_id) AS rn FROM fills),
+    f AS (SELECT portfolio_id, order_id, rn, q AS pos, fill_price AS cost, 0.0::DOUBLE AS pnl FROM n WHERE rn = 1 UNION ALL
+      SELECT n.portfolio_id, n.order_id, n.rn, f.pos + q,
+        CASE WHEN f.pos + q = 0 THEN 0 WHEN f.pos = 0 OR f.pos * (f.pos + q) < 0 THEN fill_price WHEN f.pos * q > 0 THEN (f.cost * ABS(f.pos) + fill_price * ABS(q)) / ABS(f.pos + q) ELSE f.cost END,
+        CASE WHEN f.pos * q < 0 THEN LEAST(ABS(f.pos), ABS(q)) * (fill_price - f.cost) * SIGN(f.pos) ELSE 0 END
+      FROM f JOIN n ON n.portfolio_id = f.portfolio_id AND n.rn = f.rn + 1)
+    SELECT portfolio_id, order_id, pos AS position, R4(cost) AS average_cost, R4(pnl) AS realized_pnl FROM f""")
+def positions_avg_cost(spark, d):
+    return blotter.average_cost(Market(spark, d).fills()).select(
+        "portfolio_id", "order_id", "position", rnd("average_cost", 4).alias("average_cost"), rnd("realized_pnl", 4).alias("realized_pnl"))

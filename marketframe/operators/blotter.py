@@ -98,3 +98,27 @@ def daily_flow(fills: DataFrame) -> DataFrame:
     return fills.groupBy("strategy_id", "ts").agg(
         F.sum(signed() * F.col("fill_price")).alias("signed_value"), F.sum("commission").alias("commission"),
         F.countDistinct("portfolio_id").alias("n_positions"), F.count(F.lit(1)).alias("n_fills"))
+
+
+def average_cost(fills: DataFrame) -> DataFrame:
+    """Position, average cost and realised profit after every fill, per portfolio in (ts, order_id) order.
+
+    Adding to a position averages the cost, reducing it leaves the cost alone, opening or flipping it restarts at the
+    fill price. Given the position (a running sum) the cost is a linear recurrence, so both scale past one task.
+    """
+    from marketframe.operators.affine import affine_scan
+    from marketframe.session import durable
+    levels = ["ts", "_range", "order_id"]
+    df = fills.withColumns({"_q": signed(), "_range": id_block("order_id")})
+    df = prefix_totals(df, ["portfolio_id"], levels, "_q", "position")
+    old, new, q = F.col("_old"), F.col("position"), F.col("_q")
+    df = durable(df.withColumn("_old", F.col("position") - F.col("_q")))
+    opens = (old == 0) | (old * new < 0)
+    adds = old * q > 0
+    df = df.withColumns({"_mul": F.when(opens, 0.0).when(adds, F.abs(old) / F.abs(new)).otherwise(1.0),
+                         "_add": F.when(opens, F.col("fill_price")).when(adds, F.col("fill_price") * F.abs(q) / F.abs(new)).otherwise(0.0)})
+    df = affine_scan(df, ["portfolio_id"], levels, "_mul", "_add", "_before", "average_cost")
+    closed = F.when(old * q < 0, F.least(F.abs(old), F.abs(q))).otherwise(0.0)
+    return df.withColumns({
+        "realized_pnl": closed * (F.col("fill_price") - F.col("_before")) * F.signum(old),
+        "average_cost": F.when(new == 0, 0.0).otherwise(F.col("average_cost"))}).drop("_q", "_range", "_old", "_mul", "_add", "_before")

@@ -36,8 +36,8 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     count = positions.groupBy("asset_id").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_groups"))
     left = positions.join(count, "asset_id").withColumn(
         "_g", F.pmod(F.xxhash64("position_id"), F.col("_groups").cast("long")).cast("int")).drop("_groups")
-    right = bars.select("asset_id", "ts", "high", "low", "close").join(count, "asset_id").withColumn(
-        "_g", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    copies = count.select(F.col("asset_id").alias("_asset"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_copy"))
+    right = bars.select(F.col("asset_id").alias("_asset"), "ts", "high", "low", "close").join(copies, "_asset")
 
     def run(pos, bar):
         import numpy as np
@@ -74,6 +74,5 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
                              "exit_ts": bar["ts"].to_numpy()[out_bar[hit]], "reason": reason[hit], "level": level[hit],
                              "exit_price": close[out_bar[hit]]})
 
-    keys = ["asset_id", "_g"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    return left.groupBy("asset_id", "_g").cogroup(right.groupBy("_asset", "_copy")).applyInPandas(
         run, "position_id string, asset_id string, exit_ts date, reason string, level double, exit_price double")
