@@ -5,10 +5,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
-              values: list[str], inclusive: bool = True, block: str | None = None) -> DataFrame:
+              values: list[str], inclusive: bool = True, block: str | None = None,
+              seq: str | None = None) -> DataFrame:
     """For every left row the right values with the latest right_time <= left_time (< when not inclusive).
 
-    Right times must be unique per key. Without `block` one task sees one key, which is fine for panels bounded by the
+    Right times must be unique per key; `seq` names a column of both sides that orders rows of the same time. Without `block` one task sees one key, which is fine for panels bounded by the
     calendar. For unbounded left sides give a truncation unit ('month', 'week', 'day'): work is then split by
     (key, block), and a small table of last values per block carries the state across block borders, so a key with a
     third of all rows is spread over as many tasks as it has blocks.
@@ -16,27 +17,29 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     payload = F.struct(*[F.col(v) for v in values])
     names = [c for c in left.columns]
     left_rows = left.select(*keys, F.struct(*names).alias("_row"), F.col(left_time).alias("_t"),
+                            (F.col(seq) if seq else F.lit(0)).alias("_seq"),
                             F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_value"),
                             F.lit(1 if inclusive else -1).alias("_side"))
     right_rows = right.select(*keys, F.lit(None).cast(left_rows.schema["_row"].dataType).alias("_row"),
-                              F.col(right_time).alias("_t"), payload.alias("_value"), F.lit(0).alias("_side"))
+                              F.col(right_time).alias("_t"), (F.col(seq) if seq else F.lit(0)).alias("_seq"), payload.alias("_value"), F.lit(0).alias("_side"))
     parts = list(keys)
     both = left_rows.unionByName(right_rows)
     if block:
         tag = F.date_trunc(block, F.col("_t")).alias("_block")
         parts.append("_block")
-        ends = (right_rows.groupBy(*keys, tag).agg(F.max_by("_value", "_t").alias("_end"))
+        ends = (right_rows.groupBy(*keys, tag).agg(F.max_by("_value", F.struct("_t", "_seq")).alias("_end"))
                 .unionByName(left_rows.select(*keys, tag, F.lit(None).cast(both.schema["_value"].dataType).alias("_end"))
                              .dropDuplicates([*keys, "_block"])))
-        ends = ends.groupBy(*keys, "_block").agg(F.max("_end").alias("_end"))
+        ends = ends.groupBy(*keys, "_block").agg(F.first("_end", ignorenulls=True).alias("_end"))
         before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         carried = (ends.withColumn("_value", F.last("_end", ignorenulls=True).over(before))
                    .where(F.col("_value").isNotNull())
                    .select(*keys, F.lit(None).cast(left_rows.schema["_row"].dataType).alias("_row"),
-                           F.col("_block").cast(both.schema["_t"].dataType).alias("_t"), "_value",
+                           F.col("_block").cast(both.schema["_t"].dataType).alias("_t"),
+                           F.lit(None).cast(both.schema["_seq"].dataType).alias("_seq"), "_value",
                            F.lit(-2).alias("_side"), "_block"))
         both = both.withColumn("_block", F.date_trunc(block, F.col("_t"))).unionByName(carried)
-    w = Window.partitionBy(*parts).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*parts).orderBy("_t", "_seq", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return (both.withColumn("_value", F.last("_value", ignorenulls=True).over(w))
             .where(F.col("_row").isNotNull())
             .select("_row.*", *[F.col(f"_value.{v}").alias(v) for v in values]))

@@ -1,8 +1,9 @@
 """Fills: ledger, round trips, average cost, slippage, commission and fill prices."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from marketframe.operators.asof import asof_join
 from marketframe.operators.holdings import signed
 from marketframe.operators.prefix import id_block, prefix_totals
 from marketframe.operators.windows import by_asset, roll
@@ -13,8 +14,7 @@ def ledger(fills: DataFrame, start_cash: float = 0.0) -> DataFrame:
     qty = signed()
     df = fills.withColumns({"signed_qty": qty, "cash_effect": -qty * F.col("fill_price") - F.col("commission"),
                             "_range": id_block("order_id")})
-    df = prefix_totals(df, ["portfolio_id"], ["ts", "_range", "order_id"], "cash_effect", "cash")
-    df = prefix_totals(df, ["portfolio_id"], ["ts", "_range", "order_id"], "signed_qty", "position")
+    df = prefix_totals(df, ["portfolio_id"], ["ts", "_range", "order_id"], {"cash_effect": "cash", "signed_qty": "position"})
     return df.withColumn("cash", F.col("cash") + start_cash).drop("_range")
 
 
@@ -23,21 +23,23 @@ def round_trips(fills: DataFrame) -> DataFrame:
 
     The number of open buys is a balance that never falls below zero, so it is the running sum of +1/-1 less its running
     minimum. A sell that lowers the balance to d-1 closes the buy that last raised it to d, and those two are neighbours
-    among the rows of level d: every nested trip is found with windows, none with a stack.
+    among the rows of level d: every nested trip is found with sorted neighbours, none with a stack.
     """
     df = fills.withColumns({"_step": F.when(F.col("side") == "BUY", 1).otherwise(-1), "_range": id_block("order_id")})
-    df = prefix_totals(df, ["portfolio_id"], ["ts", "_range", "order_id"], "_step", "_sum", lowest="_lowest")
+    df = prefix_totals(df, ["portfolio_id"], ["ts", "_range", "order_id"], {"_step": "_sum"}, lowest="_lowest")
     open_now = F.col("_sum") - F.least(F.lit(0), F.col("_lowest"))
     df = df.withColumn("_level", F.when(F.col("side") == "BUY", open_now).otherwise(open_now + 1))
-    w = Window.partitionBy("portfolio_id", "_level").orderBy("ts", "order_id")
-    entry = F.lag(F.struct("side", "ts", "order_id", "fill_price", "quantity")).over(w)
-    df = df.withColumn("_entry", entry).where((F.col("side") == "SELL") & (F.col("_entry.side") == "BUY"))
-    pnl = F.col("_entry.quantity") * (F.col("fill_price") - F.col("_entry.fill_price")) - F.col("commission")
-    return df.select("portfolio_id", F.col("_entry.order_id").alias("entry_id"), F.col("order_id").alias("exit_id"),
-                     F.col("_entry.ts").alias("entry_ts"), F.col("ts").alias("exit_ts"),
-                     F.col("_entry.fill_price").alias("entry_price"), F.col("fill_price").alias("exit_price"),
-                     F.col("_entry.quantity").alias("quantity"), pnl.alias("realized_pnl"),
-                     F.datediff("ts", "_entry.ts").cast("long").alias("holding_days"))
+    # the neighbour before a sell on its level, searched by week so that a busy level is split over many tasks
+    level = df.select("portfolio_id", "_level", "ts", "order_id", "side", "fill_price", "quantity", "commission")
+    before = level.select("portfolio_id", "_level", "ts", "order_id", F.struct("side", "ts", "order_id", "fill_price", "quantity").alias("entry"))
+    sells = asof_join(level.where("side = 'SELL'"), before, ["portfolio_id", "_level"], "ts", "ts", ["entry"], inclusive=False,
+                      block="week", seq="order_id").where("entry.side = 'BUY'")
+    pnl = F.col("entry.quantity") * (F.col("fill_price") - F.col("entry.fill_price")) - F.col("commission")
+    return sells.select("portfolio_id", F.col("entry.order_id").alias("entry_id"), F.col("order_id").alias("exit_id"),
+                        F.col("entry.ts").alias("entry_ts"), F.col("ts").alias("exit_ts"),
+                        F.col("entry.fill_price").alias("entry_price"), F.col("fill_price").alias("exit_price"),
+                        F.col("entry.quantity").alias("quantity"), pnl.alias("realized_pnl"),
+                        F.datediff("ts", "entry.ts").cast("long").alias("holding_days"))
 
 
 SLIPPAGE_MODELS = ("none", "fixed_spread", "volume", "option_spread")
@@ -110,7 +112,7 @@ def average_cost(fills: DataFrame) -> DataFrame:
     from marketframe.session import durable
     levels = ["ts", "_range", "order_id"]
     df = fills.withColumns({"_q": signed(), "_range": id_block("order_id")})
-    df = prefix_totals(df, ["portfolio_id"], levels, "_q", "position")
+    df = prefix_totals(df, ["portfolio_id"], levels, {"_q": "position"})
     old, new, q = F.col("_old"), F.col("position"), F.col("_q")
     df = durable(df.withColumn("_old", F.col("position") - F.col("_q")))
     opens = (old == 0) | (old * new < 0)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketframe.operators.recurrence import Ewm, ewm
-from marketframe.operators.windows import by_asset, first_of_month, log_return, ordered, pct_change, roll, row_index
+from marketframe.operators.windows import by_asset, first_of_month, log_return, ordered, pct_change, roll, with_deviations
 
 
 def percent_rank_avg(x: str, keys: list[str]) -> Column:
@@ -92,17 +92,19 @@ def alpha_factors(bars: DataFrame, vix: DataFrame | None = None) -> DataFrame:
     root = F.sqrt(F.lit(252.0))
     df = bars.withColumns({"_r1": pct_change("close"), "_lr": log_return(), "_ch": F.col("close") - F.lag("close").over(w),
                            "_dv": F.col("volume") * F.col("close")})
+    df = with_deviations(df, "_r1", {f"_sr{p}": p for p in (5, 10, 20, 60, 120, 252)})
+    df = with_deviations(df, "_lr", {f"_sl{p}": p for p in (5, 10, 20, 60)})
     cols: dict[str, Column] = {}
     for p in (5, 10, 20, 60, 120, 252):
         cols[f"ret_{p}d"] = pct_change("close", p)
-        cols[f"mom_adj_{p}d"] = pct_change("close", p) / (roll(F.stddev_samp, "_r1", p) * root + eps)
+        cols[f"mom_adj_{p}d"] = pct_change("close", p) / (F.col(f"_sr{p}") * root + eps)
     cols["mom_12_1"] = F.lag("close", 21).over(w) / F.lag("close", 252).over(w) - 1
     for p in (1, 3, 5):
         cols[f"rev_{p}d"] = -pct_change("close", p)
     for p in (10, 20):
         cols[f"zscore_{p}d"] = (F.col("close") - roll(F.avg, "close", p)) / (roll(F.stddev_samp, "close", p) + eps)
     for p in (5, 10, 20, 60):
-        cols[f"vol_{p}d"] = roll(F.stddev_samp, "_lr", p) * root
+        cols[f"vol_{p}d"] = F.col(f"_sl{p}") * root
     cols["vol_ratio"] = F.col("volume") / (roll(F.avg, "volume", 20) + 1)
     cols["amihud_illiq"] = roll(F.avg, F.abs("_lr") / (F.col("_dv") + 1), 20)
     cols["dollar_vol_20"] = roll(F.avg, "_dv", 20)
@@ -113,7 +115,7 @@ def alpha_factors(bars: DataFrame, vix: DataFrame | None = None) -> DataFrame:
     df = df.withColumns(cols).withColumns({
         "vol_ratio_5_20": F.col("vol_5d") / (F.col("vol_20d") + eps),
         "vol_ratio_20_60": F.col("vol_20d") / (F.col("vol_60d") + eps)})
-    return df.drop("_r1", "_lr", "_dv", "_ch")
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def ewm_factors(bars: DataFrame) -> DataFrame:

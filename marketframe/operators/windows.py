@@ -39,6 +39,35 @@ def roll(agg: Callable[[Column], Column], x, n: int, w: WindowSpec | None = None
     return F.when(F.count(col).over(frame) >= (n if least is None else least), agg(col).over(frame))
 
 
+def with_means(df: DataFrame, x: str, lengths: dict[str, int], w: WindowSpec | None = None) -> DataFrame:
+    """Strict rolling means of a column without nulls, as differences of one running sum.
+
+    A sliding frame visits every row of the frame again; the running sum costs the same for any length, which pays off
+    when many or long means are taken over one panel.
+    """
+    w = w or by_asset()
+    df = df.withColumns({"_sum": F.sum(x).over(running(w)), "_at": F.row_number().over(w)})
+    means = {name: F.when(F.col("_at") >= n, (F.col("_sum") - F.coalesce(F.lag("_sum", n).over(w), F.lit(0.0))) / n)
+             for name, n in lengths.items()}
+    return df.withColumns(means).drop("_sum", "_at")
+
+
+def with_deviations(df: DataFrame, x: str, lengths: dict[str, int], w: WindowSpec | None = None) -> DataFrame:
+    """Strict rolling sample deviations from running sums of x and x*x; for values around zero such as returns.
+
+    Nulls of x may only lead (the first return of a series has none).
+    """
+    w = w or by_asset()
+    df = df.withColumns({"_s1": F.sum(x).over(running(w)), "_s2": F.sum(F.col(x) * F.col(x)).over(running(w)),
+                         "_at": F.count(x).over(running(w))})
+    out = {}
+    for name, n in lengths.items():
+        s1 = F.col("_s1") - F.coalesce(F.lag("_s1", n).over(w), F.lit(0.0))
+        s2 = F.col("_s2") - F.coalesce(F.lag("_s2", n).over(w), F.lit(0.0))
+        out[name] = F.when(F.col("_at") >= n, F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)))
+    return df.withColumns(out).drop("_s1", "_s2", "_at")
+
+
 def pct_change(x: str, k: int = 1, w: WindowSpec | None = None) -> Column:
     return F.col(x) / F.lag(x, k).over(w or by_asset()) - 1
 

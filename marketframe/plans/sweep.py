@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketframe.functions.stats import deflated_sharpe, expected_max_sharpe, expected_max_sharpe_of, lit
 from marketframe.operators.performance import summary
-from marketframe.operators.windows import ordered, roll, running
+from marketframe.operators.windows import ordered, running, with_means
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def sma_sweep_returns(panel: DataFrame, grid: SmaGrid, keys: list[str], cost: fl
     keys are extra partition columns such as a walk-forward window; signals warm up inside each partition.
     """
     w = ordered(["asset_id", *keys])
-    df = panel.withColumns({f"_m{n}": roll(F.avg, "close", n, w) for n in grid.lengths})
+    df = with_means(panel, "close", {f"_m{n}": n for n in grid.lengths}, w)
     raw = F.array(*[F.when(F.col(f"_m{f}") > F.col(f"_m{s}"), 1).otherwise(0) for f, s in grid.configs])
     df = df.withColumns({"_raw": raw, "_r": F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))})
     # a signal is delayed one bar, and executes on the bar after that
