@@ -20,7 +20,10 @@ def price(s, k, t, r, v, call, n1: str = "n1", n2: str = "n2") -> str:
 
 
 def greeks(s, k, t, r, v, call, x1: str = "d1", n1: str = "n1", n2: str = "n2") -> dict[str, str]:
-    """delta, gamma, theta per day, vega and rho per percentage point."""
+    """delta, gamma, theta per day, vega and rho per percentage point.
+
+    The theta of a put carries interest with a positive sign, which is the analytic value.
+    """
     pdf = norm_pdf(x1)
     disc = f"{k} * EXP(-{r} * {t})"
     over = f"{t} <= 0"
@@ -28,8 +31,8 @@ def greeks(s, k, t, r, v, call, x1: str = "d1", n1: str = "n1", n2: str = "n2")
     return {
         "delta": f"(CASE WHEN {over} THEN {edge} WHEN {call} THEN {n1} ELSE {n1} - 1 END)",
         "gamma": f"(CASE WHEN {over} THEN 0 ELSE {pdf} / ({s} * {v} * SQRT({t})) END)",
-        "theta": f"(CASE WHEN {over} THEN 0 ELSE (-({s} * {pdf} * {v}) / (2 * SQRT({t})) - {r} * {disc} * "
-                 f"CASE WHEN {call} THEN {n2} ELSE 1 - {n2} END + CASE WHEN {call} THEN 0 ELSE {r} * {disc} END) / 365 END)",
+        "theta": f"(CASE WHEN {over} THEN 0 ELSE (-({s} * {pdf} * {v}) / (2 * SQRT({t})) + {r} * {disc} * "
+                 f"CASE WHEN {call} THEN -{n2} ELSE 1 - {n2} END) / 365 END)",
         "vega": f"(CASE WHEN {over} THEN 0 ELSE {s} * {pdf} * SQRT({t}) / 100 END)",
         "rho": f"(CASE WHEN {over} THEN 0 WHEN {call} THEN {disc} * {t} * {n2} / 100 ELSE -{disc} * {t} * (1 - {n2}) / 100 END)",
     }
