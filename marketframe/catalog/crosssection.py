@@ -158,12 +158,12 @@ def rank_signals(spark, d):
     return df.select("ts", "asset_id", side.cast("long").alias("signal"))
 
 
-@query("turbulence_regime", f"""WITH t AS MATERIALIZED (SELECT ts, R8(ABS(AVG(ret)) / NULLIF(STDDEV_SAMP(ret), 0)) AS turbulence FROM (SELECT ts, close / LAG(close) {W} - 1 AS ret FROM bars) WHERE ret IS NOT NULL GROUP BY 1)
+@query("turbulence_regime", f"""WITH t AS MATERIALIZED (SELECT ts, R6(CASE WHEN STDDEV_SAMP(ret) > 1e-6 THEN ABS(AVG(ret)) / STDDEV_SAMP(ret) END) AS turbulence FROM (SELECT ts, close / LAG(close) {W} - 1 AS ret FROM bars) WHERE ret IS NOT NULL GROUP BY 1)
     SELECT ts, turbulence, CAST(turbulence <= (SELECT QUANTILE_CONT(turbulence, 0.9) FROM t) AS BIGINT) AS normal FROM t WHERE turbulence IS NOT NULL""")
 def turbulence_regime(spark, d):
     """The threshold rule on a scalar stress index (the matrix index itself is the query `turbulence`)."""
     r = bars(spark, d).withColumn("ret", pct_change("close")).where("ret IS NOT NULL")
-    t = r.groupBy("ts").agg(rnd(F.abs(F.avg("ret")) / F.nullif(F.stddev_samp("ret"), F.lit(0.0)), 8).alias("turbulence")).where("turbulence IS NOT NULL")
+    t = r.groupBy("ts").agg(rnd(F.abs(F.avg("ret")) / F.when(F.stddev_samp("ret") > 1e-6, F.stddev_samp("ret"))).alias("turbulence")).where("turbulence IS NOT NULL")
     return t.withColumn("normal", (F.col("turbulence") <= t.agg(F.percentile("turbulence", F.lit(0.9))).scalar()).cast("long"))
 
 
@@ -180,17 +180,46 @@ def pair_zscore(spark, d):
     return df.select("pair", "ts", rnd("beta").alias("beta"), rnd("z", 4).alias("z"))
 
 
-@query("kalman_pairs")
-def kalman_pairs(spark, d):
-    return models.kalman_pairs(models.pair_panel(bars(spark, d), PAIRS))
+PAIR_ROWS = f"""(SELECT CONCAT(p.a, '/', p.b) AS pair, x.ts, x.close AS pa, y.close AS pb, ROW_NUMBER() OVER (PARTITION BY p.a, p.b ORDER BY x.ts) AS rn
+    FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in PAIRS)}) AS p(a, b) JOIN bars AS x ON x.asset_id = p.a JOIN bars AS y ON y.asset_id = p.b AND y.ts = x.ts)"""
 
 
-@query("garch_grid")
-def garch_grid(spark, d):
-    return models.garch_grid(bars(spark, d))
+def kalman_step(beta: str, p: str, source: str) -> str:
+    gain = f"(({p} + 1e-4::DOUBLE) * pb / (pb * pb * ({p} + 1e-4::DOUBLE) + 1e-2::DOUBLE))"
+    return f"{beta} + {gain} * (pa - {beta} * pb) AS beta, ({p} + 1e-4::DOUBLE) * (1 - {gain} * pb) AS p"
 
 
-@query("factor_betas")
+@query("kalman_pairs", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {PAIR_ROWS}),
+    k AS (SELECT pair, ts, rn, pa, pb, {kalman_step('1.0::DOUBLE', '1.0::DOUBLE', 'n')} FROM n WHERE rn = 1 UNION ALL
+      SELECT n.pair, n.ts, n.rn, n.pa, n.pb, {kalman_step('k.beta', 'k.p', 'n').replace('pa ', 'n.pa ').replace('pb', 'n.pb')} FROM k JOIN n ON n.pair = k.pair AND n.rn = k.rn + 1)
+    SELECT pair, ts, R6(beta) AS beta, R6(spread) AS spread, R6(CASE WHEN COUNT(*) {over(60, keys='pair')} >= 60 THEN (spread - AVG(spread) {over(60, keys='pair')}) / CASE WHEN STDDEV_POP(spread) {over(60, keys='pair')} >= 1e-8 THEN STDDEV_POP(spread) {over(60, keys='pair')} END END) AS z
+    FROM (SELECT *, pa - beta * pb AS spread FROM k)""")
+def kalman_pairs(spark, d):
+    df = models.kalman_pairs(models.pair_panel(bars(spark, d), PAIRS))
+    return df.select("pair", "ts", rnd("beta").alias("beta"), rnd("spread").alias("spread"), rnd(F.when(~F.isnan("z"), F.col("z"))).alias("z"))
+
+
+@query("garch_grid", f"""WITH s AS MATERIALIZED (SELECT asset_id, r - AVG(r) OVER (PARTITION BY asset_id) AS e, ts FROM (
+      SELECT asset_id, ts, 100 * (close / LAG(close) {W} - 1) AS r FROM bars) WHERE r IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY ts DESC) <= 252),
+    t AS MATERIALIZED (SELECT asset_id, ts, e - AVG(e) OVER (PARTITION BY asset_id) AS e FROM s),
+    l AS MATERIALIZED (SELECT asset_id, LIST(e ORDER BY ts) AS es, VAR_POP(e) AS v, COUNT(*) AS n_obs FROM t GROUP BY 1 HAVING COUNT(*) >= 60),
+    g AS MATERIALIZED (SELECT l.*, a, b, v * (1 - a - b) AS w FROM l, (VALUES {', '.join(f'({a}::DOUBLE)' for a in models.ALPHAS)}) AS x(a), (VALUES {', '.join(f'({b}::DOUBLE)' for b in models.BETAS)}) AS y(b) WHERE a + b < 1),
+    f AS MATERIALIZED (SELECT *, LIST_REDUCE(LIST_TRANSFORM(es, LAMBDA x: {{'h': x, 'll': 0.0::DOUBLE}}), LAMBDA acc, x: {{'h': w + a * x.h * x.h + b * acc.h, 'll': acc.ll - 0.5 * (LN(acc.h) + x.h * x.h / acc.h)}}, {{'h': v, 'll': 0.0::DOUBLE}}) AS r FROM g)
+    SELECT asset_id, n_obs, a AS alpha, b AS beta, R6(w) AS omega, R4(r.ll) AS log_likelihood, R6(GREATEST(0.01, LEAST(5.0, SQRT(r.h) * SQRT(252) / 100))) AS forecast_vol, R6(SQRT(w / (1 - a - b)) * SQRT(252) / 100) AS long_run_vol
+    FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY r.ll DESC) = 1""")
+def garch_grid(spark, d):
+    df = models.garch_grid(bars(spark, d))
+    return df.select("asset_id", "n_obs", "alpha", "beta", rnd("omega").alias("omega"), rnd("log_likelihood", 4).alias("log_likelihood"),
+                     rnd("forecast_vol").alias("forecast_vol"), rnd("long_run_vol").alias("long_run_vol"))
+
+
+@query("factor_betas", f"""WITH r AS MATERIALIZED (SELECT *, volume >= AVG(volume) OVER (PARTITION BY ts) AS big FROM (SELECT asset_id, ts, volume, close / LAG(close) {W} - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+    f AS MATERIALIZED (SELECT ts, AVG(ret) AS m, AVG(CASE WHEN big THEN ret END) - AVG(CASE WHEN NOT big THEN ret END) AS s FROM r WHERE ret IS NOT NULL GROUP BY 1),
+    c AS MATERIALIZED (SELECT asset_id, COUNT(*) AS n, VAR_POP(m) * COUNT(*) + 0.01 AS mm, VAR_POP(s) * COUNT(*) + 0.01 AS ss, COVAR_POP(m, s) * COUNT(*) AS ms, COVAR_POP(m, ret) * COUNT(*) AS my, COVAR_POP(s, ret) * COUNT(*) AS sy, VAR_POP(ret) * COUNT(*) AS yy
+      FROM r JOIN f ON f.ts = r.ts WHERE ret IS NOT NULL AND s IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 30),
+    b AS MATERIALIZED (SELECT *, (my * ss - sy * ms) / (mm * ss - ms * ms) AS bm, (sy * mm - my * ms) / (mm * ss - ms * ms) AS bs FROM c),
+    v AS MATERIALIZED (SELECT *, SQRT(GREATEST(yy - 2 * (bm * my + bs * sy) + bm * bm * (mm - 0.01) + bs * bs * (ss - 0.01) + 2 * bm * bs * ms, 0) / n * 252) AS vol FROM b)
+    SELECT asset_id AS portfolio_id, 'market' AS factor, R6(bm) AS beta, R6(vol) AS residual_vol FROM v UNION ALL SELECT asset_id, 'size', R6(bs), R6(vol) FROM v""")
 def factor_betas(spark, d):
     b = bars(spark, d).withColumn("ret", pct_change("close"))
     day = Window.partitionBy("ts")
@@ -198,7 +227,8 @@ def factor_betas(spark, d):
     factors = b.where("ret IS NOT NULL").withColumn("_big", big).groupBy("ts").agg(
         F.avg("ret").alias("market"), (F.avg(F.when(F.col("_big"), F.col("ret"))) - F.avg(F.when(~F.col("_big"), F.col("ret")))).alias("size"))
     curves = b.where("ret IS NOT NULL").select(F.col("asset_id").alias("portfolio_id"), "ts", "ret")
-    return models.factor_betas(curves, factors, ["market", "size"])
+    df = models.factor_betas(curves, factors, ["market", "size"])
+    return df.select("portfolio_id", "factor", rnd("beta").alias("beta"), rnd("residual_vol").alias("residual_vol"))
 
 
 FEATURES = ["ret_5d", "ret_20d", "ret_60d", "vol_20d", "zscore_20d", "rev_1d", "vol_ratio", "bb_pos"]

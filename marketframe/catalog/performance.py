@@ -251,7 +251,7 @@ def sweep_curve_sql(grid, source: str, keys: str = "") -> str:
     params = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS param_id, {f} AS fast, {s} AS slow" for i, (f, s) in enumerate(grid.configs))
     raw = " ".join(f"WHEN param_id = {i} THEN CASE WHEN m{f} > m{s} THEN 1 ELSE 0 END" for i, (f, s) in enumerate(grid.configs))
     w = f"OVER (PARTITION BY {part}, param_id ORDER BY ts)"
-    return f"""SELECT {k}param_id, ts, 100000 * EXP(SUM(LN(1 + ret)) OVER (PARTITION BY {k}param_id ORDER BY ts)) AS equity FROM (
+    return f"""SELECT {k}param_id, ts, R6(100000 * EXP(SUM(LN(1 + ret)) OVER (PARTITION BY {k}param_id ORDER BY ts))) AS equity FROM (
         SELECT {k}param_id, ts, AVG(ret) AS ret FROM (
           SELECT {k}param_id, ts, COALESCE(LAG(raw, 2) {w}, 0) * COALESCE(close / LAG(close) {w} - 1, 0)
                  - 0.002 * ABS(COALESCE(LAG(raw, 2) {w}, 0) - COALESCE(LAG(raw, 3) {w}, 0)) AS ret

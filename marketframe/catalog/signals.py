@@ -175,7 +175,21 @@ def events_donchian(spark, d):
     return events.donchian_events(bars(spark, d)).select("asset_id", "ts", "direction", "close")
 
 
-@query("events_rsi")
+def slice_mean(x: str) -> str:
+    return f"LIST_REDUCE(LIST({x}) {over(218)}, LAMBDA a, v: a + {1 / 14!r}::DOUBLE * (v - a))"
+
+
+@query("events_rsi", f"""WITH RECURSIVE g AS MATERIALIZED (
+      SELECT asset_id, ts, close, ROW_NUMBER() {W} AS n, {roll('AVG', 'close', 200)} AS sma, GREATEST(close - LAG(close) {W}, 0) AS gain, GREATEST(LAG(close) {W} - close, 0) AS loss FROM bars),
+    q AS MATERIALIZED (SELECT asset_id, ts, close, n, sma, {slice_mean('gain')} AS ag, {slice_mean('loss')} AS al FROM g WHERE n > 1),
+    r AS MATERIALIZED (SELECT asset_id, ts, close > sma AS up, 100 - 100 / (1 + CASE WHEN al > 0 THEN ag / al ELSE 100 END) AS rsi, ROW_NUMBER() {W} AS k FROM q WHERE n >= 219),
+    s AS (SELECT asset_id, k - 1 AS k, 'FLAT' AS side, 0 AS held, NULL::DATE AS ts, NULL::VARCHAR AS reason FROM r WHERE k = 1 UNION ALL
+      SELECT r.asset_id, r.k, CASE WHEN s.side <> 'FLAT' AND (s.held + 1 >= 10 OR (s.side = 'LONG' AND rsi >= 50) OR (s.side = 'SHORT' AND rsi <= 50)) THEN 'FLAT'
+          WHEN s.side = 'FLAT' AND rsi < 30 AND up THEN 'LONG' WHEN s.side = 'FLAT' AND rsi > 70 THEN 'SHORT' ELSE s.side END AS side2,
+        CASE WHEN side2 <> s.side THEN 0 ELSE s.held + 1 END, r.ts,
+        CASE WHEN side2 = s.side THEN NULL WHEN side2 = 'FLAT' AND s.held + 1 >= 10 THEN 'rsi_time_exit' WHEN side2 = 'FLAT' THEN 'rsi_exit' WHEN side2 = 'LONG' THEN 'rsi_oversold' ELSE 'rsi_overbought' END
+      FROM s JOIN r ON r.asset_id = s.asset_id AND r.k = s.k + 1)
+    SELECT asset_id, ts, side AS direction, reason FROM s WHERE reason IS NOT NULL""")
 def events_rsi(spark, d):
     return events.rsi_events(bars(spark, d))
 

@@ -49,9 +49,12 @@ def stream_order_fill(spark, d):
     return run_to_parquet(jobs.order_fills(orders, fills), "order_fill").select("order_id", NTZ("order_ts"), NTZ("fill_ts"), "quantity")
 
 
-@query("stream_trailing_stop")
+@query("stream_trailing_stop", """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT user_id, ts, rn, px, px AS best, FALSE AS hit FROM n WHERE rn = 1 UNION ALL
+      SELECT n.user_id, n.ts, n.rn, n.px, CASE WHEN s.hit THEN n.px ELSE GREATEST(s.best, n.px) END, n.px <= CASE WHEN s.hit THEN n.px ELSE GREATEST(s.best, n.px) END * 0.5 FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
+    SELECT user_id, ts, best, px AS exit_price FROM s WHERE hit""")
 def stream_trailing_stop(spark, d):
-    return run_to_parquet(jobs.trailing_stops(ticks(spark, d)), "trailing")
+    return run_to_parquet(jobs.trailing_stops(ticks(spark, d)), "trailing").select("user_id", NTZ("ts"), "best", "exit_price")
 
 
 @query("stream_stale", f"""SELECT user_id, MIN(ts) AS start, MAX(ts) + INTERVAL 6 HOUR AS stale_at, COUNT(*) AS n FROM (

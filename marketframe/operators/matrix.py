@@ -100,7 +100,7 @@ def shrunk(panel: DataFrame, value: str = "ret", method: str = "ledoit_wolf") ->
     agg = pairs.agg(F.sum(F.when(F.col("asset_i") == F.col("asset_j"), F.col("s"))).alias("tr"),
                     F.sum(weight * F.col("s") * F.col("s")).alias("fro"),
                     F.sum((F.col("asset_i") == F.col("asset_j")).cast("long")).alias("p"))
-    stats = agg.withColumn("_k", F.lit(1)).join(fourth.withColumn("_k", F.lit(1)), "_k")
+    stats = agg.withColumn("_r", fourth.select(F.struct("q4", "t")).scalar()).select("*", "_r.*")
     mu, p, t = F.col("tr") / F.col("p"), F.col("p"), F.col("t")
     d2 = (F.col("fro") - p * mu * mu) / p
     if method == "ledoit_wolf":
@@ -109,8 +109,8 @@ def shrunk(panel: DataFrame, value: str = "ret", method: str = "ledoit_wolf") ->
     else:
         alpha, m2 = F.col("fro") / (p * p), mu * mu
         shrink = F.least(F.lit(1.0), (alpha + m2) / ((t + 1) * (alpha - m2 / p)))
-    stats = stats.select(mu.alias("mu"), shrink.alias("shrinkage"), F.lit(1).alias("_k"))
-    out = pairs.withColumn("_k", F.lit(1)).join(stats, "_k")
+    stats = stats.select(F.struct(mu.alias("mu"), shrink.alias("shrinkage")))
+    out = pairs.withColumn("_s", stats.scalar()).select("*", "_s.*")
     cov = (1 - F.col("shrinkage")) * F.col("s") + F.when(
         F.col("asset_i") == F.col("asset_j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0)
     return out.select("asset_i", "asset_j", cov.alias("cov"), "shrinkage")

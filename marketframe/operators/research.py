@@ -1,12 +1,17 @@
 """Signal research: information coefficients, decay, turnover, capacity."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketframe.operators.crosssection import percent_rank_avg
 from marketframe.operators.windows import by_asset
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation; null where one side does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def information_coefficients(panel: DataFrame, signal: str, horizons: list[int], least: int = 5) -> DataFrame:
     """Spearman correlation per (ts, horizon) of a signal with the return that follows it."""
     w = by_asset()
@@ -17,8 +22,8 @@ def information_coefficients(panel: DataFrame, signal: str, horizons: list[int],
             .where("fwd IS NOT NULL"))
     keys = ["ts", "horizon"]
     ranked = long.withColumns({"_rs": percent_rank_avg("_sig", keys), "_rf": percent_rank_avg("fwd", keys)})
-    return ranked.groupBy(*keys).agg(F.corr("_rs", "_rf").alias("ic"), F.count(F.lit(1)).alias("n")).where(
-        (F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    return ranked.groupBy(*keys).agg(correlation("_rs", "_rf").alias("ic"), F.count(F.lit(1)).alias("n")).where(
+        (F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def factor_decay(ics: DataFrame) -> DataFrame:
@@ -48,8 +53,8 @@ def turnover(weights: DataFrame, rate: float = 0.001) -> DataFrame:
         F.count(F.lit(1)).alias("n_assets"), F.avg("p").alias("avg_price"))
     daily = df.groupBy("ts").agg(F.sum("_d").alias("_d"), F.sum("_wr").alias("_wr"))
     total = daily.agg(F.avg("_d").alias("_d"), F.sum(F.log1p("_wr")).alias("_g"), F.count(F.lit(1)).alias("_n"))
-    both = total.withColumn("_k", F.lit(1)).join(assets.withColumn("_k", F.lit(1)), "_k")
-    df = both.withColumns({"daily_turnover": F.col("_d") / F.greatest("n_assets", F.lit(1)),
+    df = total.withColumn("_a", assets.select(F.struct("n_assets", "avg_price")).scalar()).select("*", "_a.*")
+    df = df.withColumns({"daily_turnover": F.col("_d") / F.greatest("n_assets", F.lit(1)),
                            "gross_annual_return": F.exp(F.col("_g") * 252 / F.col("_n")) - 1})
     df = df.withColumns({"annual_turnover": F.col("daily_turnover") * 252,
                          "annual_cost": F.col("daily_turnover") * F.col("avg_price") * rate * 252})

@@ -55,5 +55,7 @@ def bootstrap_sharpe(returns: DataFrame, key: str, n_sims: int = 1000, confidenc
     excess = F.col("ret") - RISK_FREE / TRADING_DAYS
     point = returns.groupBy(key).agg(
         (F.avg(excess) / (F.stddev_samp("ret") + 1e-10) * F.sqrt(F.lit(252.0))).alias("sharpe"))
-    return point.join(sims, key).select(key, "sharpe", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"),
-                                        "p_positive", "n_simulations")
+    both = point.unionByName(sims, allowMissingColumns=True).groupBy(key).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("sharpe", "_ci", "p_positive", "n_simulations")])
+    return both.where("_ci IS NOT NULL").select(key, "sharpe", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"),
+                                                "p_positive", "n_simulations")

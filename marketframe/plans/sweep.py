@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketframe.functions.stats import deflated_sharpe, expected_max_sharpe, expected_max_sharpe_of, lit
+from marketframe.functions.stats import deflated_sharpe, expected_max_sharpe, expected_max_sharpe_of, lit, rnd
 from marketframe.operators.performance import summary
 from marketframe.operators.windows import ordered, running, with_means
 
@@ -58,7 +58,8 @@ def sma_sweep_returns(panel: DataFrame, grid: SmaGrid, keys: list[str], cost: fl
 
 
 def equity_from_returns(returns: DataFrame, keys: list[str], start: float = 100_000.0) -> DataFrame:
-    return returns.withColumn("equity", start * F.exp(F.sum(F.log1p("ret")).over(running(ordered(keys)))))
+    """Compounded index in dollars, rounded to a millionth so that a flat day is exactly flat."""
+    return returns.withColumn("equity", rnd(start * F.exp(F.sum(F.log1p("ret")).over(running(ordered(keys))))))
 
 
 def with_config(df: DataFrame, grid: SmaGrid) -> DataFrame:

@@ -59,7 +59,8 @@ def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5) -
                 out.append((k[0], ts, float(best), float(price)))
                 best = None
         state.update((best,))
-        yield pd.DataFrame(out, columns=[key, "ts", "best", "exit_price"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "ts", "best", "exit_price"])
 
     return ticks.select(key, "ts", "event_id", "price").groupBy(key).applyInPandasWithState(
         step, f"{key} bigint, ts timestamp, best double, exit_price double", "best double", "append", GroupStateTimeout.NoTimeout)
