@@ -7,7 +7,7 @@ from marketframe.catalog.registry import query
 from marketframe.catalog.sqltext import W, over, roll
 from marketframe.functions.stats import rnd
 from marketframe.operators import blotter, holdings, panel
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import asof_daily, asof_join
 from marketframe.operators.windows import by_asset
 from marketframe.sources.market import Market
 
@@ -29,7 +29,7 @@ def asof_adjustment(spark, d):
 def macro_point_in_time(spark, d):
     m = Market(spark, d)
     left = m.orders_in().select("order_id", "ts", F.col("strategy_id").alias("series_id"))
-    out = asof_join(left, m.macro_series(), ["series_id"], "ts", "release_date", ["value", "release_date"], block="month")
+    out = asof_daily(left, m.macro_series(), ["series_id"], "ts", "release_date", ["value", "release_date"])
     return out.select("order_id", "ts", "series_id", rnd("value").alias("value"), "release_date")
 
 

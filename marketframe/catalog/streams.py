@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketframe.catalog.registry import query
 from marketframe.functions.stats import rnd
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import asof_daily
 from marketframe.sources.market import Market
 from marketframe.streaming import jobs
 from marketframe.streaming.sources import run_batches, run_to_parquet, table_stream, ticks
@@ -72,7 +72,7 @@ def stream_macro(spark, d):
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("ts"), F.col("o_orderpriority").alias("series_id"))
 
     def enrich(batch):
-        return asof_join(batch, macro, ["series_id"], "ts", "release_date", ["value"], block="month").withColumn("value", rnd("value"))
+        return asof_daily(batch, macro, ["series_id"], "ts", "release_date", ["value"]).withColumn("value", rnd("value"))
 
     schema = spark.createDataFrame([], "order_id bigint, ts date, series_id string, value double").schema
     return run_batches(orders, "macro", enrich, schema)

@@ -43,3 +43,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return (both.withColumn("_value", F.last("_value", ignorenulls=True).over(w))
             .where(F.col("_row").isNotNull())
             .select("_row.*", *[F.col(f"_value.{v}").alias(v) for v in values]))
+
+
+def asof_daily(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+    """As-of join by date against a slowly changing table, as two equi-joins.
+
+    Each right row is spread over the days until its successor, which makes a lookup table of one row per key and day; the
+    last row per key covers everything after. Where those tables are small Spark broadcasts them by itself, and a left
+    side of any size, with any skew, is not shuffled at all.
+    """
+    w = Window.partitionBy(*keys).orderBy(right_time)
+    dated = right.select(*keys, F.col(right_time).alias("_rt"), F.struct(*values).alias("_v"), F.lead(right_time).over(w).alias("_next"))
+    daily = dated.where("_next IS NOT NULL").select(*keys, F.explode(F.sequence("_rt", F.date_sub("_next", 1))).alias("_day"), F.col("_v").alias("_dv"))
+    last = dated.where("_next IS NULL").select(*keys, F.col("_rt").alias("_lt"), F.col("_v").alias("_lv"))
+    out = left.withColumn("_day", F.col(left_time).cast("date")).join(daily, [*keys, "_day"], "left")
+    if keys:
+        out = out.join(last, keys, "left")
+    else:       # a single series: its last row is one value
+        out = out.withColumn("_last", last.select(F.struct("_lt", "_lv")).scalar()).select("*", "_last.*")
+    value = F.coalesce("_dv", F.when(F.col("_day") >= F.col("_lt"), F.col("_lv")))
+    return out.withColumn("_value", value).select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])

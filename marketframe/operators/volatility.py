@@ -4,18 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketframe.functions.stats import rnd
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import asof_daily
 from marketframe.operators.windows import by_asset, log_return, pct_change, roll
 
 
 def with_exogenous(bars: DataFrame, series: DataFrame, series_id: str, name: str = "vix") -> DataFrame:
     """Carry a released series forward onto every bar; releases between trading dates count as well.
 
-    The series is aligned to the distinct dates once, a table bounded by the calendar, and joined by date.
+    The series becomes a lookup by day, so the bars are joined by date and not sorted against it.
     """
-    dates = bars.select("ts").distinct().withColumn("series_id", F.lit(series_id))
-    aligned = asof_join(dates, series.where(F.col("series_id") == series_id), ["series_id"], "ts", "release_date", ["value"])
-    return bars.join(aligned.select("ts", F.col("value").alias(name)), "ts", "left")
+    one = series.where(F.col("series_id") == series_id).select("release_date", F.col("value").alias(name))
+    return asof_daily(bars, one, [], "ts", "release_date", [name])
 
 
 def realized_vol(n: int = 30, default: float = 0.20) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import blotter, events, exits, matrix, models, performance as perf, risk, weights
 from marketframe.operators.affine import affine_scan
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import asof_daily, asof_join
 from marketframe.operators.prefix import prefix_totals
 from marketframe.operators.recurrence import Ewm, ewm, trailing_ewm
 from marketframe.operators.signals import rsi, sma_crossover
@@ -96,6 +96,9 @@ def test_asof_join_equals_merge_asof(spark, block):
         want = pd.merge_asof(left.sort_values("ts"), right.sort_values("rt"), left_on="ts", right_on="rt", by="k",
                              allow_exact_matches=inclusive).sort_values("id")
         np.testing.assert_array_equal(got.v.to_numpy(float), want.v.to_numpy(float))
+        if inclusive:
+            daily = asof_daily(sl, sr, ["k"], "ts", "rt", ["v"]).toPandas().sort_values("id")
+            np.testing.assert_array_equal(daily.v.to_numpy(float), want.v.to_numpy(float))
 
 
 def skewed_fills(n=4000, seed=3):
