@@ -51,8 +51,8 @@ def sma_sweep_returns(panel: DataFrame, grid: SmaGrid, keys: list[str], cost: fl
     none = F.array_repeat(F.lit(0), len(grid.configs))
     df = df.withColumns({"_held": F.coalesce(F.lag("_raw", 2).over(w), none),
                          "_before": F.coalesce(F.lag("_raw", 3).over(w), none)})
-    moved = F.arrays_zip("_held", "_before")
-    rets = F.transform(moved, lambda x: x["_held"] * F.col("_r") - cost * F.abs(x["_held"] - x["_before"]))
+    held, before = F.col("_held"), F.col("_before")
+    rets = F.array(*[held[i] * F.col("_r") - cost * F.abs(held[i] - before[i]) for i in range(len(grid.configs))])
     long = df.select(*keys, "ts", F.posexplode(rets).alias("param_id", "ret"))
     return long.groupBy(*keys, "ts", F.col("param_id").cast("long").alias("param_id")).agg(F.avg("ret").alias("ret"))
 
