@@ -44,7 +44,7 @@ def rolling_ic(ics: DataFrame, n: int = 12) -> DataFrame:
 def turnover(weights: DataFrame, rate: float = 0.001) -> DataFrame:
     """Turnover, cost drag and break-even cost of a weight panel (ts, asset_id, close, weight); one row.
 
-    The cost keeps the reference formula, which scales turnover by the average price.
+    The cost scales turnover by the average price, as this measure is defined.
     """
     w = by_asset()
     df = weights.withColumns({"_d": F.coalesce(F.abs(F.col("weight") - F.lag("weight").over(w)), F.lit(0.0)),
