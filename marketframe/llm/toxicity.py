@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -244,8 +245,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
 
 
 def _score_column(model: ToxicityModel):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def one(text: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string())], names=["doc_id", "text"])
