@@ -64,8 +64,7 @@ def basket_changes(spark, d):
     SELECT asset_id FROM b JOIN k USING (ts) WHERE k = 2 EXCEPT SELECT asset_id FROM b JOIN k USING (ts) WHERE k = 1""")
 def basket_exits(spark, d):
     baskets = momentum_baskets(bars(spark, d)).where("side = 'LONG'").select("ts", "asset_id")
-    ranked = baskets.withColumn("k", F.dense_rank().over(Window.orderBy(F.desc("ts"))))
-    return ranked.where("k = 2").select("asset_id").exceptAll(ranked.where("k = 1").select("asset_id"))
+    return xs.basket_exits(baskets)
 
 
 LOWVOL = f"R9({roll('STDDEV_SAMP', 'lr', 252, least=126)} * SQRT(252))"

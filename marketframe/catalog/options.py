@@ -122,9 +122,8 @@ CHAIN_ROWS = f"""SELECT r.*, dte, ROUND(s * (1 + (i - 10) * 0.2::DOUBLE / 10) +
 CHAIN = f"""WITH under AS MATERIALIZED (
       SELECT asset_id, ts, close AS s, CASE WHEN value IS NULL THEN 0.05 ELSE value / 100 END::DOUBLE AS rate, iv FROM (
         SELECT v.*, m.value FROM (SELECT *, '2-HIGH' AS series_id FROM (
-            SELECT asset_id, ts, close, R9(GREATEST(0.05, LEAST(3.0, iv))) AS iv FROM (
-              SELECT asset_id, ts, close, {roll('STDDEV_SAMP', 'lr', 30)} * SQRT(252) * 1.15 AS iv FROM ({LR})) WHERE iv IS NOT NULL)
-          QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id, DATE_TRUNC('month', ts) ORDER BY ts) = 1) AS v
+            SELECT asset_id, ts, close, CASE WHEN iv IS NULL THEN 0.2 ELSE R9(GREATEST(0.05, LEAST(3.0, iv))) END AS iv FROM (
+              SELECT asset_id, ts, close, {roll('STDDEV_SAMP', 'lr', 30)} * SQRT(252) * 1.15 AS iv FROM ({LR})))) AS v
         ASOF LEFT JOIN macro_series AS m ON m.series_id = v.series_id AND v.ts >= m.release_date)),
     chain AS MATERIALIZED (
       SELECT *, ROUND(GREATEST(0.01, price - spread / 2) + 1.7e-6, 2) AS bid, ROUND(price + spread / 2 + 1.7e-6, 2) AS ask,
@@ -133,18 +132,25 @@ CHAIN = f"""WITH under AS MATERIALIZED (
         FROM ({priced_sql(CHAIN_ROWS)})) WHERE price >= 0.01)"""
 
 
-def monthly_chain(m):
-    """Chains on each asset's first bar of every month with the short rate known at that date (5 % before the first release)."""
-    from marketframe.operators.windows import first_of_month
-    rates = vol.with_exogenous(iv_table(m).where("iv IS NOT NULL"), m.macro_series(), "2-HIGH", "rate_pct")
-    monthly = rates.withColumn("_f", first_of_month()).where("_f")
+def full_chain(m):
+    """Chains on every bar with the short rate known at that date (5 % before the first release); volatility 0.20 while history is short."""
+    rates = vol.with_exogenous(iv_table(m).withColumn("iv", F.coalesce("iv", F.lit(0.2))), m.macro_series(), "2-HIGH", "rate_pct")
     rate = F.coalesce(F.col("rate_pct") / 100, F.lit(0.05))
-    return chains.generate_chain(monthly.select("asset_id", "ts", F.col("close").alias("s"), rate.alias("rate"), "iv"))
+    return chains.generate_chain(rates.select("asset_id", "ts", F.col("close").alias("s"), rate.alias("rate"), "iv"))
+
+
+# quoted interest and volume of the generated chain stay below 1,000 and 100; a depth by strike lets some contracts exceed the limits
+DEPTH = "(1 + CAST(FLOOR(strike) AS BIGINT) % 5)"
+
+
+def deep(chain):
+    depth = 1 + F.floor("strike") % 5
+    return chain.withColumns({"open_interest": F.col("open_interest") * depth, "volume": F.col("volume") * depth})
 
 
 @query("option_chain", f"""{CHAIN} SELECT asset_id, ts, dte, expiration, "right", strike, bid, ask, open_interest, volume, R6(price) AS price, {', '.join(f'R6({g}) AS {g}' for g in GREEKS)} FROM chain""")
 def option_chain(spark, d):
-    return monthly_chain(Market(spark, d)).select(
+    return full_chain(Market(spark, d)).select(
         "asset_id", "ts", "dte", "expiration", "right", "strike", "bid", "ask", "open_interest", "volume",
         rnd("price").alias("price"), *[rnd(g).alias(g) for g in GREEKS])
 
@@ -154,21 +160,22 @@ SPREAD = "(CASE WHEN bid + ask = 0 THEN 1.0 ELSE (ask - bid) / ((bid + ask) / 2)
 
 @query("option_mid_spread", f'{CHAIN} SELECT asset_id, ts, dte, "right", strike, R6((bid + ask) / 2) AS mid, R6({SPREAD}) AS spread_pct FROM chain')
 def option_mid_spread(spark, d):
-    return monthly_chain(Market(spark, d)).select("asset_id", "ts", "dte", "right", "strike", rnd(chains.mid()).alias("mid"),
+    return full_chain(Market(spark, d)).select("asset_id", "ts", "dte", "right", "strike", rnd(chains.mid()).alias("mid"),
                                                   rnd(chains.spread_pct()).alias("spread_pct"))
 
 
-@query("liquid_options", f'{CHAIN} SELECT asset_id, ts, dte, "right", strike, bid, ask, open_interest FROM chain WHERE open_interest > 400 AND volume > 40 AND R9({SPREAD}) < 0.15')
+@query("liquid_options", f"""{CHAIN} SELECT asset_id, ts, dte, "right", strike, bid, ask, open_interest * {DEPTH} AS open_interest FROM chain
+    WHERE open_interest * {DEPTH} > 1000 AND volume * {DEPTH} > 100 AND R9({SPREAD}) < 0.15""")
 def liquid_options(spark, d):
-    chain = monthly_chain(Market(spark, d)).withColumn("_s", rnd(chains.spread_pct(), 9))
-    return chain.where("open_interest > 400 AND volume > 40 AND _s < 0.15").select(
+    chain = deep(full_chain(Market(spark, d))).withColumn("_s", rnd(chains.spread_pct(), 9))
+    return chain.where("open_interest > 1000 AND volume > 100 AND _s < 0.15").select(
         "asset_id", "ts", "dte", "right", "strike", "bid", "ask", "open_interest")
 
 
 @query("occ_symbol", f"""{CHAIN} SELECT CONCAT(UPPER(REPLACE(asset_id, 'Brand#', 'B')), STRFTIME(expiration, '%y%m%d'), "right", LPAD(CAST(CAST(FLOOR(strike * 1000 + 1e-6) AS BIGINT) AS VARCHAR), 8, '0')) AS symbol, ts FROM chain""")
 def occ_symbol(spark, d):
     root = F.upper(F.regexp_replace("asset_id", "Brand#", "B"))
-    return monthly_chain(Market(spark, d)).select(chains.occ_symbol(root).alias("symbol"), "ts")
+    return full_chain(Market(spark, d)).select(chains.occ_symbol(root).alias("symbol"), "ts")
 
 
 def nearest_sql(target: float, right: str) -> str:
@@ -177,16 +184,15 @@ def nearest_sql(target: float, right: str) -> str:
 
 @query("option_by_delta", f"""{CHAIN} SELECT asset_id, ts, "right", dte, strike, bid, R6(delta) AS delta FROM (SELECT * FROM {nearest_sql(0.3, 'C')} UNION ALL SELECT * FROM {nearest_sql(-0.3, 'P')})""")
 def option_by_delta(spark, d):
-    chain = monthly_chain(Market(spark, d))
     cols = ["right", "dte", "strike", "bid", "delta"]
-    both = chains.nearest(chain, 0.3, "C", cols).unionByName(chains.nearest(chain, -0.3, "P", cols))
-    return both.withColumn("delta", rnd("delta"))
+    both = chains.nearest_each(full_chain(Market(spark, d)), {"c": (0.3, "C"), "p": (-0.3, "P")}, cols)
+    return both.select("asset_id", "ts", F.explode(F.filter(F.array("c", "p"), lambda x: x.isNotNull())).alias("_x")).select("asset_id", "ts", "_x.*").withColumn("delta", rnd("delta"))
 
 
 @query("expected_move", f"""{CHAIN} SELECT c.asset_id, c.ts, R6((c.bid + c.ask + p.bid + p.ask) / 2) AS expected_move, R6(c.ask + p.ask) AS entry_cost
     FROM {nearest_sql(0.5, 'C')} AS c JOIN {nearest_sql(-0.5, 'P')} AS p ON p.asset_id = c.asset_id AND p.ts = c.ts""")
 def expected_move(spark, d):
-    df = chains.expected_move(monthly_chain(Market(spark, d)))
+    df = chains.expected_move(full_chain(Market(spark, d)))
     return df.select("asset_id", "ts", rnd("expected_move").alias("expected_move"), rnd("entry_cost").alias("entry_cost"))
 
 
@@ -195,12 +201,12 @@ RANKS = f", ranks AS MATERIALIZED ({IV_RANK})"
 
 @query("screen_covered_call", f"""{CHAIN}{RANKS} SELECT c.asset_id, c.ts, strike, dte, bid, R6(delta) AS delta, R6(iv_rank) AS iv_rank
     FROM {nearest_sql(0.3, 'C')} AS c JOIN ranks AS r ON r.asset_id = c.asset_id AND r.ts = c.ts
-    WHERE iv_rank >= 0.3 AND open_interest > 200 AND volume > 20 AND R9({SPREAD}) < 0.25 AND bid > 0.10""")
+    WHERE iv_rank >= 0.3 AND open_interest * {DEPTH} > 1000 AND volume * {DEPTH} > 100 AND R9({SPREAD}) < 0.15 AND bid > 0.10""")
 def screen_covered_call(spark, d):
     m = Market(spark, d)
     ranks = vol.iv_rank(iv_table(m).where("iv IS NOT NULL"))
-    loose = (F.col("open_interest") > 200) & (F.col("volume") > 20) & (rnd(chains.spread_pct(), 9) < 0.25)
-    return chains.covered_calls(monthly_chain(m), ranks, 0.3, 0.3, loose).select(
+    liquid = (F.col("open_interest") > 1000) & (F.col("volume") > 100) & (rnd(chains.spread_pct(), 9) < 0.15)
+    return chains.covered_calls(deep(full_chain(m)), ranks, 0.3, 0.3, liquid).select(
         "asset_id", "ts", "strike", "dte", "bid", rnd("delta").alias("delta"), rnd("iv_rank").alias("iv_rank"))
 
 
@@ -221,7 +227,7 @@ CONDOR = f"""SELECT s.asset_id, s.ts, sc AS short_call, sp AS short_put, lc AS l
 def screen_iron_condor(spark, d):
     m = Market(spark, d)
     ranks = vol.iv_rank(iv_table(m).where("iv IS NOT NULL"))
-    return chains.iron_condors(monthly_chain(m), ranks).select(
+    return chains.iron_condors(full_chain(m), ranks).select(
         "asset_id", "ts", "short_call", "short_put", "long_call", "long_put", "dte", rnd("net_credit").alias("net_credit"),
         rnd("max_loss").alias("max_loss"))
 
@@ -232,30 +238,28 @@ def screen_iron_condor(spark, d):
 def screen_straddle(spark, d):
     m = Market(spark, d)
     nervous = vol.with_exogenous(m.bars(), m.macro_series(), "1-URGENT").where("vix > 25").select("asset_id", "ts")
-    df = chains.expected_move(monthly_chain(m)).join(nervous, ["asset_id", "ts"], "left_semi")
+    df = chains.expected_move(full_chain(m)).join(nervous, ["asset_id", "ts"], "left_semi")
     return df.select("asset_id", "ts", rnd("expected_move").alias("expected_move"), rnd("entry_cost").alias("entry_cost"))
 
 
-# a short call opened on the first bar of a month, looked at on every later bar up to its expiration
+# a short call opened on every bar, followed to its expiration; the first bar on which an exit band is reached
 SOLD = """SELECT o.asset_id, o.ts AS entry_ts, o.strike, o.expiration, o.bid AS entry_credit, o.iv, o.rate"""
 
 
 @query("structure_exits", f"""{CHAIN}, sold AS MATERIALIZED ({SOLD} FROM {nearest_sql(0.3, 'C')} AS o WHERE o.bid > 0.10),
     live AS MATERIALIZED (SELECT s.*, b.ts, b.close AS s, s.expiration - b.ts AS dte, (s.expiration - b.ts) / 365.0::DOUBLE AS t, 'C' AS "right"
-      FROM sold AS s JOIN bars AS b ON b.asset_id = s.asset_id AND DATE_TRUNC('month', b.ts) = DATE_TRUNC('month', s.entry_ts) AND b.ts > s.entry_ts AND b.ts <= s.expiration)
-    SELECT asset_id, entry_ts, ts, dte, R6(entry_credit) AS entry_credit, R6(price) AS current_value, R6(p) AS profit_pct,
-           CASE WHEN p >= 0.5 THEN 'profit_target' WHEN dte <= 21 THEN 'time' WHEN p <= -2 THEN 'stop_loss' ELSE 'hold' END AS exit
-    FROM (SELECT *, (entry_credit - price) / entry_credit AS p FROM ({priced_sql('SELECT * FROM live')}))""")
+      FROM sold AS s JOIN bars AS b ON b.asset_id = s.asset_id AND b.ts > s.entry_ts AND b.ts <= s.expiration)
+    SELECT asset_id, entry_ts, ts, dte, R6(entry_credit) AS entry_credit, R6(price) AS current_value, R6(p) AS profit_pct, exit FROM (
+      SELECT *, CASE WHEN R9(p) >= 0.5 THEN 'profit_target' WHEN dte <= 21 THEN 'time' WHEN R9(p) <= -2 THEN 'stop_loss' ELSE 'hold' END AS exit
+      FROM (SELECT *, (entry_credit - price) / entry_credit AS p FROM ({priced_sql('SELECT * FROM live')})))
+    WHERE exit <> 'hold' QUALIFY ROW_NUMBER() OVER (PARTITION BY asset_id, entry_ts ORDER BY ts) = 1""")
 def structure_exits(spark, d):
     m = Market(spark, d)
-    sold = chains.nearest(monthly_chain(m), 0.3, "C", ["strike", "expiration", "bid", "iv", "rate"]).where("bid > 0.10")
-    sold = sold.withColumnRenamed("ts", "entry_ts").withColumn("_m", F.trunc("entry_ts", "month"))
-    live = m.bars().select("asset_id", "ts", F.col("close").alias("s"), F.trunc("ts", "month").alias("_m")).join(
-        sold, ["asset_id", "_m"]).where("ts > entry_ts AND ts <= expiration")
-    live = live.withColumns({"dte": F.datediff("expiration", "ts").cast("long"), "right": F.lit("C"), "entry_credit": F.col("bid")})
-    df = chains.priced(live.withColumn("t", F.col("dte") / 365.0)).withColumn("current_value", F.col("price"))
-    return chains.exits(df).select("asset_id", "entry_ts", "ts", "dte", rnd("entry_credit").alias("entry_credit"),
-                                   rnd("current_value").alias("current_value"), rnd("profit_pct").alias("profit_pct"), "exit")
+    sold = chains.nearest(full_chain(m), 0.3, "C", ["strike", "expiration", "bid", "iv", "rate"]).where("bid > 0.10")
+    out = chains.first_exits(sold.withColumnsRenamed({"ts": "entry_ts", "bid": "entry_credit"}),
+                             m.bars().select("asset_id", "ts", F.col("close").alias("s")))
+    return out.select("asset_id", "entry_ts", "ts", "dte", rnd("entry_credit").alias("entry_credit"),
+                      rnd("current_value").alias("current_value"), rnd("profit_pct").alias("profit_pct"), "exit")
 
 
 # one option and one share position per open trade group

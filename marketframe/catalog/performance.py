@@ -411,9 +411,10 @@ def capacity(spark, d):
 
 @query("bootstrap_sharpe")
 def bootstrap(spark, d):
-    curve = Market(spark, d).benchmark_curve().withColumn(P, F.lit("benchmark"))
-    rets = perf.with_returns(curve, [P]).where("ret IS NOT NULL").select(P, "ts", "ret")
-    return bootstrap_sharpe(rets, P, 1000)
+    m = Market(spark, d)
+    curves = m.equity_curves().unionByName(m.benchmark_curve().withColumn(P, F.lit("benchmark")))
+    rets = perf.with_returns(curves, [P]).where("ret IS NOT NULL").select(P, "ts", "ret")
+    return bootstrap_sharpe(rets, P, 10_000)
 
 
 @query("strategy_equity", f"""

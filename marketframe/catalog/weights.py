@@ -68,7 +68,7 @@ def cov_matrix(spark, d):
       SELECT portfolio_id, k, (equity - LEAD(equity) OVER w) / (LEAD(equity) OVER w + 1e-10) AS ret FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY ts DESC) AS k FROM equity_curves) WHERE k <= 60 WINDOW w AS (PARTITION BY portfolio_id ORDER BY k)) WHERE ret IS NOT NULL)
     SELECT a.portfolio_id AS strategy_a, b.portfolio_id AS strategy_b, R6(CORR(a.ret, b.ret)) AS corr FROM r AS a JOIN r AS b ON a.k = b.k AND a.portfolio_id < b.portfolio_id
-    GROUP BY 1, 2 HAVING COUNT(*) >= 5 AND ABS(CORR(a.ret, b.ret)) >= 0.25""")
+    GROUP BY 1, 2 HAVING COUNT(*) >= 10 AND ABS(CORR(a.ret, b.ret)) >= 0.25""")
 def correlated_pairs(spark, d):
     return matrix.correlated_pairs(Market(spark, d).equity_curves(), "portfolio_id", 60, 0.25).select(
         F.col("asset_i").alias("strategy_a"), F.col("asset_j").alias("strategy_b"), rnd("corr").alias("corr"))

@@ -52,8 +52,10 @@ def asof_daily(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     last row per key covers everything after. Where those tables are small Spark broadcasts them by itself, and a left
     side of any size, with any skew, is not shuffled at all.
     """
-    w = Window.partitionBy(*keys).orderBy(right_time)
-    dated = right.select(*keys, F.col(right_time).alias("_rt"), F.struct(*values).alias("_v"), F.lead(right_time).over(w).alias("_next"))
+    w = Window.partitionBy(*keys).orderBy("_rt")
+    # of several right rows on one date the one with the largest values holds: two would overlap
+    single = right.groupBy(*keys, F.col(right_time).cast("date").alias("_rt")).agg(F.max(F.struct(*values)).alias("_v"))
+    dated = single.withColumn("_next", F.lead("_rt").over(w))
     daily = dated.where("_next IS NOT NULL").select(*keys, F.explode(F.sequence("_rt", F.date_sub("_next", 1))).alias("_day"), F.col("_v").alias("_dv"))
     last = dated.where("_next IS NULL").select(*keys, F.col("_rt").alias("_lt"), F.col("_v").alias("_lv"))
     out = left.withColumn("_day", F.col(left_time).cast("date")).join(daily, [*keys, "_day"], "left")

@@ -70,12 +70,20 @@ def nearest(chain: DataFrame, target: float, right: str, columns: list[str], pre
     return picked.select("asset_id", "ts", *[F.col(f"_c.{c}").alias(prefix + c) for c in columns])
 
 
+def nearest_each(chain: DataFrame, targets: dict[str, tuple[float, str]], columns: list[str]) -> DataFrame:
+    """nearest() for several named (delta, right) targets in one aggregation: one struct column each, null where the right is absent."""
+    aggs = []
+    for name, (target, right) in targets.items():
+        mine = F.col("right") == right
+        rank = F.struct(F.round(F.abs(F.col("delta") - target), TOLERANCE), "dte", "strike")
+        aggs.append(F.min_by(F.when(mine, F.struct(*columns)), F.when(mine, rank)).alias(name))
+    return chain.groupBy("asset_id", "ts").agg(*aggs)
+
+
 def expected_move(chain: DataFrame) -> DataFrame:
-    call = nearest(chain, 0.5, "C", ["bid", "ask", "strike"], "c_")
-    put = nearest(chain, -0.5, "P", ["bid", "ask", "strike"], "p_")
-    both = call.join(put, ["asset_id", "ts"])
-    move = (F.col("c_bid") + F.col("c_ask") + F.col("p_bid") + F.col("p_ask")) / 2
-    return both.select("asset_id", "ts", move.alias("expected_move"), (F.col("c_ask") + F.col("p_ask")).alias("entry_cost"))
+    both = nearest_each(chain, {"c": (0.5, "C"), "p": (-0.5, "P")}, ["bid", "ask"]).where("c IS NOT NULL AND p IS NOT NULL")
+    move = (F.col("c.bid") + F.col("c.ask") + F.col("p.bid") + F.col("p.ask")) / 2
+    return both.select("asset_id", "ts", move.alias("expected_move"), (F.col("c.ask") + F.col("p.ask")).alias("entry_cost"))
 
 
 def covered_calls(chain: DataFrame, ranks: DataFrame, delta: float = 0.30, least_rank: float = 0.30, liquid: Column | None = None) -> DataFrame:
@@ -91,17 +99,21 @@ def iron_condors(chain: DataFrame, ranks: DataFrame, delta: float = 0.16, wing:
 
     Wings belong to the expiration of the leg they protect.
     """
-    ready = chain.join(ranks.where(F.col("iv_rank") >= least_rank).select("asset_id", "ts"), ["asset_id", "ts"], "left_semi")
     keys = ["asset_id", "ts"]
-    shorts = nearest(ready, delta, "C", ["strike", "dte", "bid"], "sc_").join(
-        nearest(ready, -delta, "P", ["strike", "dte", "bid"], "sp_"), keys)
-    legs = ready.select(*keys, "right", "dte", "strike", "ask").join(shorts, keys)
-    call_wing = (F.col("right") == "C") & (F.col("dte") == F.col("sc_dte")) & (F.col("strike") >= F.col("sc_strike") * (1 + wing))
-    put_wing = (F.col("right") == "P") & (F.col("dte") == F.col("sp_dte")) & (F.col("strike") <= F.col("sp_strike") * (1 - wing))
-    leg = F.struct("strike", "ask")
-    wings = legs.groupBy(*keys).agg(F.min_by(F.when(call_wing, leg), F.when(call_wing, F.col("strike"))).alias("lc"),
-                                    F.max_by(F.when(put_wing, leg), F.when(put_wing, F.col("strike"))).alias("lp"))
-    df = shorts.join(wings.where("lc IS NOT NULL AND lp IS NOT NULL"), keys)
+    ready = chain.join(ranks.where(F.col("iv_rank") >= least_rank).select(*keys), keys, "left_semi")
+    # a chain has a fixed number of contracts: they meet once, in one array, and all legs are picked from it
+    def short(right: str, target: float) -> Column:
+        mine = F.col("right") == right
+        rank = F.struct(F.round(F.abs(F.col("delta") - target), TOLERANCE), "dte", "strike")
+        return F.min_by(F.when(mine, F.struct("strike", "dte", "bid")), F.when(mine, rank))
+    picked = ready.groupBy(*keys).agg(F.collect_list(F.struct("right", "dte", "strike", "ask")).alias("_legs"), short("C", delta).alias("sc"),
+                                      short("P", -delta).alias("sp")).where("sc IS NOT NULL AND sp IS NOT NULL")
+    leg = lambda x: F.struct(x["strike"].alias("strike"), x["ask"].alias("ask"))
+    calls = F.filter("_legs", lambda x: (x["right"] == "C") & (x["dte"] == F.col("sc.dte")) & (x["strike"] >= F.col("sc.strike") * (1 + wing)))
+    puts = F.filter("_legs", lambda x: (x["right"] == "P") & (x["dte"] == F.col("sp.dte")) & (x["strike"] <= F.col("sp.strike") * (1 - wing)))
+    df = (picked.withColumns({"lc": F.array_min(F.transform(calls, leg)), "lp": F.array_max(F.transform(puts, leg))})
+          .where("lc IS NOT NULL AND lp IS NOT NULL")
+          .select(*keys, "lc", "lp", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("sc", "sp") for c in ("strike", "dte", "bid")]))
     credit = F.col("sc_bid") + F.col("sp_bid") - F.col("lc.ask") - F.col("lp.ask")
     width = F.least(F.abs(F.col("lc.strike") - F.col("sc_strike")), F.abs(F.col("sp_strike") - F.col("lp.strike")))
     return df.select(*keys, F.col("sc_strike").alias("short_call"), F.col("sp_strike").alias("short_put"),
@@ -112,5 +124,22 @@ def iron_condors(chain: DataFrame, ranks: DataFrame, delta: float = 0.16, wing:
 def exits(structures: DataFrame, profit: float = 0.50, dte: int = 21, loss: float = -2.0) -> DataFrame:
     """Which exit band a re-priced short structure (entry_credit, current_value, dte) falls into."""
     pct = (F.col("entry_credit") - F.col("current_value")) / F.col("entry_credit")
-    reason = F.when(pct >= profit, "profit_target").when(F.col("dte") <= dte, "time").when(pct <= loss, "stop_loss").otherwise("hold")
+    level = F.round(pct, TOLERANCE)
+    reason = F.when(level >= profit, "profit_target").when(F.col("dte") <= dte, "time").when(level <= loss, "stop_loss").otherwise("hold")
     return structures.where("entry_credit > 0").withColumns({"profit_pct": pct, "exit": reason})
+
+
+def first_exits(sold: DataFrame, bars: DataFrame) -> DataFrame:
+    """The first bar on which each short call (asset_id, entry_ts, strike, expiration, entry_credit, iv, rate) reaches an exit band.
+
+    A position meets the bars (asset_id, ts, s) of the months it lives in: an equi-join on asset and month, whatever the time to expiration.
+    """
+    months = F.sequence(F.trunc("entry_ts", "month"), F.trunc("expiration", "month"), F.expr("interval 1 month"))
+    live = (sold.withColumn("_m", F.explode(months))
+            .join(bars.withColumn("_m", F.trunc("ts", "month")), ["asset_id", "_m"]).where("ts > entry_ts AND ts <= expiration"))
+    live = live.withColumns({"dte": F.datediff("expiration", "ts").cast("long"), "right": F.lit("C")})
+    value = priced(live.withColumn("t", F.col("dte") / 365.0)).withColumn("current_value", F.col("price"))
+    done = exits(value).where("exit <> 'hold'")
+    columns = ["dte", "entry_credit", "current_value", "profit_pct", "exit"]
+    return (done.groupBy("asset_id", "entry_ts").agg(F.min_by(F.struct("ts", *columns), "ts").alias("_e"))
+            .select("asset_id", "entry_ts", "_e.*"))

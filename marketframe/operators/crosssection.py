@@ -64,12 +64,23 @@ def low_vol_score(window: int = 252) -> Column:
 
 def basket_changes(baskets: DataFrame) -> DataFrame:
     """Entries and exits between consecutive rebalances: membership present at k but not k-1, or the reverse."""
-    clock = baskets.select("ts").distinct().withColumn("_k", F.row_number().over(Window.orderBy("ts")))
-    now = baskets.join(clock, "ts").select("asset_id", "_k")
-    shifted = now.withColumn("_k", F.col("_k") + 1)
-    entries = now.join(shifted, ["asset_id", "_k"], "left_anti").withColumn("change", F.lit("ENTER"))
-    exits = shifted.join(now, ["asset_id", "_k"], "left_anti").withColumn("change", F.lit("EXIT"))
-    return entries.unionByName(exits).join(clock, "_k").select("ts", "asset_id", "change")
+    # the clock has one row per rebalance, numbered in one small ordered window
+    order = Window.orderBy("ts")
+    clock = baskets.select("ts").distinct().withColumns({"_k": F.row_number().over(order), "_next": F.lead("ts").over(order)})
+    asset = Window.partitionBy("asset_id").orderBy("_k")
+    near = baskets.join(clock, "ts").withColumns({"_before": F.lag("_k").over(asset), "_after": F.lead("_k").over(asset)})
+    enter = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_k") - 1), F.struct("ts", F.lit("ENTER").alias("change")))
+    leave = F.when(F.col("_next").isNotNull() & (F.col("_after").isNull() | (F.col("_after") > F.col("_k") + 1)),
+                   F.struct(F.col("_next").alias("ts"), F.lit("EXIT").alias("change")))
+    return near.select("asset_id", F.explode(F.filter(F.array(enter, leave), lambda x: x.isNotNull())).alias("_c")).select("_c.ts", "asset_id", "_c.change")
+
+
+def basket_exits(baskets: DataFrame) -> DataFrame:
+    """Assets of the last rebalance but one that the last one no longer holds."""
+    days = baskets.select("ts").distinct().orderBy(F.desc("ts")).limit(2)
+    ends = days.agg(F.max("ts").alias("_now"), F.min("ts").alias("_was"), F.count("*").alias("_n")).where("_n = 2")
+    last = baskets.join(days, "ts", "left_semi").groupBy("asset_id").agg(F.max("ts").alias("_at"))
+    return last.join(ends, last["_at"] == ends["_was"], "left_semi").select("asset_id")
 
 
 def dual_momentum(bars: DataFrame, equities: list[str], bond: str, bill: str, lookback: int = 252) -> DataFrame:

@@ -70,7 +70,7 @@ def both_triangles(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(mirrored)
 
 
-def correlated_pairs(curves: DataFrame, key: str, last: int = 60, threshold: float = 0.70, least: int = 5) -> DataFrame:
+def correlated_pairs(curves: DataFrame, key: str, last: int = 60, threshold: float = 0.70, least: int = 10) -> DataFrame:
     """Pairs whose returns over the last `last` points move together (or apart) at least that strongly.
 
     Points are aligned from the newest backwards, as histories of the same length are.

@@ -1,7 +1,7 @@
 """Realised and implied volatility, leverage and regimes built on them."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketframe.functions.stats import rnd
 from marketframe.operators.asof import asof_daily
@@ -75,7 +75,7 @@ def vol_fallback(bars: DataFrame) -> DataFrame:
     """Volatility where a model has too little history: population deviation of the last 30 returns, or a default."""
     df = bars.withColumns({"r": pct_change("close")})
     frame = by_asset().rowsBetween(-29, 0)
-    seen = F.count("r").over(by_asset().rowsBetween(-10**6, 0))
+    seen = F.count("r").over(by_asset().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumns({"n_obs": seen, "vol": F.when(seen > 5, F.stddev_pop("r").over(frame) * F.sqrt(F.lit(252.0)))
                            .otherwise(0.20)})
 

@@ -29,10 +29,21 @@ def local_session(cores: str = "8", app: str = "marketframe") -> SparkSession:
     return builder.getOrCreate()
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on, also in sessions that others have made."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.sources.partitionOverwriteMode"):
+        if spark.conf.get(key, None) != DEFAULTS[key]:
+            spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only on a local master where it is unset."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     return current

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marketframe.functions.stats import rnd
 from marketframe.operators.windows import by_asset, running
+from marketframe.session import settled
 
 
 
@@ -16,7 +17,7 @@ class Market:
     """Lazily built inputs over one data directory."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = settled(spark), path
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
