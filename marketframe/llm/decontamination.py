@@ -151,10 +151,10 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, bound: int = BLOCK) -> li
     total = rows.count()
     n = max(1, -(-total // bound))
     if n == 1:
-        return [Windows(rows.toPandas())]
+        return [Windows(rows.toArrow().to_pandas())]
     # equal windows fall into one block; a block holds about half the bound
     n *= 2
-    return [Windows(rows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).toPandas()) for i in range(n)]
+    return [Windows(rows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).toArrow().to_pandas()) for i in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: int = BLOCK, keep_text: bool = False) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketframe.llm import texts
 from marketframe.llm.registry import query, table
+from marketframe.llm.storage import arrays
 
 LABELLED = 8_000
 PRIOR = 20_000.0
@@ -176,18 +177,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, train=None) -
     prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / (tokens_t + tokens_c)
     up, down = F.col("t") + prior, F.col("c") + prior
     odds = F.log(up / (tokens_t + PRIOR - up)) - F.log(down / (tokens_c + PRIOR - down))
-    rows = (counts.where((up < tokens_t + PRIOR) & (down < tokens_c + PRIOR)).withColumn("odds", odds)
+    rows = arrays(counts.where((up < tokens_t + PRIOR) & (down < tokens_c + PRIOR)).withColumn("odds", odds)
             .where((F.col("odds") > 1.0) & (F.col("odds") / F.sqrt(1 / up + 1 / down) >= Z_LEAST))
-            .select("key", "odds", (down / (tokens_c + PRIOR)).alias("p"))).toPandas()
-    odds_of = rows["odds"].to_numpy(float)
+            .select("key", "odds", (down / (tokens_c + PRIOR)).alias("p")))
+    odds_of = rows["odds"]
     rate = min(max(float(rows["p"].sum()), 1e-9), 0.05)
     plain = -0.02
     decay = _decay(odds_of, rate, plain)
-    model = ToxicityModel(rows["key"].to_numpy(np.int64).view(np.uint64), odds_of, plain, rate, decay)
-    bins = (known.select(F.col("toxic").alias("doc_id"), "text").mapInArrow(model.apply, OUT)
+    model = ToxicityModel(rows["key"].view(np.uint64), odds_of, plain, rate, decay)
+    bins = arrays(known.select(F.col("toxic").alias("doc_id"), "text").mapInArrow(model.apply, OUT)
             .groupBy((F.col("doc_id") > 0).alias("y"), F.round(F.least("evidence", F.lit(EVIDENCE_MOST)) * (EVIDENCE_BINS / EVIDENCE_MOST)).alias("bin"))
-            .count().toPandas())
-    model.curve = _logistic(bins["bin"].to_numpy(float) * EVIDENCE_MOST / EVIDENCE_BINS, bins["y"].to_numpy(float), bins["count"].to_numpy(float))
+            .count())
+    model.curve = _logistic(bins["bin"] * EVIDENCE_MOST / EVIDENCE_BINS, bins["y"].astype(float), bins["count"].astype(float))
     return model
 
 
