@@ -49,7 +49,7 @@ TEMPLATES = {
 }
 # Byte patterns that make a line a candidate (lower case).
 CUES = (b"licen", b"copyright", b"permission is", b"all rights reserved", b"redistribution and use", b"spdx", b"(c) ", b"creative commons", b"free software")
-TOP, VARIANT, NEAR = 5, 0.2, 2
+TOP, VARIANT, NEAR = 5, 0.25, 2
 #: bytes of a neighbouring line that may belong to a notice
 SHORT = 160
 LEVEL = 3

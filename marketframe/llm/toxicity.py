@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Every token has a log-odds score between toxic and clean labelled documents under an informative Dirichlet prior (the
-background rate of the token, weighted by PRIOR tokens). Counts are of distinct preceding words, so that copies, near copies
+background rate of the token, weighted by PRIOR tokens, at most PRIOR_SHARE of all). Counts are of distinct preceding words, so that copies, near copies
 and shared passages count once. Tokens whose log-odds stand out (z >= Z_LEAST) score their log-odds, all others
 score the log-odds of an unremarkable token, which is negative, so that maximal segments of the score sequence are passages.
 All maximal segments are found by one linear scan over cumulative sums, which only has to stop at positive tokens. A segment
@@ -31,7 +31,7 @@ from marketframe.llm.registry import query, table
 from marketframe.llm.storage import arrays
 
 LABELLED = 8_000
-PRIOR = 20_000.0
+PRIOR, PRIOR_SHARE = 20_000.0, 0.05
 Z_LEAST = 3.0
 #: a segment counts when its probability of arising by chance is below this
 SIGNIFICANT = 0.01
@@ -174,12 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, train=None) -
     tokens_t, tokens_c = float(total[0]), float(total[1])
     if not tokens_t or not tokens_c:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -0.01, 1e-6, 1.0)
-    prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / (tokens_t + tokens_c)
+    strength = min(PRIOR, PRIOR_SHARE * (tokens_t + tokens_c))
+    prior = F.lit(strength) * (F.col("t") + F.col("c")) / (tokens_t + tokens_c)
     up, down = F.col("t") + prior, F.col("c") + prior
-    odds = F.log(up / (tokens_t + PRIOR - up)) - F.log(down / (tokens_c + PRIOR - down))
-    rows = arrays(counts.where((up < tokens_t + PRIOR) & (down < tokens_c + PRIOR)).withColumn("odds", odds)
+    odds = F.log(up / (tokens_t + strength - up)) - F.log(down / (tokens_c + strength - down))
+    rows = arrays(counts.where((up < tokens_t + strength) & (down < tokens_c + strength)).withColumn("odds", odds)
             .where((F.col("odds") > 1.0) & (F.col("odds") / F.sqrt(1 / up + 1 / down) >= Z_LEAST))
-            .select("key", "odds", (down / (tokens_c + PRIOR)).alias("p")))
+            .select("key", "odds", (down / (tokens_c + strength)).alias("p")))
     odds_of = rows["odds"]
     rate = min(max(float(rows["p"].sum()), 1e-9), 0.05)
     plain = -0.02

@@ -66,8 +66,8 @@ class Node:
             values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
             self.hidden = "hidden" in values or "display:none" in values.get("style", "").replace(" ", "").lower()
             self.names = frozenset(x.lower() for k in ("class", "id", "role") for x in NAME_PART.findall(values.get(k, "")))
-            mark = " ".join(values.get("class", "").split()[:1]) + "#" + values.get("id", "")
-            self.label = tag + "." + re.sub(r"[0-9]+", "", mark)
+            # numbers of posts vary from page to page, numbers of styles do not
+            self.label = tag + "." + re.sub(r"[0-9]{3,}", "", " ".join(values.get("class", "").split()[:1])) + "#" + re.sub(r"[0-9]+", "", values.get("id", ""))
 
 
 def parse(text: str) -> Node:
@@ -187,6 +187,7 @@ def _shape(region: Region) -> str:
 
 
 def _merge(a: Region, b: Region) -> None:
+    a.kind = a.kind or "many"
     a.text, a.link, a.hash = a.text + b.text, a.link + b.link, crc32(b.hash.to_bytes(4, "little"), a.hash)
     for x, y in zip(a.children, b.children):
         _merge(x, y)
@@ -226,6 +227,7 @@ def _statistics(batches):
                 if old is None:
                     total[host, shape, j] = [r.label, depth, r.kind, r.furniture, 1, r.text, r.link, r.hash, r.hash, whole, whole]
                 else:
+                    old[2], old[3] = max(old[2], r.kind), max(old[3], r.furniture)
                     old[4] += 1
                     old[5] += r.text
                     old[6] += r.link
@@ -321,8 +323,9 @@ def choose(nodes: list[dict]) -> tuple[list[str], list[list[str]]]:
     if at < 0:
         at = 0
         while True:
-            inner = [i for i in range(len(nodes)) if parent[i] == at and under[i] >= HOLDS * max(under[at], 1)]
-            if not inner:
+            # repeated regions are the blocks of their parent, and text beside the largest region is its heading
+            inner = [i for i in range(len(nodes)) if parent[i] == at and nodes[i]["kind"] != "many" and under[i] >= HOLDS * max(under[at], 1)]
+            if not inner or good[at] > 0 and nodes[at]["label"].split(".")[0] not in ("#root", "html", "body"):
                 break
             at = inner[0]
 
@@ -357,7 +360,8 @@ def induce(pages: DataFrame, shelf: Shelf) -> DataFrame:
     """host, wrapper of every host."""
     summed = [F.sum(c).alias(c) for c in ("pages", "text", "link")] + [F.min(c).alias(c) for c in ("low", "page_low")] + [F.max(c).alias(c) for c in ("high", "page_high")]
     rest = ["label", "depth", "kind", "furniture", "pages", "text", "link", "low", "high", "page_low", "page_high"]
-    stats = shelf.put(pages.select(_host().alias("host"), "html").mapInArrow(_statistics, STATS).groupBy("host", "shape", "node", "label", "depth", "kind", "furniture").agg(*summed), "statistics")
+    stats = shelf.put(pages.select(_host().alias("host"), "html").mapInArrow(_statistics, STATS).groupBy("host", "shape", "node", "label", "depth")
+                      .agg(F.max("kind").alias("kind"), F.max("furniture").alias("furniture"), *summed), "statistics")
     shapes = stats.groupBy("host", "shape").agg(F.collect_list(F.struct("node", *rest)).alias("nodes"), F.max("pages").alias("n"))
     reference = shelf.put(shapes.groupBy("host").agg(F.max_by("nodes", F.struct("n", "shape")).alias("reference")), "references")
     aligned = shapes.join(reference, "host").select("host", "nodes", "reference").mapInArrow(_align, ALIGNED)
