@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from marketframe.llm.texts import mix
 
@@ -38,3 +39,30 @@ def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.n
     """Distinct keys with their summed counts."""
     key, where = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(where, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
+class Tally:
+    """Counts of 64-bit keys within a task, merged as they come and handed on when there are more than most of them."""
+
+    def __init__(self, names: tuple[str, str], most: int = 2_000_000, rows: int = 100_000):
+        self.names, self.most, self.rows = list(names), most, rows
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > self.most:
+            key, n = merge_counts(self.keys, self.counts)
+            self.keys, self.counts, self.waiting = [key], [n], len(key)
+            if self.waiting > self.most // 2:
+                yield from self.end()
+
+    def end(self):
+        if self.keys:
+            key, n = merge_counts(self.keys, self.counts)
+            self.keys, self.counts, self.waiting = [], [], 0
+            for i in range(0, len(key), self.rows):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:i + self.rows].view(np.int64)), pa.array(n[i:i + self.rows])], names=self.names)
