@@ -56,51 +56,47 @@ def benchmark_align(spark, d):
         "portfolio_id", "ts", rnd("strategy").alias("strategy"), rnd("benchmark").alias("benchmark"))
 
 
-@query("signal_holdings", """
-    SELECT COALESCE(s.portfolio_id, h.portfolio_id) AS portfolio_id, COALESCE(s.strategy_id, h.strategy_id) AS strategy_id, s.order_id, s.side,
-           COALESCE(h.held, 0) AS held,
-           CASE WHEN s.side = 'SELL' AND COALESCE(held, 0) > 0 THEN 'close_long' WHEN s.side = 'BUY' AND COALESCE(held, 0) < 0 THEN 'close_short'
-                WHEN s.side IS NULL THEN 'hold' ELSE 'open' END AS action
-    FROM (SELECT * FROM orders_in WHERE ts >= DATE '1998-06-01') AS s FULL OUTER JOIN (
-      SELECT portfolio_id, strategy_id, SUM(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS held
-      FROM fills WHERE ts < DATE '1998-06-01' GROUP BY 1, 2) AS h
-    ON s.portfolio_id = h.portfolio_id AND s.strategy_id = h.strategy_id""")
+# what each order's portfolio holds of its strategy from fills of earlier days
+HELD_AT = """(SELECT o.order_id, SUM(CASE WHEN f.side = 'BUY' THEN f.quantity ELSE -f.quantity END) AS held FROM orders_in AS o
+    JOIN fills AS f ON f.portfolio_id = o.portfolio_id AND f.strategy_id = o.strategy_id AND f.ts < o.ts GROUP BY 1)"""
+
+
+@query("signal_holdings", f"""
+    SELECT o.portfolio_id, o.strategy_id, o.order_id, o.side, COALESCE(h.held, 0) AS held,
+           CASE WHEN o.side = 'SELL' AND COALESCE(held, 0) > 0 THEN 'close_long' WHEN o.side = 'BUY' AND COALESCE(held, 0) < 0 THEN 'close_short' ELSE 'open' END AS action
+    FROM orders_in AS o LEFT JOIN {HELD_AT} AS h ON h.order_id = o.order_id""")
 def signal_holdings(spark, d):
     m = Market(spark, d)
-    held = holdings.holdings(m.fills().where("ts < '1998-06-01'"), ["portfolio_id", "strategy_id"])
-    orders = m.orders_in().where("ts >= '1998-06-01'")
     action = (F.when((F.col("side") == "SELL") & (F.col("held") > 0), "close_long")
-              .when((F.col("side") == "BUY") & (F.col("held") < 0), "close_short")
-              .when(F.col("side").isNull(), "hold").otherwise("open"))
-    return holdings.with_holdings(orders, held, ["portfolio_id", "strategy_id"]).select(
+              .when((F.col("side") == "BUY") & (F.col("held") < 0), "close_short").otherwise("open"))
+    return holdings.with_holdings_as_of(m.orders_in(), m.fills(), ["portfolio_id", "strategy_id"]).select(
         "portfolio_id", "strategy_id", "order_id", "side", "held", action.alias("action"))
 
 
-@query("order_screen", """
+@query("order_screen", f"""
     SELECT o.order_id, o.portfolio_id, o.side, CASE WHEN side = 'SELL' THEN 'closing' WHEN cur / NULLIF(eq, 0) >= 0.1 THEN 'position_limit'
-             WHEN nth > 3 THEN 'strategy_full' WHEN v < 1000 THEN 'below_minimum' WHEN eq > 0 AND (cur + v) / NULLIF(eq, 0) > 0.1 THEN 'concentration'
+             WHEN nth > 20 THEN 'strategy_full' WHEN v < 1000 THEN 'below_minimum' WHEN eq > 0 AND (cur + v) / NULLIF(eq, 0) > 0.1 THEN 'concentration'
              ELSE 'approved' END AS status, R4((cur + v) / NULLIF(eq, 0)) AS projected_weight,
            R4(CASE WHEN v > cash * 0.95 THEN GREATEST(cash * 0.95, 0) ELSE v END) AS approved_value
-    FROM (SELECT o.*, ABS(COALESCE(h.held_value, 0)) AS cur, GREATEST(COALESCE(c.cash, 0), 0) + COALESCE(c.book_value, 0) AS eq, c.cash,
+    FROM (SELECT o.*, ABS(COALESCE(h.held * p.px, 0)) AS cur, GREATEST(COALESCE(c.cash, 0), 0) + COALESCE(c.book_value, 0) AS eq, c.cash,
                  f.nth, CASE WHEN COALESCE(o.limit_value, 0) = 0 THEN (GREATEST(COALESCE(c.cash, 0), 0) + COALESCE(c.book_value, 0)) * 0.02 ELSE o.limit_value END AS v
-          FROM (SELECT *, strategy_id AS asset_id FROM orders_in WHERE ts >= DATE '1997-01-01') AS o
-          LEFT JOIN (SELECT portfolio_id, strategy_id, SUM(CASE WHEN side = 'BUY' THEN quantity * fill_price ELSE -quantity * fill_price END) AS held_value
-                     FROM fills WHERE ts < DATE '1997-01-01' GROUP BY 1, 2) AS h ON h.portfolio_id = o.portfolio_id AND h.strategy_id = o.strategy_id
+          FROM orders_in AS o LEFT JOIN {HELD_AT} AS h ON h.order_id = o.order_id
+          ASOF LEFT JOIN (SELECT strategy_id, ts, R8(SUM(quantity * fill_price) / SUM(quantity)) AS px FROM fills GROUP BY 1, 2) AS p
+            ON p.strategy_id = o.strategy_id AND p.ts < o.ts
           LEFT JOIN (SELECT c_custkey AS portfolio_id, c_acctbal * 1000 AS cash, 500000.0::DOUBLE AS book_value FROM customer) AS c ON c.portfolio_id = o.portfolio_id
           LEFT JOIN (SELECT portfolio_id, asset_id, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY ts, order_id) AS nth FROM (
-                       SELECT portfolio_id, strategy_id AS asset_id, ts, order_id FROM orders_in WHERE side = 'BUY' AND ts >= DATE '1997-01-01'
+                       SELECT portfolio_id, strategy_id AS asset_id, ts, order_id FROM orders_in WHERE side = 'BUY'
                        QUALIFY ROW_NUMBER() OVER (PARTITION BY portfolio_id, strategy_id ORDER BY ts, order_id) = 1)) AS f
             ON f.portfolio_id = o.portfolio_id AND f.asset_id = o.strategy_id) AS o""")
 def order_screen(spark, d):
     m = Market(spark, d)
-    cut = "1997-01-01"
-    orders = m.orders_in().where(f"ts >= '{cut}'").withColumn("asset_id", F.col("strategy_id")).withColumn(
-        "strategy_id", F.col("portfolio_id"))
-    held = holdings.holdings(m.fills().where(f"ts < '{cut}'"), ["portfolio_id", "strategy_id"]).withColumnRenamed(
-        "strategy_id", "asset_id")
+    orders = holdings.with_holdings_as_of(m.orders_in(), m.fills(), ["portfolio_id", "strategy_id"])
+    orders = holdings.with_last_price(orders, m.fills(), "strategy_id")
+    # in these tables a strategy stands for the asset, and a portfolio for the strategy that opens assets
+    orders = orders.withColumn("asset_id", F.col("strategy_id")).withColumn("strategy_id", F.col("portfolio_id"))
     cash = m.table("customer").select(F.col("c_custkey").alias("portfolio_id"), (F.col("c_acctbal") * 1000).alias("cash"),
                                       F.lit(500000.0).alias("book_value"))
-    return holdings.screened_orders(orders, held, cash, 0.1, 3, 1000.0).select(
+    return holdings.screened_orders(orders, cash, 0.1, 20, 1000.0).select(
         "order_id", "portfolio_id", "side", "status", rnd("projected_weight", 4).alias("projected_weight"),
         rnd("approved_value", 4).alias("approved_value"))
 

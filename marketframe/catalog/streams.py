@@ -46,7 +46,8 @@ def stream_order_fill(spark, d):
     orders = table_stream(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("order_ts"))
     fills = table_stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("fill_order_id"), F.col("l_shipdate").cast("timestamp").alias("fill_ts"),
                                                       F.col("l_quantity").alias("quantity"))
-    return run_to_parquet(jobs.order_fills(orders, fills), "order_fill").select("order_id", NTZ("order_ts"), NTZ("fill_ts"), "quantity")
+    # both tables are stored by key, over eight years of dates
+    return run_to_parquet(jobs.order_fills(orders, fills, delay="3000 days"), "order_fill").select("order_id", NTZ("order_ts"), NTZ("fill_ts"), "quantity")
 
 
 @query("stream_trailing_stop", """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketframe.functions.stats import rnd
+from marketframe.operators.asof import asof_join
+
 
 def signed(side: str = "side", quantity: str = "quantity") -> Column:
     return F.when(F.col(side) == "BUY", F.col(quantity)).otherwise(-F.col(quantity))
@@ -19,20 +22,38 @@ def with_holdings(orders: DataFrame, held: DataFrame, keys: list[str]) -> DataFr
     return joined.withColumns({"held": F.coalesce("held", F.lit(0.0)), "held_value": F.coalesce("held_value", F.lit(0.0))})
 
 
-def screened_orders(orders: DataFrame, held: DataFrame, cash: DataFrame, max_weight: float = 0.10,
-                    max_assets: int = 20, min_value: float = 100.0) -> DataFrame:
-    """Pre-trade screens in the order they are taken; only the first reason is reported.
+def with_holdings_as_of(orders: DataFrame, fills: DataFrame, keys: list[str], block: str = "month") -> DataFrame:
+    """Each order with the net quantity its key held from fills strictly before the order's date; 0 without any.
+
+    Fills become one row per key and day, so running totals are windows bounded by the calendar; orders are matched in blocks
+    of time, so a key with a third of all orders is spread over its blocks.
+    """
+    daily = fills.groupBy(*keys, "ts").agg(F.sum(signed()).alias("_q"))
+    days = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    totals = daily.select(*keys, "ts", F.sum("_q").over(days).alias("held"))
+    found = asof_join(orders, totals, keys, "ts", "ts", ["held"], inclusive=False, block=block)
+    return found.withColumn("held", F.coalesce("held", F.lit(0.0)))
+
+
+def with_last_price(orders: DataFrame, fills: DataFrame, key: str, block: str = "month") -> DataFrame:
+    """Each order with the volume-weighted fill price of its asset on the last day before it, as `last_price`."""
+    cost = F.sum(F.col("quantity") * F.col("fill_price"))
+    daily = fills.groupBy(key, "ts").agg(rnd(cost / F.sum("quantity"), 8).alias("last_price"))
+    return asof_join(orders, daily, [key], "ts", "ts", ["last_price"], inclusive=False, block=block)
+
+
+def screened_orders(orders: DataFrame, cash: DataFrame, max_weight: float = 0.10, max_assets: int = 20, min_value: float = 100.0) -> DataFrame:
+    """Pre-trade screens in the order they are taken; only the first reason is reported. Orders carry held and last_price.
 
-    Selling is never screened. The number of assets a strategy already opened counts the assets whose first opening
-    order came earlier, a rank over one row per (strategy, asset).
+    Selling is never screened. A position weighs its held quantity at the last price before the order. The number of assets a
+    strategy already opened counts the assets whose first opening order came earlier, a rank over one row per (strategy, asset).
     """
     opened = orders.where("side = 'BUY'").groupBy("strategy_id", "asset_id").agg(
         F.min(F.struct("ts", "order_id")).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("strategy_id").orderBy("_first"))
     opened = opened.withColumn("_nth", rank).drop("_first")
-    df = (orders.join(held, ["portfolio_id", "asset_id"], "left").join(cash, "portfolio_id", "left")
-          .join(opened, ["strategy_id", "asset_id"], "left"))
-    current = F.abs(F.coalesce("held_value", F.lit(0.0)))
+    df = orders.join(cash, "portfolio_id", "left").join(opened, ["strategy_id", "asset_id"], "left")
+    current = F.abs(F.coalesce(F.col("held") * F.col("last_price"), F.lit(0.0)))
     equity = F.greatest(F.coalesce("cash", F.lit(0.0)), F.lit(0.0)) + F.coalesce("book_value", F.lit(0.0))
     df = df.withColumns({"_current": current, "_equity": equity})
     value = F.when(F.coalesce("limit_value", F.lit(0.0)) == 0, F.col("_equity") * 0.02).otherwise(F.col("limit_value"))

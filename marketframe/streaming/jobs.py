@@ -38,7 +38,11 @@ def cooled_alerts(alerts: DataFrame, keys: list[str], cooldown: str = "1 hour")
 
 
 def order_fills(orders: DataFrame, fills: DataFrame, within: str = "interval 120 days", delay: str = "1 day") -> DataFrame:
-    """Orders with the fills that arrive inside a bounded time, so state on both sides can be dropped."""
+    """Orders with the fills that arrive inside a bounded time, so state on both sides can be dropped.
+
+    delay is the disorder that the sources promise not to exceed, over all of what they deliver: rows later than it behind the newest one
+    are dropped, however the input falls into batches. Sources without an order in time need their whole span.
+    """
     o = orders.withWatermark("order_ts", delay)
     f = fills.withWatermark("fill_ts", delay)
     return o.join(f, F.expr(f"order_id = fill_order_id AND fill_ts >= order_ts AND fill_ts <= order_ts + {within}"), "inner")

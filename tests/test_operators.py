@@ -305,3 +305,35 @@ def test_recurrence_over_blocks(spark):
         y = a * y + b
         want.append(y)
     np.testing.assert_allclose(got.y1, want, rtol=1e-9, atol=1e-12)
+
+
+def test_asof_daily_with_two_releases_on_one_date(spark):
+    left = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 4, "ts": pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-09"]).date}))
+    right = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 3, "rt": pd.to_datetime(["2024-01-02", "2024-01-02", "2024-01-05"]).date, "v": [1.0, 2.0, 3.0]}))
+    got = asof_daily(left, right, ["k"], "ts", "rt", ["v"]).orderBy("ts").toPandas().v.tolist()
+    assert [None if pd.isna(x) else x for x in got] == [None, 2.0, 2.0, 3.0]
+
+
+def test_a_position_is_followed_past_its_month(spark):
+    from marketframe.operators import chains
+    day = lambda x: pd.Timestamp(x).date()
+    sold = spark.createDataFrame(pd.DataFrame({"asset_id": ["a", "b"], "entry_ts": [day("2024-01-02")] * 2, "strike": [110.0, 110.0], "expiration": [day("2024-04-01")] * 2,
+                                               "entry_credit": [2.0, 2.0], "iv": [0.2, 0.2], "rate": [0.05, 0.05]}))
+    days = pd.bdate_range("2024-01-02", "2024-06-03")
+    bars = spark.createDataFrame(pd.DataFrame({"asset_id": ["a"] * len(days) + ["b"] * len(days), "ts": list(days.date) * 2,
+                                               "s": [106.0] * len(days) + [80.0] * len(days)}))
+    got = {r.asset_id: r for r in chains.first_exits(sold, bars).collect()}
+    assert got["b"].exit == "profit_target" and got["b"].ts == day("2024-01-03")
+    # dear at first; the clock or decay ends it months after its entry
+    assert got["a"].ts >= day("2024-02-15") and got["a"].exit in ("time", "profit_target") and got["a"].dte <= 46
+
+
+def test_orders_see_fills_of_earlier_days_only(spark):
+    from marketframe.operators import holdings
+    day = lambda x: pd.Timestamp(x).date()
+    fills = spark.createDataFrame(pd.DataFrame({"p": [1, 1, 1, 2], "ts": [day("2024-01-02"), day("2024-01-02"), day("2024-02-01"), day("2024-01-05")],
+                                                "side": ["BUY", "BUY", "SELL", "SELL"], "quantity": [5.0, 1.0, 10.0, 3.0], "fill_price": [2.0, 8.0, 4.0, 1.0]}))
+    orders = spark.createDataFrame(pd.DataFrame({"id": range(5), "p": [1, 1, 1, 1, 2], "ts": [day(x) for x in ("2024-01-02", "2024-01-03", "2024-02-01", "2024-03-09", "2024-01-05")]}))
+    got = holdings.with_last_price(holdings.with_holdings_as_of(orders, fills, ["p"]), fills, "p").orderBy("id").toPandas()
+    assert got.held.tolist() == [0.0, 6.0, 6.0, -4.0, 0.0]
+    assert [None if pd.isna(x) else x for x in got.last_price] == [None, 3.0, 3.0, 4.0, None]

@@ -33,7 +33,7 @@ def ticks(n=600):
 
 def test_bars_over_several_batches_equal_one_pass(spark, folder):
     pdf = ticks()
-    stream = split_table(spark, folder, pdf, "t", [pdf[i::1][i * 100:(i + 1) * 100] if False else pdf[i * 100:(i + 1) * 100] for i in range(6)])
+    stream = split_table(spark, folder, pdf, "t", [pdf[i * 100:(i + 1) * 100] for i in range(6)])
     got = run_to_parquet(jobs.ohlcv(stream), "t").toPandas()
     pdf["start"] = pdf.ts.dt.floor("D")
     closed = pdf[pdf.start + pd.Timedelta("1D") <= pdf.ts.max() - pd.Timedelta("10min")]
@@ -95,3 +95,14 @@ def test_bar_store_prunes_partitions(spark, folder, bars):
 def test_json_export(spark, folder):
     sinks.export_json(spark.range(3), f"{folder}/j")
     assert spark.read.json(f"{folder}/j").count() == 3
+
+
+def test_order_fills_do_not_depend_on_batches(spark, folder):
+    days = pd.Timestamp("2024-01-01") + pd.to_timedelta([(i * 53) % 400 for i in range(200)], "D")
+    orders = pd.DataFrame({"order_id": range(200), "ts": days})
+    fills = pd.DataFrame({"fill_order_id": [i % 200 for i in range(500)], "ts": [days[i % 200] + pd.Timedelta(days=(i * 7) % 150) for i in range(500)]})
+    want = sum(0 <= ((i * 7) % 150) <= 120 for i in range(500))
+    for parts in (1, 5):
+        o = split_table(spark, folder, orders, f"o{parts}", [orders[i::parts] for i in range(parts)]).withColumnRenamed("ts", "order_ts")
+        f = split_table(spark, folder, fills, f"f{parts}", [fills[i::parts] for i in range(parts)]).withColumnRenamed("ts", "fill_ts")
+        assert run_to_parquet(jobs.order_fills(o, f, delay="600 days"), f"of{parts}").count() == want
