@@ -17,12 +17,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketframe.llm import decontamination, mixing, secrets, similarity, toxicity
+from marketframe.llm.registry import table
 from marketframe.session import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7, by a model fitted on training labels."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = table(spark, sf_dir, "labels")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels, train=toxicity.TRAIN))
 
 
@@ -33,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mode="documents")
+    return decontamination.remove(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     folder = os.path.join(shared_dir(spark), f"corpus-{uuid.uuid4().hex}")
     for i, (name, stage) in enumerate(STAGES):
         out = os.path.join(folder, f"{i}-{name}")

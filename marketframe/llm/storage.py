@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame
 from marketframe.session import shared_dir
 
 
+#: rows per Arrow batch: texts and pages may be long, and a batch stands in memory on both sides
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 class Shelf:
     """Tables of one job. drop() removes one that nothing reads any more; those that a returned DataFrame still reads stay."""
 
     def __init__(self, spark, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
