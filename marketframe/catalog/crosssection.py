@@ -10,6 +10,7 @@ from marketframe.catalog.sqltext import RUN, W, over, roll
 from marketframe.functions.stats import rnd
 from marketframe.operators import crosssection as xs, models, weights
 from marketframe.operators.performance import with_returns
+from marketframe.operators.volatility import with_exogenous
 from marketframe.operators.windows import by_asset, log_return, pct_change, running
 from marketframe.sources.market import Market
 
@@ -110,13 +111,22 @@ FACTOR_SQL["dollar_vol_20"] = roll('AVG', 'dv', 20)
 FACTOR_SQL["bb_pos"] = f"(close - {roll('AVG', 'close', 20)}) / (2 * {roll('STDDEV_SAMP', 'close', 20)} + {EPS})"
 FACTOR_SQL["pct_from_high"] = f"(close - {roll('MAX', 'close', 252)}) / ({roll('MAX', 'close', 252)} + {EPS})"
 FACTOR_SQL["pct_from_low"] = f"(close - {roll('MIN', 'close', 252)}) / ({roll('MIN', 'close', 252)} + {EPS})"
+FACTOR_SQL["vix_level"] = "vix"
+FACTOR_SQL["vix_20ma"] = roll('AVG', 'vix', 20)
 FACTORS = list(FACTOR_SQL)
+VIX_BARS = """(SELECT b.*, m.value AS vix FROM (SELECT *, '1-URGENT' AS series_id FROM bars) AS b
+    ASOF LEFT JOIN macro_series AS m ON b.series_id = m.series_id AND b.ts >= m.release_date)"""
+
+
+def factor_panel(spark, d):
+    m = Market(spark, d)
+    return xs.alpha_factors(with_exogenous(m.bars(), m.macro_series(), "1-URGENT"), "vix")
 
 
 @query("alpha_factors", f"""SELECT asset_id, ts, {', '.join(f'R4({x}) AS {n}' for n, x in FACTOR_SQL.items())} FROM (
-    SELECT *, volume * close AS dv, ABS(lr) / (volume * close + 1) AS il FROM (SELECT *, close / LAG(close) {W} - 1 AS r1, LN(close / LAG(close) {W}) AS lr FROM bars))""")
+    SELECT *, volume * close AS dv, ABS(lr) / (volume * close + 1) AS il FROM (SELECT *, close / LAG(close) {W} - 1 AS r1, LN(close / LAG(close) {W}) AS lr FROM {VIX_BARS}))""")
 def alpha_factors(spark, d):
-    df = xs.alpha_factors(bars(spark, d)).withColumn("amihud_illiq", F.col("amihud_illiq") * 1_000_000)
+    df = factor_panel(spark, d).withColumn("amihud_illiq", F.col("amihud_illiq") * 1_000_000)
     return df.select("asset_id", "ts", *[rnd(n, 4).alias(n) for n in FACTORS])
 
 
@@ -128,14 +138,18 @@ def ewm_factors(spark, d):
     return xs.ewm_factors(bars(spark, d)).select("asset_id", "ts", rnd("rsi_14", 4).alias("rsi_14"), rnd("macd_hist").alias("macd_hist"))
 
 
-@query("factor_ranks", f"""SELECT asset_id, ts, factor, R6({rank_sql('value', 'ts, factor')} - 0.5) AS value FROM (
-    {' UNION ALL '.join(f"SELECT asset_id, ts, '{n}' AS factor, {n} AS value FROM f" for n in ('ret_20d', 'vol_20d', 'zscore_20d'))}) WHERE value IS NOT NULL""".replace(
-    "SELECT asset_id, ts, factor, R6", f"""WITH f AS MATERIALIZED (SELECT asset_id, ts, R9({FACTOR_SQL['ret_20d']}) AS ret_20d, R9({FACTOR_SQL['vol_20d']}) AS vol_20d, R9({FACTOR_SQL['zscore_20d']}) AS zscore_20d
-      FROM (SELECT *, LN(close / LAG(close) {W}) AS lr FROM bars)) SELECT asset_id, ts, factor, R6""", 1))
+# values are compared to nine significant places below one, four above, so that equal ones tie in every engine
+COARSE = ("dollar_vol_20",)
+RANKED = ", ".join(f"{'R4' if n in COARSE else 'R9'}({x}) AS {n}" for n, x in FACTOR_SQL.items())
+
+
+@query("factor_ranks", f"""WITH f AS MATERIALIZED (SELECT asset_id, ts, {RANKED} FROM (
+      SELECT *, volume * close AS dv, ABS(lr) / (volume * close + 1) AS il FROM (SELECT *, close / LAG(close) {W} - 1 AS r1, LN(close / LAG(close) {W}) AS lr FROM {VIX_BARS})))
+    SELECT asset_id, ts, factor, R6({rank_sql('value', 'ts, factor')} - 0.5) AS value FROM (UNPIVOT f ON {', '.join(FACTORS)} INTO NAME factor VALUE value) WHERE value IS NOT NULL""")
 def factor_ranks(spark, d):
-    names = ["ret_20d", "vol_20d", "zscore_20d"]
-    panel = xs.alpha_factors(bars(spark, d)).select("ts", "asset_id", *[rnd(n, 9).alias(n) for n in names])
-    ranked = xs.long_factors(panel, names).withColumn("value", rnd(xs.percent_rank_avg("value", ["ts", "factor"]) - 0.5))
+    panel = factor_panel(spark, d).withColumn("amihud_illiq", F.col("amihud_illiq") * 1_000_000)
+    panel = panel.select("ts", "asset_id", *[rnd(n, 4 if n in COARSE else 9).alias(n) for n in FACTORS])
+    ranked = xs.long_factors(panel, FACTORS).withColumn("value", rnd(xs.percent_rank_avg("value", ["ts", "factor"]) - 0.5))
     return ranked.select("asset_id", "ts", "factor", "value")
 
 

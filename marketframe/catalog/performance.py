@@ -116,6 +116,29 @@ def drawdown_episodes(spark, d):
     return rounded(perf.drawdown_episodes(Market(spark, d).equity_curves()), [P, "start", "end", "days"], ["depth"])
 
 
+EPISODES = """
+    SELECT portfolio_id, MIN(ts) AS start, ARG_MAX(nxt, ts) AS "end", MIN(dd) AS depth, ARG_MAX(nxt, ts) - MIN(ts) AS days FROM (
+      SELECT *, SUM(s) OVER (PARTITION BY portfolio_id ORDER BY ts) AS ep FROM (
+        SELECT *, CASE WHEN i AND NOT COALESCE(LAG(i) OVER w, FALSE) THEN 1 ELSE 0 END AS s, LEAD(ts) OVER w AS nxt FROM (
+          SELECT *, dd < -1e-6 AS i FROM (SELECT *, equity / MAX(equity) OVER r - 1 AS dd FROM equity_curves
+            WINDOW r AS (PARTITION BY portfolio_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+        WINDOW w AS (PARTITION BY portfolio_id ORDER BY ts))) WHERE i
+    GROUP BY portfolio_id, ep HAVING BOOL_AND(nxt IS NOT NULL)"""
+
+
+@query("drawdown_summary", f"""SELECT c.portfolio_id, COALESCE(n, 0) AS n_episodes, R6(COALESCE(d, 0)) AS mean_depth, COALESCE(m, 0) AS max_days FROM (SELECT DISTINCT portfolio_id FROM equity_curves) AS c
+    LEFT JOIN (SELECT portfolio_id, COUNT(*) AS n, AVG(depth) AS d, MAX(days) AS m FROM ({EPISODES}) GROUP BY 1) AS e ON e.portfolio_id = c.portfolio_id""")
+def drawdown_summary(spark, d):
+    return rounded(perf.drawdown_summary(Market(spark, d).equity_curves()), [P, "n_episodes", "max_days"], ["mean_depth"])
+
+
+@query("drawdown_utilisation", """SELECT portfolio_id, R6(dd) AS drawdown, R6(dd / -0.15) AS utilisation,
+      CASE WHEN ROUND(dd, 9) <= -0.2 THEN 'CLOSE_ALL' WHEN ROUND(dd, 9) <= -0.15 THEN 'HALT_OPENS' ELSE 'NORMAL' END AS status
+    FROM (SELECT portfolio_id, ARG_MAX(equity, ts) / MAX(equity) - 1 AS dd FROM equity_curves GROUP BY 1)""")
+def drawdown_utilisation(spark, d):
+    return rounded(perf.drawdown_utilisation(Market(spark, d).equity_curves()), [P, "status"], ["drawdown", "utilisation"])
+
+
 @query("rolling_sharpe", f"""SELECT portfolio_id, ts, R6(COALESCE({roll('AVG', 'x', 252, keys=P)} / {roll('STDDEV_SAMP', 'x', 252, keys=P)} * SQRT(252), 0)) AS rolling_sharpe
     FROM (SELECT *, equity / LAG(equity) OVER (PARTITION BY portfolio_id ORDER BY ts) - 1 - 0.05::DOUBLE / 252 AS x FROM equity_curves)
     QUALIFY x IS NOT NULL""")
@@ -334,6 +357,13 @@ def regimes_query(spark, d):
     return regimes(Market(spark, d).bars()).select("asset_id", "ts", "regime")
 
 
+@query("regime_counts", f"SELECT asset_id, regime, COUNT(*) AS n, R6(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY asset_id)) AS share FROM ({REGIMES}) GROUP BY 1, 2")
+def regime_counts(spark, d):
+    n = regimes(Market(spark, d).bars()).groupBy("asset_id", "regime").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("asset_id"))
+    return n.select("asset_id", "regime", "n", rnd(share).alias("share"))
+
+
 @query("regime_metrics", f"""SELECT portfolio_id, regime, n_obs, R6(sharpe_ratio) AS sharpe_ratio, R6(cagr) AS cagr, R6(max_drawdown) AS max_drawdown, R6(calmar_ratio) AS calmar_ratio
     FROM ({summary_sql(f'(SELECT c.*, regime FROM equity_curves AS c JOIN ({REGIMES}) AS g ON g.asset_id = c.portfolio_id AND g.ts = c.ts)', 'portfolio_id, regime')}) WHERE n_obs + 1 >= 20""")
 def regime_metrics(spark, d):

@@ -96,8 +96,11 @@ def dual_momentum(bars: DataFrame, equities: list[str], bond: str, bill: str, lo
         "holding", F.when(F.col("equity_return") > F.col("bill_return"), F.col("best")).otherwise(F.lit(bond)))
 
 
-def alpha_factors(bars: DataFrame, vix: DataFrame | None = None) -> DataFrame:
-    """The factor panel: returns, risk-adjusted momentum, reversals, z-scores, volatilities, volume and technicals."""
+def alpha_factors(bars: DataFrame, vix: str | None = None) -> DataFrame:
+    """The factor panel: returns, risk-adjusted momentum, reversals, z-scores, volatilities, volume and technicals.
+
+    vix names a column of bars with the volatility index as known at the bar; it adds its level and its 20-bar mean.
+    """
     eps = 1e-8
     w = by_asset()
     root = F.sqrt(F.lit(252.0))
@@ -123,6 +126,9 @@ def alpha_factors(bars: DataFrame, vix: DataFrame | None = None) -> DataFrame:
     high, low = roll(F.max, "close", 252), roll(F.min, "close", 252)
     cols["pct_from_high"] = (F.col("close") - high) / (high + eps)
     cols["pct_from_low"] = (F.col("close") - low) / (low + eps)
+    if vix:
+        cols["vix_level"] = F.col(vix)
+        cols["vix_20ma"] = roll(F.avg, vix, 20)
     df = df.withColumns(cols).withColumns({
         "vol_ratio_5_20": F.col("vol_5d") / (F.col("vol_20d") + eps),
         "vol_ratio_20_60": F.col("vol_20d") / (F.col("vol_60d") + eps)})

@@ -67,6 +67,23 @@ def drawdown_episodes(curves: DataFrame, key: str = "portfolio_id", threshold: f
     return out.where("end IS NOT NULL").withColumn("days", F.datediff("end", "start").cast("long")).drop("_episode")
 
 
+def drawdown_summary(curves: DataFrame, key: str = "portfolio_id", threshold: float = -1e-6) -> DataFrame:
+    """Number, mean depth and longest duration of the finished drawdowns of each curve; 0 where there is none."""
+    found = drawdown_episodes(curves, key, threshold).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.avg("depth").alias("mean_depth"), F.max("days").alias("max_days"))
+    every = curves.select(key).distinct().join(found, key, "left")
+    return every.select(key, F.coalesce("n_episodes", F.lit(0)).alias("n_episodes"), F.coalesce("mean_depth", F.lit(0.0)).alias("mean_depth"),
+                        F.coalesce("max_days", F.lit(0)).alias("max_days"))
+
+
+def drawdown_utilisation(curves: DataFrame, halt: float = -0.15, close: float = -0.20, key: str = "portfolio_id") -> DataFrame:
+    """The latest drawdown of each curve as a share of the level that halts new positions, and the state of the breaker."""
+    last = with_drawdown(curves, [key]).groupBy(key).agg(F.max_by("drawdown", "ts").alias("drawdown"))
+    dd = F.round("drawdown", 9)
+    state = F.when(dd <= close, "CLOSE_ALL").when(dd <= halt, "HALT_OPENS").otherwise("NORMAL")
+    return last.withColumns({"utilisation": F.col("drawdown") / halt, "status": state})
+
+
 def rolling_sharpe(curves: DataFrame, key: str = "portfolio_id", n: int = 252, rf: float = RISK_FREE) -> DataFrame:
     w = ordered(key)
     df = with_returns(curves, [key]).withColumn("_x", F.col("ret") - rf / TRADING_DAYS)
