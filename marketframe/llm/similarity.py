@@ -20,14 +20,13 @@ are 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketframe.llm import texts
 from marketframe.llm.graphs import components
 from marketframe.llm.registry import query, table
-from marketframe.llm.storage import Shelf
+from marketframe.llm.storage import Shelf, arrays
 
 WORDS = 3
 #: link when 100 * intersection >= PERCENT * union
@@ -39,6 +38,8 @@ LEAST, RATIO = 9, 1.5
 #: buckets above the pigeonhole minimum: sets with at most this many empty buckets need no keys for empty ones
 SLACK = 4
 TILE = 512
+#: bits of the filter in front of the shuffle of exact sets: 2 MB whatever the input
+FILTER_BITS = 1 << 24
 SIGNED = "doc_id long, th long, n long, cls long, keys array<long>, bits array<long>"
 
 
@@ -123,14 +124,29 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(signatures, SIGNED)
 
 
-def _sets(batches):
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of hashed keys (column k) of fixed size, filled by Spark: it lets through all keys, and others when it is crowded."""
+    at = F.pmod(F.col("k"), F.lit(FILTER_BITS))
+    words = arrays(keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(k, {FILTER_BITS}) & 63 as int))")).alias("v")))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[words["w"]] = words["v"].view(np.uint64)
+    return out
+
+
+def _sets(batches, held):
+    """The sorted shingles of the rows that the bitmap lets through."""
+    bitmap = held.value
     for batch in batches:
-        for chunk in texts.chunks(batch.column("text")):
-            row, h = shingles(chunk)
-            n = np.bincount(row, minlength=chunk.rows)
-            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("cls").slice(chunk.first, chunk.rows),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["cls", "items"])
+        at = np.mod(batch.column("k").to_numpy(), FILTER_BITS)
+        wanted = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        part = pa.Table.from_batches([batch]).filter(pa.array(wanted.astype(bool))).combine_chunks()
+        for own in part.to_batches():
+            for chunk in texts.chunks(own.column("text")):
+                row, h = shingles(chunk)
+                n = np.bincount(row, minlength=chunk.rows)
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()).slice(chunk.first, chunk.rows), own.column("th").slice(chunk.first, chunk.rows),
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "th", "items"])
 
 
 def _confirm(batches):
@@ -146,7 +162,7 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
 
 
-def _bound() -> F.Column:
+def _bound() -> Column:
     """Whether the bitmaps of two classes (nx, bx; ny, by) allow a link: |A xor B| <= (|A| + |B|) (100 - p) / (100 + p)."""
     apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     total = F.col("nx") + F.col("ny")
@@ -159,33 +175,51 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shel
     likely = shelf.put(pairs.join(side[0], "x").join(side[1], "y").where(_bound()).select("x", "y", "rx", "ry"), f"likely-{tag}")
     wanted = likely.select(F.explode(F.array(F.struct(F.col("x").alias("cls"), F.col("rx").alias("rep")),
                                              F.struct(F.col("y").alias("cls"), F.col("ry").alias("rep")))).alias("s")).select("s.*").distinct()
-    own = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-           .join(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), ["doc_id", "th"])
-           .dropDuplicates(["doc_id", "th"]).select("cls", "text"))
-    sets = shelf.put(own.mapInArrow(_sets, "cls long, items array<long>"), f"sets-{tag}")
+    wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{tag}")
+    key = F.xxhash64("doc_id", "th").alias("k")
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
+    # only rows that may be wanted leave the scan; texts are not shuffled
+    near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
+            .mapInArrow(lambda b: _sets(b, held), "doc_id long, th long, items array<long>"))
+    same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
+    sets = shelf.put(near.join(wanted, same).groupBy("cls").agg(F.any_value("items").alias("items")), f"sets-{tag}")
     links = (likely.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("items").alias("xs")), "x")
             .join(sets.select(F.col("cls").alias("y"), F.col("items").alias("ys")), "y").mapInArrow(_confirm, "x long, y long"))
     out = shelf.put(links.select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{tag}")
-    shelf.drop(sets)
-    shelf.drop(likely)
+    for used in (sets, wanted, likely):
+        shelf.drop(used)
     return out
 
 
-def _compare(part: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile (two blocks) that lie in different components and pass the bounds."""
-    left, right = part[part["side"] == 0], part[part["side"] == 1]
-    a, b = np.stack(left["bits"].to_numpy()).view(np.uint64) if len(left) else None, np.stack(right["bits"].to_numpy()).view(np.uint64) if len(right) else None
-    xs, ys = [], []
-    if a is not None and b is not None:
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        ca, cb, ra, rb = left["cls"].to_numpy(), right["cls"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
-        for i in range(len(a)):
-            apart = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
-            ok = (ra[i] != rb) & (apart * (100 + PERCENT) <= (na[i] + nb) * (100 - PERCENT)) & (100 * np.minimum(na[i], nb) >= PERCENT * np.maximum(na[i], nb))
-            xs.append(np.full(ok.sum(), ca[i]))
-            ys.append(cb[ok])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
+def _compare(batches):
+    """members of tiles -> pairs that lie on two sides, in different components, and pass the bounds."""
+    for batch in batches:
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        members = batch.column("members")
+        ends = members.offsets.to_numpy()
+        flat = members.values
+        side, cls, root, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "root", "n"))
+        bits = flat.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            # side 0 and 1 are the blocks of a tile, 2 stands in both
+            left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
+            for i in left.tolist():
+                ok = root[right] != root[i]
+                ok &= 100 * np.minimum(n[i], n[right]) >= PERCENT * np.maximum(n[i], n[right])
+                open_ = right[ok]
+                if len(open_):
+                    apart = np.bitwise_count(bits[i] ^ bits[open_]).sum(axis=1, dtype=np.int64)
+                    open_ = open_[apart * (100 + PERCENT) <= (n[i] + n[open_]) * (100 - PERCENT)]
+                    xs.append(np.full(len(open_), cls[i]))
+                    ys.append(cls[open_])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["x", "y"])
+
+
+def _order() -> Column:
+    """What stands for a class: the smallest id, rows without an id last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +227,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shelf = Shelf(docs.sparkSession, "jaccard")
     full = shelf.put(signed(docs), "signatures")
     rows = shelf.put(full.select("doc_id", "th", "n", "cls"), "rows")
-    classes = shelf.put(full.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"),
+    classes = shelf.put(full.where("n > 0").groupBy("cls").agg(F.min(_order()).alias("rep"), F.any_value("n").alias("n"),
                                                                F.any_value("bits").alias("bits")), "classes")
     keyed = full.where("n > 0").select("cls", F.explode("keys").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
@@ -207,18 +241,21 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_rows = shelf.put(placed.join(mixed.select("key", F.ceil(F.col("m") / TILE).cast("long").alias("parts")), "key")
                           .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts"))), "open")
     dealt = (open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-             .withColumn("side", F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1)))
-                                           .otherwise(F.array(F.when(F.col("own") < F.col("other"), 0).otherwise(1)))))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "side", "cls", "root"))
-    tiles = dealt.join(classes.select("cls", "n", "bits"), "cls")
-    pairs = (tiles.groupBy("key", "i", "j").applyInPandas(_compare, "x long, y long").distinct()
+             .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
+             .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+             .agg(F.array_sort(F.collect_list(F.struct("cls", "side", "root"))).alias("members")))
+    # near copies meet in many tiles with the same members; each such tile is compared once
+    tiles = dealt.groupBy("members").count().select(F.xxhash64("members").alias("tile"), F.explode("members").alias("m")).select("tile", "m.*")
+    full_tiles = (tiles.join(classes.select("cls", "n", "bits"), "cls").groupBy("tile")
+                  .agg(F.collect_list(F.struct("side", "cls", "root", "n", "bits")).alias("members")))
+    pairs = (full_tiles.select("members").mapInArrow(_compare, "x long, y long").distinct()
              .join(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")), ["x", "y"], "left_anti"))
     more = confirmed(pairs, classes, docs, shelf, "tiles")
     roots = components(links.union(more), shelf)
     for used in (shared, open_rows, links, more):
         shelf.drop(used)
     final = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = final.groupBy("root").agg(F.min("rep").alias("component"))
+    least = final.groupBy("root").agg(F.min("rep").alias("component"))      # the smallest id; rows without one come last
     return rows.select("doc_id", "th", "n", "cls"), final.join(least, "root").select("cls", "component")
 
 
