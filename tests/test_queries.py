@@ -7,9 +7,9 @@ from marketframe.catalog import load
 QUERIES, ORACLES = load()
 # needs more history than the small tables have
 MAY_BE_EMPTY = {"warmup_gate", "xs_momentum", "basket_changes", "basket_exits", "dual_momentum", "ml_rank_model", "rolling_ic", "factor_decay",
-                "regime_metrics", "screen_iron_condor", "screen_covered_call", "events_tsmom", "events_adx", "events_rsi",
-                "events_sma_cross", "low_vol_basket", "pair_zscore", "correlated_pairs", "vol_spike_alerts", "ic_alerts", "walk_forward", "rank_signals",
-                "turbulence", "cov_shrunk", "cov_shrunk_oas", "health_alerts", "stress_periods", "expired_options", "screen_straddle"}
+                "regime_metrics", "events_tsmom", "events_adx", "events_rsi",
+                "events_sma_cross", "low_vol_basket", "pair_zscore", "vol_spike_alerts", "ic_alerts", "walk_forward", "rank_signals",
+                "turbulence", "cov_shrunk", "cov_shrunk_oas", "health_alerts", "stress_periods", "expired_options"}
 
 
 @pytest.fixture(scope="module")
