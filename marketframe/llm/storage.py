@@ -1,6 +1,8 @@
 """Intermediate tables as Parquet in the shared folder: they cut lineage, survive lost executors and are read by column."""
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,12 +20,13 @@ def small_batches(spark) -> None:
 
 
 class Shelf:
-    """Tables of one job. drop() removes one that nothing reads any more; those that a returned DataFrame still reads stay."""
+    """Tables of one job. drop() removes one that nothing reads any more; those that a returned DataFrame still reads go with the driver."""
 
     def __init__(self, spark, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        atexit.register(self.clear)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -33,7 +36,15 @@ class Shelf:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+        self._remove(self.paths.pop(id(df)))
+
+    def clear(self) -> None:
+        """Remove what is left of the job. A driver that is killed leaves it to whoever clears the shared folder."""
+        with contextlib.suppress(Exception):
+            self._remove(self.root)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
