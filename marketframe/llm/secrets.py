@@ -73,8 +73,10 @@ class RandomStrings:
 
 def labelled(docs: DataFrame, sample: int = SAMPLE, generated: int = GENERATED) -> DataFrame:
     """(value, random): strings of both classes, each once."""
-    text = F.coalesce("text", F.lit(""))
-    some = (docs.select("doc_id", text.alias("text")).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample))
+    # the sample is chosen by keys alone; its rows are then found by a broadcast of at most `sample` keys
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("__key"))
+    chosen = keyed.select("__key").distinct().orderBy("__key").limit(sample)
+    some = keyed.join(F.broadcast(chosen), "__key")
     assigned = F.transform(F.filter(F.arrays_zip(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)).alias("v")), lambda p: F.length(p["v"]) >= VALUE_LEAST),
                            lambda p: p["v"])
     known = F.concat(assigned, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
