@@ -1,4 +1,6 @@
-"""N-gram Jaccard join: documents whose sets of three-word shingles overlap by at least 90 %, and their components.
+"""N-gram Jaccard join: documents whose sets of word shingles overlap by at least a percentage, and their components.
+
+Rule has the words of a shingle and the percentage; band ends and bucket counts follow from them. The query has three words and 90 %.
 
 Method. Each distinct set becomes one class (copies collapse before anything is joined). Classes are banded by set size; a size
 near the lower edge of its band joins the band below too, so that every linkable pair shares a band. A band deals each set's
@@ -13,12 +15,15 @@ components. Only tiles that still hold several components are compared in full,
 are compared in arrays; blocks are spread over tasks, so one large group fills no task. Links inside one component need not be
 listed: the components are those of all links.
 
-Nulls and empty texts have no shingles and link with nothing; fewer than three words are one shingle; repeated rows and ties
+Nulls and empty texts have no shingles and link with nothing; fewer words than a shingle has are one shingle; repeated rows and ties
 are copies of one class; columns other than doc_id and text are ignored; an empty table gives no rows. Shingles and classes
 are 64-bit hashes.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,13 +33,10 @@ from marketframe.llm.graphs import components
 from marketframe.llm.registry import query, table
 from marketframe.llm.storage import Shelf, arrays
 
-WORDS = 3
-#: link when 100 * intersection >= PERCENT * union
-PERCENT = 90
 #: longs of a parity bitmap
 BITS = 16
-#: smallest size that can differ and still link, and the ratio of a band's ends
-LEAST, RATIO = 9, 1.5
+#: ratio of a band's ends
+RATIO = 1.5
 #: buckets above the pigeonhole minimum: sets with at most this many empty buckets need no keys for empty ones
 SLACK = 4
 TILE = 512
@@ -43,26 +45,49 @@ FILTER_BITS = 1 << 24
 SIGNED = "doc_id long, th long, n long, cls long, keys array<long>, bits array<long>"
 
 
-def band_edges() -> np.ndarray:
-    """Lower ends of the bands, up to sets of 2 ** 40 shingles."""
-    out = [LEAST]
-    while out[-1] < 1 << 40:
-        out.append(int(out[-1] * RATIO) + 1)
-    return np.array(out, dtype=np.int64)
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of so many words, and the overlap that links: 100 * intersection >= percent * union."""
+
+    words: int = 3
+    percent: int = 90
+
+    def __post_init__(self):
+        # linkable sets lie in one band or in neighbouring ones, so a band's ratio has to exceed that of their sizes
+        if self.words < 1 or not 100 / RATIO < self.percent < 100:
+            raise ValueError(f"shingles need a word, and links more than {100 / RATIO:.0f} and less than 100 percent: {self}")
+
+    @property
+    def least(self) -> int:
+        """Smallest size that can differ and still link: n / (n + 1) reaches the percentage."""
+        return -(-self.percent // (100 - self.percent))
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """Lower ends of the bands, up to sets of 2 ** 40 shingles."""
+        out = [self.least]
+        while out[-1] < 1 << 40:
+            out.append(int(out[-1] * RATIO) + 1)
+        return np.array(out, dtype=np.int64)
+
+    def differ(self, size: np.ndarray) -> np.ndarray:
+        """Most shingles in which a set of this size and a linked one that is no smaller can differ."""
+        return size * (100 - self.percent) // self.percent
 
 
-EDGES = band_edges()
+#: three words and 90 percent, as the query has them
+RULE = Rule()
 
 
-def shingles(chunk: texts.Chunk) -> tuple[np.ndarray, np.ndarray]:
+def shingles(chunk: texts.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles, ordered by both."""
     chunk.words(lower=True)
-    h, inside = texts.window_hash(chunk.hash, chunk.row, WORDS)
+    h, inside = texts.window_hash(chunk.hash, chunk.row, words)
     row = chunk.row[:len(h)][inside]
     h = h[inside]
     n = chunk.count()
     first = np.concatenate(([0], np.cumsum(n)))
-    for size in range(1, WORDS):
+    for size in range(1, words):
         short = np.flatnonzero(n == size)
         if len(short):
             whole, _ = texts.window_hash(chunk.hash, np.zeros(len(chunk.hash), dtype=np.int64), size)
@@ -72,11 +97,11 @@ def shingles(chunk: texts.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return row, h
 
 
-def _tile_keys(row: np.ndarray, h: np.ndarray, band: np.ndarray, rows: int):
+def _tile_keys(row: np.ndarray, h: np.ndarray, band: np.ndarray, rows: int, rule: Rule):
     """(row, key) of every bucket of the rows that have a band (band < 0: none)."""
     on = band >= 0
-    top = EDGES[np.minimum(np.maximum(band, 0) + 1, len(EDGES) - 1)]
-    k = np.where(on, top // LEAST + 1 + SLACK, 0)
+    top = rule.edges[np.minimum(np.maximum(band, 0) + 1, len(rule.edges) - 1)]
+    k = np.where(on, rule.differ(top) + 1 + SLACK, 0)
     base = np.concatenate(([0], np.cumsum(k)))
     keep = on[row]
     r, x = row[keep], texts.mix(h[keep] ^ np.uint64(0x5851F42D4C957F2D))
@@ -93,11 +118,11 @@ def _tile_keys(row: np.ndarray, h: np.ndarray, band: np.ndarray, rows: int):
     return owner[good], key[good]
 
 
-def signatures(batches):
+def signatures(batches, rule: Rule):
     """doc_id, th, text -> SIGNED."""
     for batch in batches:
         for chunk in texts.chunks(batch.column("text")):
-            row, h = shingles(chunk)
+            row, h = shingles(chunk, rule.words)
             rows = chunk.rows
             n = np.bincount(row, minlength=rows)
             s1 = np.zeros(rows, dtype=np.uint64)
@@ -105,9 +130,9 @@ def signatures(batches):
             cls = texts.mix(s1 ^ (n.astype(np.uint64) << np.uint64(44)))
             bits = np.zeros((rows, BITS), dtype=np.uint64)
             np.bitwise_xor.at(bits, (row, (h & np.uint64(BITS - 1)).astype(np.int64)), np.uint64(1) << ((h >> np.uint64(8)) & np.uint64(63)))
-            band = np.searchsorted(EDGES, n, side="right") - 1
-            low = np.where((band > 0) & (PERCENT * n <= 100 * EDGES[np.maximum(band, 0)]), band - 1, -1)
-            parts = [_tile_keys(row, h, b, rows) for b in (band, low)]
+            band = np.searchsorted(rule.edges, n, side="right") - 1
+            low = np.where((band > 0) & (rule.percent * n <= 100 * rule.edges[np.maximum(band, 0)]), band - 1, -1)
+            parts = [_tile_keys(row, h, b, rows, rule) for b in (band, low)]
             owner, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(owner, kind="stable")
             ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows)))).astype(np.int32)
@@ -119,9 +144,9 @@ def signatures(batches):
                 names=["doc_id", "th", "n", "cls", "keys", "bits"])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The signature of every row."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(signatures, SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lambda b: signatures(b, rule), SIGNED)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -133,7 +158,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(batches, held):
+def _sets(batches, held, words: int):
     """The sorted shingles of the rows that the bitmap lets through."""
     bitmap = held.value
     for batch in batches:
@@ -142,14 +167,14 @@ def _sets(batches, held):
         part = pa.Table.from_batches([batch]).filter(pa.array(wanted.astype(bool))).combine_chunks()
         for own in part.to_batches():
             for chunk in texts.chunks(own.column("text")):
-                row, h = shingles(chunk)
+                row, h = shingles(chunk, words)
                 n = np.bincount(row, minlength=chunk.rows)
                 ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()).slice(chunk.first, chunk.rows), own.column("th").slice(chunk.first, chunk.rows),
                                                   pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "th", "items"])
 
 
-def _confirm(batches):
+def _confirm(batches, percent: int):
     """(x, y, xs, ys) -> the pairs that link, by intersecting the sorted arrays."""
     for batch in batches:
         xs, ys = batch.column("xs"), batch.column("ys")
@@ -158,21 +183,21 @@ def _confirm(batches):
             a, b = xs[i].values.to_numpy().view(np.uint64), ys[i].values.to_numpy().view(np.uint64)
             at = np.searchsorted(a, b)
             both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            good.append(100 * both >= percent * (len(a) + len(b) - both))
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
 
 
-def _bound() -> Column:
+def _bound(percent: int) -> Column:
     """Whether the bitmaps of two classes (nx, bx; ny, by) allow a link: |A xor B| <= (|A| + |B|) (100 - p) / (100 + p)."""
     apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     total = F.col("nx") + F.col("ny")
-    return ((apart * (100 + PERCENT) <= total * (100 - PERCENT)) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")))
+    return ((apart * (100 + percent) <= total * (100 - percent)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf, tag: str) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf, tag: str, rule: Rule) -> DataFrame:
     """Of distinct pairs (x, y) of classes, those that link. classes: cls, rep, n, bits."""
     side = [classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("rep").alias(f"r{k}")) for k in "xy"]
-    likely = shelf.put(pairs.join(side[0], "x").join(side[1], "y").where(_bound()).select("x", "y", "rx", "ry"), f"likely-{tag}")
+    likely = shelf.put(pairs.join(side[0], "x").join(side[1], "y").where(_bound(rule.percent)).select("x", "y", "rx", "ry"), f"likely-{tag}")
     wanted = likely.select(F.explode(F.array(F.struct(F.col("x").alias("cls"), F.col("rx").alias("rep")),
                                              F.struct(F.col("y").alias("cls"), F.col("ry").alias("rep")))).alias("s")).select("s.*").distinct()
     wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{tag}")
@@ -180,18 +205,18 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shel
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
     # only rows that may be wanted leave the scan; texts are not shuffled
     near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
-            .mapInArrow(lambda b: _sets(b, held), "doc_id long, th long, items array<long>"))
+            .mapInArrow(lambda b: _sets(b, held, rule.words), "doc_id long, th long, items array<long>"))
     same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
     sets = shelf.put(near.join(wanted, same).groupBy("cls").agg(F.any_value("items").alias("items")), f"sets-{tag}")
     links = (likely.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("items").alias("xs")), "x")
-            .join(sets.select(F.col("cls").alias("y"), F.col("items").alias("ys")), "y").mapInArrow(_confirm, "x long, y long"))
+            .join(sets.select(F.col("cls").alias("y"), F.col("items").alias("ys")), "y").mapInArrow(lambda b: _confirm(b, rule.percent), "x long, y long"))
     out = shelf.put(links.select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{tag}")
     for used in (sets, wanted, likely):
         shelf.drop(used)
     return out
 
 
-def _compare(batches):
+def _compare(batches, percent: int):
     """members of tiles -> pairs that lie on two sides, in different components, and pass the bounds."""
     for batch in batches:
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -205,11 +230,11 @@ def _compare(batches):
             left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
             for i in left.tolist():
                 ok = root[right] != root[i]
-                ok &= 100 * np.minimum(n[i], n[right]) >= PERCENT * np.maximum(n[i], n[right])
+                ok &= 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
                 open_ = right[ok]
                 if len(open_):
                     apart = np.bitwise_count(bits[i] ^ bits[open_]).sum(axis=1, dtype=np.int64)
-                    open_ = open_[apart * (100 + PERCENT) <= (n[i] + n[open_]) * (100 - PERCENT)]
+                    open_ = open_[apart * (100 + percent) <= (n[i] + n[open_]) * (100 - percent)]
                     xs.append(np.full(len(open_), cls[i]))
                     ys.append(cls[open_])
         x, y = np.concatenate(xs), np.concatenate(ys)
@@ -222,10 +247,10 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
 
 
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has doc_id, th, n, cls; classes has cls, component: the (doc_id, th) that stands for its component."""
     shelf = Shelf(docs.sparkSession, "jaccard")
-    full = shelf.put(signed(docs), "signatures")
+    full = shelf.put(signed(docs, rule), "signatures")
     rows = shelf.put(full.select("doc_id", "th", "n", "cls"), "rows")
     classes = shelf.put(full.where("n > 0").groupBy("cls").agg(F.min(_order()).alias("rep"), F.any_value("n").alias("n"),
                                                                F.any_value("bits").alias("bits")), "classes")
@@ -233,7 +258,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
     shared = shelf.put(keyed.join(ends, "key").select("key", "cls", "low").distinct(), "tiles")
     shelf.drop(full)
-    links = confirmed(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct(), classes, docs, shelf, "stars")
+    links = confirmed(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct(), classes, docs, shelf, "stars", rule)
     roots = components(links, shelf)
     # tiles that still hold several components
     placed = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
@@ -248,9 +273,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = dealt.groupBy("members").count().select(F.xxhash64("members").alias("tile"), F.explode("members").alias("m")).select("tile", "m.*")
     full_tiles = (tiles.join(classes.select("cls", "n", "bits"), "cls").groupBy("tile")
                   .agg(F.collect_list(F.struct("side", "cls", "root", "n", "bits")).alias("members")))
-    pairs = (full_tiles.select("members").mapInArrow(_compare, "x long, y long").distinct()
+    pairs = (full_tiles.select("members").mapInArrow(lambda b: _compare(b, rule.percent), "x long, y long").distinct()
              .join(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")), ["x", "y"], "left_anti"))
-    more = confirmed(pairs, classes, docs, shelf, "tiles")
+    more = confirmed(pairs, classes, docs, shelf, "tiles", rule)
     roots = components(links.union(more), shelf)
     for used in (shared, open_rows, links, more):
         shelf.drop(used)
@@ -259,16 +284,16 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "th", "n", "cls"), final.join(least, "root").select("cls", "component")
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows, classes = groups(docs)
+    rows, classes = groups(docs, rule)
     return rows.join(classes, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component.doc_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One row of each component, all columns of docs; rows without shingles all stay."""
-    rows, classes = groups(docs)
+    rows, classes = groups(docs, rule)
     # names that no input column can have by accident
     keep = classes.select("component").distinct().select(F.col("component.doc_id").alias("__id"), F.col("component.th").alias("__th"))
     empty = rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__all")).distinct()

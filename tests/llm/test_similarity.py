@@ -88,3 +88,39 @@ def test_null_ids_and_empty_tables(spark):
     assert similarity.keep_one(frame(spark, rows)).count() == 2
     assert similarity.linked(frame(spark, [])).count() == 0
     assert similarity.keep_one(frame(spark, [])).count() == 0
+
+
+def by_rule(rows, words, percent):
+    """Component of every row by all pairs of its shingle sets, as row numbers."""
+    sets, root = [], list(range(len(rows)))
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+        sets.append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    return sets, root
+
+
+@pytest.mark.parametrize("words,percent", [(5, 80), (1, 70)])
+def test_other_rules_equal_all_pairs(spark, words, percent):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(11))]
+    sets, root = by_rule(rows, words, percent)
+    got = sorted(tuple(r) for r in similarity.linked(frame(spark, rows), similarity.Rule(words, percent)).collect())
+    assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
+
+
+def test_scattered_words_link_by_five_words_and_80_percent(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:30] + ["x"] + w[31:70] + ["y"] + w[71:]))]
+    assert similarity.keep_one(frame(spark, rows)).count() == 2
+    assert similarity.keep_one(frame(spark, rows), similarity.Rule(5, 80)).count() == 1
+
+
+def test_rules_out_of_range():
+    for words, percent in ((0, 90), (3, 100), (3, 66)):
+        with pytest.raises(ValueError):
+            similarity.Rule(words, percent)
