@@ -12,8 +12,9 @@ the exact sorted arrays.
 
 A tile is not expanded into its pairs. First each class meets the smallest class of its tiles; the confirmed links give
 components. Only tiles that still hold several components are compared in full, as blocks of at most TILE rows whose bitmaps
-are compared in arrays; blocks are spread over tasks, so one large group fills no task. Links inside one component need not be
-listed: the components are those of all links.
+are compared in arrays; blocks are spread over tasks, so one large group fills no task. linked() and keep_one() need no links
+inside one component: the components are those of all links. join() lists them: it compares every tile in full, in the same blocks,
+and returns all pairs of classes that link and the number of links of every row.
 
 Nulls and empty texts have no shingles and link with nothing; fewer words than a shingle has are one shingle; repeated rows and ties
 are copies of one class; columns other than doc_id and text are ignored; an empty table gives no rows. Shingles and classes
@@ -247,9 +248,8 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
 
 
-def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows has doc_id, th, n, cls; classes has cls, component: the (doc_id, th) that stands for its component."""
-    shelf = Shelf(docs.sparkSession, "jaccard")
+def _tiles(docs: DataFrame, shelf: Shelf, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, th, n, cls; classes: cls, rep, n, bits; shared: key, cls and the smallest class of every tile of several classes)."""
     full = shelf.put(signed(docs, rule), "signatures")
     rows = shelf.put(full.select("doc_id", "th", "n", "cls"), "rows")
     classes = shelf.put(full.where("n > 0").groupBy("cls").agg(F.min(_order()).alias("rep"), F.any_value("n").alias("n"),
@@ -258,10 +258,11 @@ def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     ends = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
     shared = shelf.put(keyed.join(ends, "key").select("key", "cls", "low").distinct(), "tiles")
     shelf.drop(full)
-    links = confirmed(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct(), classes, docs, shelf, "stars", rule)
-    roots = components(links, shelf)
-    # tiles that still hold several components
-    placed = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    return rows, classes, shared
+
+
+def _candidates(placed: DataFrame, classes: DataFrame, shelf: Shelf, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(pairs (x, y) of different roots that share a tile and pass the bounds, the table they read). placed: key, cls, root."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
     open_rows = shelf.put(placed.join(mixed.select("key", F.ceil(F.col("m") / TILE).cast("long").alias("parts")), "key")
                           .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts"))), "open")
@@ -273,8 +274,19 @@ def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     tiles = dealt.groupBy("members").count().select(F.xxhash64("members").alias("tile"), F.explode("members").alias("m")).select("tile", "m.*")
     full_tiles = (tiles.join(classes.select("cls", "n", "bits"), "cls").groupBy("tile")
                   .agg(F.collect_list(F.struct("side", "cls", "root", "n", "bits")).alias("members")))
-    pairs = (full_tiles.select("members").mapInArrow(lambda b: _compare(b, rule.percent), "x long, y long").distinct()
-             .join(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")), ["x", "y"], "left_anti"))
+    return full_tiles.select("members").mapInArrow(lambda b: _compare(b, rule.percent), "x long, y long").distinct(), open_rows
+
+
+def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows has doc_id, th, n, cls; classes has cls, component: the (doc_id, th) that stands for its component."""
+    shelf = Shelf(docs.sparkSession, "jaccard")
+    rows, classes, shared = _tiles(docs, shelf, rule)
+    links = confirmed(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct(), classes, docs, shelf, "stars", rule)
+    roots = components(links, shelf)
+    # tiles that still hold several components
+    placed = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    pairs, open_rows = _candidates(placed, classes, shelf, rule)
+    pairs = pairs.join(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")), ["x", "y"], "left_anti")
     more = confirmed(pairs, classes, docs, shelf, "tiles", rule)
     roots = components(links.union(more), shelf)
     for used in (shared, open_rows, links, more):
@@ -284,6 +296,25 @@ def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "th", "n", "cls"), final.join(least, "root").select("cls", "component")
 
 
+def join(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): all pairs (a, b) of classes that link, a < b; doc_id, n_shingles, cls and n_links of every row.
+
+    A class is a distinct set of shingles. n_links counts the other rows that a row links with, those of its own class included;
+    rows without shingles have no class and no links.
+    """
+    shelf = Shelf(docs.sparkSession, "jaccard-join")
+    rows, classes, shared = _tiles(docs, shelf, rule)
+    # every class is its own root, so that every tile is compared in full
+    candidates, open_rows = _candidates(shared.select("key", "cls", F.col("cls").alias("root")), classes, shelf, rule)
+    pairs = confirmed(candidates, classes, docs, shelf, "pairs", rule)
+    for used in (shared, open_rows):
+        shelf.drop(used)
+    sizes = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("size"))
+    beside = pairs.union(pairs.select("b", "a")).toDF("cls", "other").join(sizes.toDF("other", "more"), "other").groupBy("cls").agg(F.sum("more").alias("beside"))
+    counts = sizes.join(beside, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    return pairs, rows.join(counts, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def linked(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows, classes = groups(docs, rule)

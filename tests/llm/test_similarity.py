@@ -124,3 +124,18 @@ def test_rules_out_of_range():
     for words, percent in ((0, 90), (3, 100), (3, 66)):
         with pytest.raises(ValueError):
             similarity.Rule(words, percent)
+
+
+def test_join_lists_every_link(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 3)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7))]
+    sets, _ = by_rule(rows, 3, 90)
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    pairs, members = (d.collect() for d in similarity.join(frame(spark, rows)))
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in members) == [
+        (i, len(a), sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)]
+    text = {r.cls: frozenset(sets[r.doc_id]) for r in members if r.cls is not None}
+    got = [frozenset((text[r.a], text[r.b])) for r in pairs]
+    every = sorted(set(text.values()), key=sorted)
+    want = {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if link(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want and all(r.a < r.b for r in pairs)
