@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     import importlib
-    for module in ("toxicity", "decontamination", "similarity", "mixing", "secrets", "warc", "perplexity", "brown", "licenses", "wrappers", "substrings"):
+    for module in ("toxicity", "decontamination", "similarity", "mixing", "secrets", "warc", "perplexity", "brown", "licenses", "wrappers", "substrings", "merkle", "collocations"):
         importlib.import_module(f"marketframe.llm.{module}")
     return dict(QUERIES), dict(ORACLES)

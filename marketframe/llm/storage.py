@@ -28,9 +28,10 @@ class Shelf:
         self.paths: dict[int, str] = {}
         atexit.register(self.clear)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table that df is written to; by is a column whose values become folders."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
