@@ -12,9 +12,9 @@ both documents hash, and no anchor reaches beyond it. With PERIOD 21 the cover h
    many owners costs one row for each.
 3. Windows whose smallest document is smaller than their own mark their words; marks are merged to spans per row.
 
-Rows travel without texts. Which anchors are shared and which rows are affected goes to the scans as bitmaps of fixed size, which let
-further rows through when they are crowded and never lose one; what they let through is decided exactly. Digests have 128
-bits, so 10 ** 12 different windows share one with a chance below 10 ** -14.
+Rows travel without texts, but for those with shared anchors and those that lose words. Joins on anchors, windows and rows are exact;
+bitmaps of fixed size before them only spare rows the shuffle, let more through when they are crowded and never lose one.
+Digests have 128 bits, so 10 ** 12 different windows share one with a chance below 10 ** -14.
 
 Odd rows: null and empty texts have no words; texts with fewer words than a window lose none; a null id counts as the largest one;
 rows with equal ids (repeated rows too) do not cut each other, but both lose what a smaller id holds; an empty table gives an
@@ -105,33 +105,51 @@ def _heads(batches, window: int, period: int):
                 names=["id", "th", "n_words", "c1", "c2", "anchors"])
 
 
-def _windows(batches, firsts, shared, window: int, period: int):
-    """id, th, k, text -> w1, w2, id, th, pos of the windows that hold a shared anchor."""
+def _likely(batches, shared):
+    """id, th, anchors -> k, id, th, nth of the anchors that the bitmap lets through."""
     for batch in batches:
-        own = pa.Table.from_batches([batch]).filter(pa.array(bitmaps.holds(firsts.value, batch.column("k").to_numpy()))).combine_chunks()
-        for part in own.to_batches():
-            for chunk in texts.chunks(part.column("text")):
-                chunk.words()
-                _, place = _places(chunk)
-                at, h = _anchors(chunk, place, window, period)
-                total = len(chunk.hash)
-                seen = np.zeros(total + 1, dtype=np.int64)
-                seen[at[bitmaps.holds(shared.value, h)] + 1] = 1
-                np.cumsum(seen, out=seen)
-                start = np.arange(max(0, total - window + 1))
-                # anchors that start in [start, start + period) end within the window
-                start = start[(seen[start + period] > seen[start]) & (chunk.row[start] == chunk.row[start + window - 1])]
-                digests = []
-                for seed in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                    acc = np.full(len(start), seed, dtype=np.uint64)
-                    for j in range(window):
-                        acc = (acc ^ chunk.hash[start + j]) * np.uint64(0xFF51AFD7ED558CCD)
-                        acc ^= acc >> np.uint64(29)
-                    digests.append(texts.mix(acc))
-                row = pa.array(chunk.row[start] + chunk.first)
-                yield pa.RecordBatch.from_arrays(
-                    [_long(digests[0]), _long(digests[1]), part.column("id").take(row), part.column("th").take(row), pa.array(place[start].astype(np.int32))],
-                    names=["w1", "w2", "id", "th", "pos"])
+        anchors = batch.column("anchors")
+        ends, k = anchors.offsets.to_numpy(), anchors.values.to_numpy()
+        at = np.flatnonzero(bitmaps.holds(shared.value, k[ends[0]:ends[-1]])) + ends[0]
+        row = np.searchsorted(ends, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(k[at]), batch.column("id").take(pa.array(row)), batch.column("th").take(pa.array(row)),
+                                          pa.array((at - ends[row]).astype(np.int32))], names=["k", "id", "th", "nth"])
+
+
+def _windows(batches, window: int, period: int):
+    """id, th, text, nths -> w1, w2, id, th, pos of the windows that hold one of these anchors."""
+    for batch in batches:
+        lists = batch.column("nths")
+        for chunk in texts.chunks(batch.column("text")):
+            chunk.words()
+            _, place = _places(chunk)
+            at, _ = _anchors(chunk, place, window, period)
+            first = np.concatenate(([0], np.cumsum(np.bincount(chunk.row[at], minlength=chunk.rows))))
+            total = len(chunk.hash)
+            seen = np.zeros(total + 1, dtype=np.int64)
+            for r in range(chunk.rows):
+                seen[at[first[r] + lists[chunk.first + r].values.to_numpy()] + 1] = 1
+            np.cumsum(seen, out=seen)
+            start = np.arange(max(0, total - window + 1))
+            # anchors that start in [start, start + period) end within the window
+            start = start[(seen[start + period] > seen[start]) & (chunk.row[start] == chunk.row[start + window - 1])]
+            digests = []
+            for seed in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+                acc = np.full(len(start), seed, dtype=np.uint64)
+                for j in range(window):
+                    acc = (acc ^ chunk.hash[start + j]) * np.uint64(0xFF51AFD7ED558CCD)
+                    acc ^= acc >> np.uint64(29)
+                digests.append(texts.mix(acc))
+            row = pa.array(chunk.row[start] + chunk.first)
+            yield pa.RecordBatch.from_arrays(
+                [_long(digests[0]), _long(digests[1]), batch.column("id").take(row), batch.column("th").take(row), pa.array(place[start].astype(np.int32))],
+                names=["w1", "w2", "id", "th", "pos"])
+
+
+def _through(batches, bitmap):
+    """The rows whose k the bitmap lets through."""
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).filter(pa.array(bitmaps.holds(bitmap.value, batch.column("k").to_numpy()))).to_batches()
 
 
 def marks(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
@@ -148,17 +166,22 @@ def marks(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFr
     firsts = shelf.put(heads.groupBy("c1", "c2").agg(F.min("id").alias("low")), "classes")
     known = heads.select("id", "th", "c1", "c2").join(firsts, ["c1", "c2"])
     copies = known.where("id > low").select("id", "th").distinct()
-    first_rows = context.broadcast(bitmaps.fill(known.where("id = low").select(bitmaps.row_key("id", "th"))))
     shared = heads.select(F.explode("anchors").alias("k"), "c1").groupBy("k").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b")
-    shared_bits = context.broadcast(bitmaps.fill(shared.select("k")))
-    found = shelf.put(rows.select("id", "th", "text", bitmaps.row_key("id", "th"))
-                      .mapInArrow(lambda b: _windows(b, first_rows, shared_bits, window, period), "w1 long, w2 long, id long, th long, pos int"), "windows")
+    shared = shelf.put(shared.select("k"), "shared")
+    shared_bits = context.broadcast(bitmaps.fill(shared))
+    # the first row of a class stands for it; the bitmaps spare most rows the exact joins that follow
+    near = (heads.select("id", "th", "anchors").mapInArrow(lambda b: _likely(b, shared_bits), "k long, id long, th long, nth int").join(shared, "k")
+            .groupBy("id", "th").agg(F.collect_set("nth").alias("nths")).join(known.where("id = low").select("id", "th").distinct(), ["id", "th"]))
+    near = shelf.put(near, "near")
+    near_bits = context.broadcast(bitmaps.fill(near.select(bitmaps.row_key("id", "th"))))
+    open_ = rows.select("id", "th", "text", bitmaps.row_key("id", "th")).mapInArrow(lambda b: _through(b, near_bits), "id long, th long, text string, k long")
+    found = shelf.put(open_.select("id", "th", "text").join(near, ["id", "th"]).mapInArrow(lambda b: _windows(b, window, period), "w1 long, w2 long, id long, th long, pos int"), "windows")
     least = found.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
     starts = found.join(least, ["w1", "w2"]).where("id > low").groupBy("id", "th").agg(F.collect_set("pos").alias("starts"))
     starts = starts.select("id", "th", F.lit(False).alias("whole"), "starts")
     both = starts.union(copies.select("id", "th", F.lit(True), F.array().cast("array<int>")))
     out = shelf.put(both.groupBy("id", "th").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts")), "marks")
-    for used in (heads, firsts, found):
+    for used in (heads, firsts, shared, near, found):
         shelf.drop(used)
     return out
 
@@ -239,13 +262,8 @@ def scan(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = rows.select("*", F.coalesce("doc_id", F.lit(LAST)).alias("id")).select("*", bitmaps.row_key("id", "th"))
     clear = rows.select("doc_id", "th", "text", "k").mapInArrow(lambda b: _untouched(b, affected), RESULT)
-
-    def maybe(batches):
-        for batch in batches:
-            yield from pa.Table.from_batches([batch]).filter(pa.array(bitmaps.holds(affected.value, batch.column("k").to_numpy()))).to_batches()
-
     # only texts that may lose words are shuffled
-    open_ = rows.select("doc_id", "th", "id", "k", "text").mapInArrow(maybe, "doc_id long, th long, id long, k long, text string")
+    open_ = rows.select("doc_id", "th", "id", "k", "text").mapInArrow(lambda b: _through(b, affected), "doc_id long, th long, id long, k long, text string")
     cut = (open_.join(found, ["id", "th"], "left").select("doc_id", "th", "text", "whole", "starts")
            .mapInArrow(lambda b: _cut(b, window), RESULT))
     return clear.union(cut)
