@@ -37,15 +37,20 @@ def settled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: application id -> temporary folder, for local masters without a shared one
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only on a local master where it is unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app)
     if not current:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
+        # the setting is fixed once a session runs, so the folder is remembered here
+        current = _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return current
 
 
