@@ -242,23 +242,3 @@ def factor_betas(spark, d):
     curves = b.where("ret IS NOT NULL").select(F.col("asset_id").alias("portfolio_id"), "ts", "ret")
     df = models.factor_betas(curves, factors, ["market", "size"])
     return df.select("portfolio_id", "factor", rnd("beta").alias("beta"), rnd("residual_vol").alias("residual_vol"))
-
-
-FEATURES = ["ret_5d", "ret_20d", "ret_60d", "vol_20d", "zscore_20d", "rev_1d", "vol_ratio", "bb_pos"]
-
-
-def _model(spark, d):
-    panel = xs.alpha_factors(bars(spark, d)).select("asset_id", "ts", "close", *FEATURES)
-    ranked = panel.withColumns({f: xs.percent_rank_avg(f, ["ts"]) - 0.5 for f in FEATURES})
-    return models.rank_model(xs.ml_dataset(ranked), FEATURES, "1998-01-01")
-
-
-@query("ml_rank_model")
-def ml_rank_model(spark, d):
-    predicted, _ = _model(spark, d)
-    return predicted.withColumn("rank", xs.percent_rank_avg("prediction", ["ts"]))
-
-
-@query("ml_importances")
-def ml_importances(spark, d):
-    return _model(spark, d)[1]

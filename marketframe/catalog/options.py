@@ -27,12 +27,6 @@ def vol_target_leverage(spark, d):
     return df.select("asset_id", "ts", rnd(vol.leverage(F.col("vol"))).alias("leverage"))
 
 
-@query("vol_fallback", f"""SELECT asset_id, ts, n AS n_obs, R6(CASE WHEN n > 5 THEN s * SQRT(252) ELSE 0.2 END) AS vol FROM (
-    SELECT *, COUNT(x) {W} AS n, STDDEV_POP(x) {over(30)} AS s FROM (SELECT asset_id, ts, close / LAG(close) {W} - 1 AS x FROM bars))""")
-def vol_fallback(spark, d):
-    return vol.vol_fallback(Market(spark, d).bars()).select("asset_id", "ts", "n_obs", rnd("vol").alias("vol"))
-
-
 VIX = f"""(SELECT b.*, m.value AS vix, LN(close / LAG(close) {W.replace('asset_id', 'b.asset_id').replace('ts', 'b.ts')}) AS lr
     FROM (SELECT *, '1-URGENT' AS series_id FROM bars) AS b ASOF LEFT JOIN macro_series AS m ON b.series_id = m.series_id AND b.ts >= m.release_date)"""
 

@@ -399,17 +399,6 @@ def factor_decay(spark, d):
     return rounded(research.factor_decay(ics), ["horizon", "n_obs"], ["mean_ic", "std_ic", "ir", "t_stat", "pct_positive"])
 
 
-@query("rolling_ic", f"""{ic_sql([21])} SELECT ts, R6(ic) AS ic, n, R6(CASE WHEN COUNT(ic) OVER w >= 3 THEN AVG(ic) OVER w ELSE 0 END) AS rolling_ic
-    FROM ics WHERE ts IN (SELECT MIN(ts) FROM bars GROUP BY DATE_TRUNC('month', ts)) AND ic IS NOT NULL AND NOT ISNAN(ic)
-    WINDOW w AS (ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
-def rolling_ic(spark, d):
-    from marketframe.operators.crosssection import month_starts
-    bars = Market(spark, d).bars()
-    ics = research.information_coefficients(bars.withColumn("sig", pct_change("close", 20)), "sig", [21])
-    monthly = ics.join(month_starts(bars), "ts", "left_semi")
-    return rounded(research.rolling_ic(monthly), ["ts", "n"], ["ic", "rolling_ic"])
-
-
 TURNOVER = ["daily_turnover", "annual_turnover", "annual_cost", "gross_annual_return", "net_annual_return", "break_even_bps"]
 
 

@@ -44,24 +44,6 @@ def health_alerts(spark, d):
     return dd.unionByName(conc).unionByName(stale).withColumn("value", rnd("value"))
 
 
-@query("vol_spike_alerts", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT asset_id, ts, COALESCE({roll('STDDEV_SAMP', 'lr', 20)} * SQRT(252), 0.2) AS vol, ROW_NUMBER() {W} AS rn FROM (SELECT *, LN(close / LAG(close) {W}) AS lr FROM bars)),
-    s AS (SELECT asset_id, ts, rn, vol, NULL::DOUBLE AS prev, vol AS base FROM v WHERE rn = 1 UNION ALL
-      SELECT v.asset_id, v.ts, v.rn, v.vol, s.base, CASE WHEN v.vol > s.base * 2 THEN s.base ELSE 0.98::DOUBLE * s.base + 0.02::DOUBLE * v.vol END FROM s JOIN v ON v.asset_id = s.asset_id AND v.rn = s.rn + 1)
-    SELECT asset_id AS entity, ts, 'VOLATILITY_SPIKE' AS risk_type, 'WARNING' AS severity, R6(vol / prev) AS value FROM s WHERE vol > prev * 2""")
-def vol_spike_alerts(spark, d):
-    df = vol.with_log_return(Market(spark, d).bars()).withColumn("vol", vol.realized_vol(20))
-    return risk.vol_spike_alerts(df.select("asset_id", "ts", "vol")).withColumn("value", rnd("value"))
-
-
-@query("ic_alerts", f"""{ic_sql([21])} SELECT 'model' AS entity, ts, 'ML_IC_DECAY' AS risk_type, 'WARNING' AS severity, R6(v) AS value FROM (SELECT ts, CASE WHEN COUNT(ic) OVER w >= 3 THEN AVG(ic) OVER w ELSE 0 END AS v
-    FROM ics WHERE ts IN (SELECT MIN(ts) FROM bars GROUP BY DATE_TRUNC('month', ts)) AND ic IS NOT NULL AND NOT ISNAN(ic) WINDOW w AS (ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE v < 0.02 AND v <> 0""")
-def ic_alerts(spark, d):
-    from marketframe.operators.crosssection import month_starts
-    b = Market(spark, d).bars()
-    ics = research.information_coefficients(b.withColumn("sig", pct_change("close", 20)), "sig", [21])
-    return risk.ic_alerts(research.rolling_ic(ics.join(month_starts(b), "ts", "left_semi"))).withColumn("value", rnd("value"))
-
-
 @query("open_alerts", """SELECT event_id AS alert_id, ts, user_id, R6(value) AS value FROM events WHERE event_type = 'error' AND value >= 50 ORDER BY ts DESC, event_id DESC LIMIT 10""")
 def open_alerts(spark, d):
     e = Market(spark, d).table("events").where("event_type = 'error'").withColumn("dismissed", F.col("value") < 50)

@@ -123,14 +123,6 @@ def frontier_candidates(spark, d):
     return df.select("bucket", "portfolio_id", *[rnd(c).alias(c) for c in ("ret", "vol", "sharpe")])
 
 
-@query("naive_portfolio_vol", f"""{WITH_CAND} SELECT portfolio_id, R6(SQRT(SUM(weight * weight * v * v))) AS vol FROM cand JOIN (
-      SELECT asset_id, ARG_MAX(COALESCE(v, 0.2), ts) AS v FROM (SELECT asset_id, ts, {roll('STDDEV_SAMP', 'lr', 30)} * SQRT(252) AS v FROM (SELECT *, LN(close / LAG(close) {W}) AS lr FROM bars)) GROUP BY 1) USING (asset_id) GROUP BY 1""")
-def naive_portfolio_vol(spark, d):
-    m = Market(spark, d)
-    vols = vol.with_log_return(m.bars()).withColumn("v", vol.realized_vol()).groupBy("asset_id").agg(F.max_by("v", "ts").alias("vol"))
-    return weights.naive_vol(candidates(m), vols).select("portfolio_id", rnd("vol").alias("vol"))
-
-
 @query("top_allocations", f"""{WITH_CAND} SELECT portfolio_id, asset_id, R6(weight) AS weight, k AS rank FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY ROUND(weight, 9) DESC, asset_id) AS k FROM cand) WHERE k <= 3""")
 def top_allocations(spark, d):

@@ -4,6 +4,10 @@ A cross-section holds one row per listed asset and date, so a window over a date
 """
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketframe.operators.recurrence import Ewm, ewm
@@ -19,6 +23,53 @@ def percent_rank_avg(x: str, keys: list[str]) -> Column:
     return F.when(F.col(x).isNotNull(), rank / F.count(x).over(group))
 
 
+def _ranks_by_code(code: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Percentile ranks of the columns of x within equal codes, ties sharing their average rank; NaN stays NaN and does not count."""
+    out = np.full(x.shape, np.nan)
+    place = np.arange(len(code))
+    for j in range(x.shape[1]):
+        order = np.lexsort((x[:, j], code))                     # NaN comes last within its code
+        c, v = code[order], x[order, j]
+        new_code = np.append(True, c[1:] != c[:-1])
+        new_tie = new_code | np.append(True, v[1:] != v[:-1])
+        first = np.maximum.accumulate(np.where(new_code, place, 0))
+        ties = np.flatnonzero(new_tie)
+        size = np.diff(np.append(ties, len(c)))
+        rank = np.repeat(ties, size) - first + 1 + np.repeat(size - 1, size) / 2.0
+        valid = np.bincount(np.cumsum(new_code) - 1, weights=~np.isnan(v))
+        out[order, j] = np.where(np.isnan(v), np.nan, rank / np.maximum(valid, 1)[np.cumsum(new_code) - 1])
+    return out
+
+
+def percent_ranks(df: DataFrame, columns: list[str], key: str = "ts") -> DataFrame:
+    """df with each of the columns replaced by its percentile rank per key, as percent_rank_avg gives it, null for null.
+
+    One shuffle by the key serves all columns. Sorted batches are ranked as arrays; a key that a batch leaves open is carried into the
+    next, so memory holds one batch and one cross-section.
+    """
+    schema = df.schema
+
+    def run(batches):
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]) if rest is not None or batch is not None else None
+            if table is None or not len(table):
+                continue
+            table = table.combine_chunks()
+            code = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cut = len(code) if batch is None else int(np.argmax(code == code[-1]))
+            rest = table.slice(cut).combine_chunks().to_batches()[0] if cut < len(code) else None
+            if cut:
+                x = np.column_stack([table.column(c).to_numpy() for c in columns])[:cut].astype(float)
+                ranked = _ranks_by_code(code[:cut], x)
+                done = table.slice(0, cut)
+                for j, c in enumerate(columns):
+                    done = done.set_column(done.schema.get_field_index(c), c, pa.array(ranked[:, j], mask=np.isnan(ranked[:, j])))
+                yield from done.combine_chunks().to_batches()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def ranked_baskets(df: DataFrame, score: str, n_long: int, n_short: int = 0) -> DataFrame:
     """Top n_long as LONG and bottom n_short as SHORT per date; dates with too few assets give nothing."""
     day = Window.partitionBy("ts")

@@ -5,7 +5,7 @@ from marketframe.catalog import load
 
 QUERIES, _ = load()
 # these run jobs while they are built (streams, written block tables, model training)
-EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"round_trips", "fill_ledger", "positions_avg_cost", "ml_rank_model", "ml_importances"}
+EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"round_trips", "fill_ledger", "positions_avg_cost", "ml_rank_model", "ml_importances", "rolling_ic", "ic_alerts"}
 
 
 def plan(df) -> str:
