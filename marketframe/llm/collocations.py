@@ -10,15 +10,17 @@ Scans end when no phrase is active; lengths overlap, so that most of the corpus
 What has reached the threshold goes to the scans as one byte per hash slot: the step at which it did. Equal slots can only activate a
 phrase early, which costs a row and changes no count, since its cycle then starts earlier too. The table has SLOTS bytes
 whatever the corpus, and the driver gets at most SLOTS / 64 rows a step. All counts are tables in the shared folder. Tasks combine
-their occurrences before the shuffle; rows are keyed by language and phrase, so a hot language is no hot key. Phrases within a task
-are told apart by 64-bit hashes (a task with 10 ** 7 distinct ones meets an equal pair with a chance of about 3 in a million), between
-tasks by their text.
+their occurrences before the shuffle; rows are keyed by phrase, so a hot language is no hot key. While phrases are counted they are
+two hashes of 112 bits together (64 within a task: one with 10 ** 7 distinct phrases meets an equal pair with a chance of about
+3 in a million); a last scan gives those that reached the threshold their text.
 
 Odd rows: null and empty texts have no words; repeated rows count each; a piece shorter than a phrase holds none; texts are worked on
 whole; an empty table gives an empty result; further columns are ignored, so names may clash; ties are settled as ranked() states.
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -40,17 +42,18 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-FOUND = "lang string, size int, phrase string, slot long, active int, n long"
+COUNTED = "key long, tag long, n long"
+NAMED = "key long, tag long, n long, lang string, phrase string"
 
 
 class Counts:
-    """Counts of phrases within a task by 64-bit hash, with language, text and first step of each, merged as they come."""
+    """Counts of phrases within a task by 64-bit hash, with the columns of the first one of each, merged as they come."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.parts, self.waiting = most, [], 0
+    def __init__(self, names: list[str], most: int = 1_000_000):
+        self.names, self.most, self.parts, self.waiting = names, most, [], 0
 
     def add(self, key: np.ndarray, n: np.ndarray, columns: list[pa.Array]):
-        self.parts.append((key, n, pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "slot", "active"])))
+        self.parts.append((key, n, pa.RecordBatch.from_arrays(columns, names=self.names)))
         self.waiting += len(key)
         if self.waiting > self.most:
             self._merge()
@@ -67,8 +70,9 @@ class Counts:
     def end(self):
         if self.waiting:
             self._merge()
-            for _, n, rows in self.parts:
-                full = pa.RecordBatch.from_arrays([*rows.columns, pa.array(n)], names=[*rows.schema.names, "n"])
+            for key, n, rows in self.parts:
+                full = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rows.column(0), pa.array(n), *rows.columns[1:]],
+                                                  names=["key", self.names[0], "n", *self.names[1:]])
                 for i in range(0, len(full), 50_000):
                     yield full.slice(i, 50_000)
         self.parts, self.waiting = [], 0
@@ -91,42 +95,59 @@ def _phrases(chunk: texts.Chunk, at: np.ndarray, size: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out[~last])).cast(pa.string())
 
 
-def _count(batches, held, step: int, shards: int, longest: int):
-    """lang, text of one shard -> FOUND: the active phrases of this step."""
-    reached = held.value
-    counts = Counts()
+def _phrase_hashes(chunk: texts.Chunk, seed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, second hash) of the phrases of this size, the language included."""
+    n = len(chunk.hash) - size + 1
+    h, _ = texts.window_hash(chunk.hash, chunk.row, size)
+    other = np.zeros(n, dtype=np.uint64)
+    for j in range(size):
+        other = (other + chunk.hash[j:j + n]) * np.uint64(0xD6E8FEB86659FD93)
+    return texts.mix(h ^ seed[:n] ^ np.uint64(size)), texts.mix(other + seed[:n])
+
+
+def _scan(batches, held, step: int | None, shards: int, longest: int):
+    """lang, text -> COUNTED, the active phrases of this step; with no step NAMED, what has reached the threshold, and words by language."""
+    reached = np.frombuffer(zlib.decompress(held.value), dtype=np.uint8)
+    counts = Counts(["tag"] if step is not None else ["tag", "lang", "phrase"])
     for batch in batches:
         lang = batch.column("lang")
         names = lang.dictionary_encode()
         seeds = np.array([hash_bytes(v) for v in names.dictionary.to_pylist()], dtype=np.uint64)
-        own = texts.mix(seeds)[names.indices.to_numpy()] if len(lang) else np.zeros(0, dtype=np.uint64)
+        code = names.indices.to_numpy()
+        if step is None and len(lang):
+            own = np.unique(code)
+            words = np.zeros(len(seeds), dtype=np.int64)
         for chunk in texts.chunks(batch.column("text")):
             chunk.words(_WORD, lower=True)
+            if step is None:
+                np.add.at(words, code[chunk.first:chunk.first + chunk.rows], chunk.count())
             broken = np.zeros(len(chunk.data) + 1, dtype=np.int64)
             np.cumsum(_BREAK[chunk.data], out=broken[1:])
             # words of one piece have as many breaks before them, and one row
             piece = broken[chunk.starts] + chunk.row
-            of = own[chunk.first + chunk.row]
-            when = np.full(len(chunk.hash), 0, dtype=np.int64)          # step at which the phrase at a word is active
+            seed = seeds[code[chunk.first + chunk.row]] if len(chunk.row) else np.zeros(0, dtype=np.uint64)
+            when = np.zeros(len(chunk.hash), dtype=np.int64)            # step at which the phrase at a word is active
             for size in range(1, longest + 1):
                 if len(chunk.hash) < size:
                     break
-                h, _ = texts.window_hash(chunk.hash, chunk.row, size)
-                h = texts.mix(h ^ of[:len(h)] ^ np.uint64(size))
+                h, other = _phrase_hashes(chunk, seed, size)
                 same = piece[:len(h)] == piece[size - 1:]
                 if size > 1:
                     when = np.maximum(before[:-1], before[1:]) + 1
-                slot = (h % np.uint64(len(reached))).astype(np.int64)
-                counted = same & (when <= step) & (step < when + shards)
-                at = np.flatnonzero(counted)
+                at_slot = reached[(h & np.uint64(len(reached) - 1)).astype(np.int64)]
+                # no phrase reaches the threshold before it is active, whatever else has its slot
+                before = np.where(same & (when < NEVER), np.maximum(at_slot, when), NEVER)
+                at = np.flatnonzero(same & (when <= step) & (step < when + shards) if step is not None else before < NEVER)
                 if len(at):
                     key, first, where = np.unique(h[at], return_index=True, return_inverse=True)
                     pick = at[first]
-                    yield from counts.add(key, np.bincount(where), [
-                        lang.take(pa.array(chunk.first + chunk.row[pick])), pa.array(np.full(len(pick), size, dtype=np.int32)), _phrases(chunk, pick, size),
-                        pa.array(slot[pick]), pa.array(when[pick].astype(np.int32))])
-                # no phrase reaches the threshold before it is active, whatever else has its slot
-                before = np.where(same & (when < NEVER), np.maximum(reached[slot], when), NEVER)
+                    tag = (other[pick] & ~np.uint64(0xFFFF)) | (when[pick] << 3 | size).astype(np.uint64)
+                    columns = [pa.array(tag.view(np.int64))]
+                    if step is None:
+                        columns += [lang.take(pa.array(chunk.first + chunk.row[pick])), _phrases(chunk, pick, size)]
+                    yield from counts.add(key, np.bincount(where), columns)
+        if step is None and len(lang):
+            yield from counts.add(seeds[own], words[own], [pa.array(np.zeros(len(own), dtype=np.int64)), names.dictionary.take(pa.array(own)), pa.array([""] * len(own))])
     yield from counts.end()
 
 
@@ -140,7 +161,8 @@ def hash_bytes(name: str) -> int:
 
 def _note(reached: np.ndarray, fresh: DataFrame, step: int) -> None:
     """Mark the slots of what reached the threshold at this step."""
-    found = arrays(fresh.select(F.shiftright("slot", 6).alias("w"), F.col("slot").bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    slot = F.col("key").bitwiseAND(F.lit(len(reached) - 1))
+    found = arrays(fresh.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
                    .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")))
     bits = np.unpackbits(found["v"].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, bit = np.nonzero(bits)
@@ -150,42 +172,50 @@ def _note(reached: np.ndarray, fresh: DataFrame, step: int) -> None:
 
 def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(phrases: lang, size, phrase, n of all phrases of 1 to longest words with n >= threshold; totals: lang, n of all words)."""
-    if longest * shards >= NEVER:
-        raise ValueError(f"{longest} lengths in {shards} shards take more than {NEVER - 1} steps")
+    if longest * shards >= NEVER or longest > 7:
+        raise ValueError(f"{longest} lengths in {shards} shards: at most 7 lengths and {NEVER - 1} steps")
+    if slots < 64 or slots & (slots - 1):
+        raise ValueError(f"slots are a power of two from 64, not {slots}")
     spark = docs.sparkSession
     shelf = Shelf(spark, "collocations")
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    # rows are dealt evenly; a shard is a folder, so that a step reads its own part only
+    # a shard is a folder, so that a step reads its own part only
     root = shelf.put(source.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")), "texts", by="shard")
     reached = np.full(slots, NEVER, dtype=np.uint8)
-    open_, done, totals = None, [], None
-    step, last = 0, shards - 1
+    size, closing = F.expr("tag & 7"), F.expr("((tag >> 3) & 8191)") + shards - 1
+    open_, done, step, last = None, [], 0, shards - 1
     while step <= last:
-        held = spark.sparkContext.broadcast(reached)
+        held = spark.sparkContext.broadcast(zlib.compress(reached, 1))
         part = root.where(F.col("shard") == step % shards).select("lang", "text")
-        counted = part.mapInArrow(lambda b, h=held, t=step: _count(b, h, t, shards, longest), FOUND)
+        counted = part.mapInArrow(lambda b, h=held, t=step: _scan(b, h, t, shards, longest), COUNTED)
+        counted = counted.withColumn("old", F.lit(0).cast("long"))
         if open_ is not None:
-            counted = open_.select("lang", "size", "phrase", "slot", "active", "n").union(counted)
-        now = counted.groupBy("lang", "size", "phrase").agg(F.any_value("slot").alias("slot"), F.min("active").alias("active"), F.sum("n").alias("n"))
-        now = shelf.put(now.withColumn("closing", F.col("active") + shards - 1 <= step), f"step-{step}")
-        if step == shards - 1:
-            totals = shelf.put(now.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        _note(reached, now.where((F.col("n") >= threshold) & (F.col("size") < longest)), step)
-        done.append(shelf.put(now.where(F.col("closing") & (F.col("n") >= threshold)).select("lang", "size", "phrase", "n"), f"done-{step}"))
+            counted = open_.where(closing >= step).select("key", "tag", "n", F.col("n").alias("old")).union(counted)
+        now = shelf.put(counted.groupBy("key", "tag").agg(F.sum("n").alias("n"), F.sum("old").alias("old")), f"step-{step}")
+        fresh = (F.col("n") >= threshold) & (F.col("old") < threshold)
+        _note(reached, now.where(fresh), step)
+        done.append(shelf.put(now.where((F.col("n") >= threshold) & (closing == step)).drop("old"), f"done-{step}"))
         if open_ is not None:
-            shelf.drop(open_table)
-        open_table, open_ = now, now.where("not closing")
-        held.unpersist()
-        # what reached the threshold at this step may extend until the end of the cycle after it
-        ends = now.agg(F.max(F.when(~F.col("closing"), F.col("active") + shards - 1)),
-                       F.max(F.when((F.col("n") >= threshold) & (F.col("size") < longest), F.lit(step + shards)))).first()
-        fresh = int((reached == step).any())
-        last = max(last if step < last else 0, ends[0] or 0, (ends[1] or 0) if fresh else 0)
+            shelf.drop(open_)
+        held.destroy()                                                  # the step is a table now
+        open_ = now
+        # active phrases end their cycle; what has reached the threshold may have extensions, active from the next step on
+        ends = now.agg(F.max(closing), F.max(F.when(fresh & (size < longest), F.lit(step + shards)))).first()
+        last = max(last, ends[0] or 0, ends[1] or 0)
         step += 1
-    out = done[0]
+    shelf.drop(open_)
+    held = spark.sparkContext.broadcast(zlib.compress(reached, 1))
+    named = root.select("lang", "text").mapInArrow(lambda b: _scan(b, held, None, shards, longest), NAMED)
+    named = shelf.put(named.groupBy("key", "tag", "lang", "phrase").agg(F.sum("n").alias("n")), "named")
+    found = done[0]
     for more in done[1:]:
-        out = out.union(more)
-    return out, totals
+        found = found.union(more)
+    phrases = found.join(named.where("tag <> 0").select("key", "tag", "lang", "phrase"), ["key", "tag"]).select("lang", size.cast("int").alias("size"), "phrase", "n")
+    phrases, totals = shelf.put(phrases, "phrases"), shelf.put(named.where("tag = 0 and n > 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    held.destroy()
+    for used in (root, named, *done):
+        shelf.drop(used)
+    return phrases, totals
 
 
 def scored(phrases: DataFrame, threshold: int = THRESHOLD, whole: int = WHOLE) -> DataFrame:

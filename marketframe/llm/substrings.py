@@ -176,12 +176,13 @@ def marks(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFr
     near_bits = context.broadcast(bitmaps.fill(near.select(bitmaps.row_key("id", "th"))))
     open_ = rows.select("id", "th", "text", bitmaps.row_key("id", "th")).mapInArrow(lambda b: _through(b, near_bits), "id long, th long, text string, k long")
     found = shelf.put(open_.select("id", "th", "text").join(near, ["id", "th"]).mapInArrow(lambda b: _windows(b, window, period), "w1 long, w2 long, id long, th long, pos int"), "windows")
-    least = found.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
+    # a table of its own, so that the join can split a window with very many rows
+    least = shelf.put(found.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low"), "least")
     starts = found.join(least, ["w1", "w2"]).where("id > low").groupBy("id", "th").agg(F.collect_set("pos").alias("starts"))
     starts = starts.select("id", "th", F.lit(False).alias("whole"), "starts")
     both = starts.union(copies.select("id", "th", F.lit(True), F.array().cast("array<int>")))
     out = shelf.put(both.groupBy("id", "th").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts")), "marks")
-    for used in (heads, firsts, shared, near, found):
+    for used in (heads, firsts, shared, near, found, least):
         shelf.drop(used)
     return out
 

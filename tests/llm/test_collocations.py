@@ -58,7 +58,7 @@ def as_rows(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("shards, slots, threshold", [(4, 1 << 16, 8), (1, 1 << 16, 8), (7, 64, 12), (3, 8, 5), (4, 1 << 16, 1)])
+@pytest.mark.parametrize("shards, slots, threshold", [(4, 1 << 16, 8), (1, 1 << 16, 8), (7, 64, 12), (3, 64, 5), (4, 1 << 16, 1)])
 def test_equals_brute_force(spark, shards, slots, threshold):
     docs = corpus(shards)
     got = as_rows(co.collocations(frame(spark, docs), 4, threshold, 2000, shards, slots))
@@ -91,6 +91,8 @@ def test_empty_table_and_long_text(spark):
     assert as_rows(co.collocations(frame(spark, docs))) == brute(docs, 4, 30, 2000)
     with pytest.raises(ValueError):
         co.count(frame(spark, docs), 4, 30, 64)
+    with pytest.raises(ValueError):
+        co.count(frame(spark, docs), 4, 30, 4, 100)
 
 
 def test_query_columns(spark, path):
