@@ -1,16 +1,18 @@
 """Scans, sources, sinks, filters and predicates."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketframe.catalog.registry import query
 from marketframe.catalog.sqltext import W
 from marketframe.functions.stats import rnd
 from marketframe.operators import panel, quality, sets
-
-
-from marketframe.sources.market import Market
+from marketframe.session import shared_dir
 from marketframe.sources.calendar import HOLIDAYS, trading_calendar
+from marketframe.sources.market import Market
+from marketframe.sources.store import BarStore
 
 BAR_COLUMNS = ["asset_id", "ts", "open", "high", "low", "close", "volume"]
 
@@ -19,7 +21,7 @@ BAR_COLUMNS = ["asset_id", "ts", "open", "high", "low", "close", "volume"]
     SELECT asset_id, ts, open, high, low, close, volume FROM bars
     WHERE asset_id = 'Brand#23' AND ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""")
 def bars_range(spark, d):
-    return panel.bars_between(Market(spark, d).bars(), "Brand#23", "1996-01-01", "1997-12-31").select(*BAR_COLUMNS)
+    return Market(spark, d).store().bars_between("Brand#23", "1996-01-01", "1997-12-31").select(*BAR_COLUMNS)
 
 
 @query("bar_panel", """
@@ -37,12 +39,41 @@ def bar_panel(spark, d):
       LEFT JOIN adjustment_factors AS f ON f.asset_id = b.asset_id AND f.effective_date = b.ts)
     WHERE high >= low AND close BETWEEN low AND high AND open > 0 AND close > 0 AND volume >= 0""")
 def ingest_bars(spark, d):
-    m = Market(spark, d)
-    factors = m.adjustment_factors().withColumnRenamed("effective_date", "ts")
-    raw = m.dirty_bars().join(factors, ["asset_id", "ts"], "left").withColumn(
-        "adj_close", F.col("close") * F.coalesce("cumulative_split_factor", F.lit(1.0)))
-    kept = quality.accepted(raw)
-    return panel.with_adjustment_factor(kept).select(*BAR_COLUMNS, rnd("factor").alias("factor"))
+    store = new_store(spark)
+    store.ingest(Market(spark, d).raw_bars(), "all")
+    return store.read().select(*BAR_COLUMNS, rnd("factor").alias("factor"))
+
+
+def new_store(spark):
+    return BarStore(spark, f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}")
+
+
+REASON = """CASE WHEN high < low THEN 'refused_high_below_low' WHEN close < low OR close > high THEN 'refused_close_outside' WHEN open <= 0 OR close <= 0 THEN 'refused_not_positive'
+    WHEN volume < 0 THEN 'refused_negative_volume' ELSE 'ok' END"""
+
+
+@query("ingest_counts", f"""WITH j AS MATERIALIZED (SELECT ts, {REASON} AS reason FROM dirty_bars),
+    early AS (SELECT * FROM j WHERE ts < DATE '1997-01-01')
+    SELECT 'first' AS batch, 'read' AS outcome, COUNT(*) AS n FROM early UNION ALL SELECT 'first', reason, COUNT(*) FROM early WHERE reason <> 'ok' GROUP BY 2
+    UNION ALL SELECT 'first', 'inserted', COUNT(*) FROM early WHERE reason = 'ok' UNION ALL SELECT 'first', UNNEST(['superseded', 'updated', 'unchanged']), 0
+    UNION ALL SELECT 'second', 'read', COUNT(*) FROM j UNION ALL SELECT 'second', reason, COUNT(*) FROM j WHERE reason <> 'ok' GROUP BY 2
+    UNION ALL SELECT 'second', 'unchanged', COUNT(*) FROM j WHERE reason = 'ok' AND ts < DATE '1996-01-01'
+    UNION ALL SELECT 'second', 'updated', COUNT(*) FROM j WHERE reason = 'ok' AND ts >= DATE '1996-01-01' AND ts < DATE '1997-01-01'
+    UNION ALL SELECT 'second', 'inserted', COUNT(*) FROM j WHERE reason = 'ok' AND ts >= DATE '1997-01-01' UNION ALL SELECT 'second', 'superseded', 0""")
+def ingest_counts(spark, d):
+    """What two batches did: bars up to 1996, those of 1996 with provisional volumes, and then all of them as they are."""
+    raw, store = Market(spark, d).raw_bars(), new_store(spark)
+    last_year = (F.year("ts") == 1996) & (F.col("volume") >= 0)
+    early = raw.where("ts < DATE '1997-01-01'").withColumn("volume", F.when(last_year, F.col("volume") + 1).otherwise(F.col("volume")))
+    outcomes = [(batch, k, n) for batch, rows in (("first", early), ("second", raw)) for k, n in store.ingest(rows, batch).items()]
+    return spark.createDataFrame(outcomes, "batch string, outcome string, n long")
+
+
+@query("quarantined_bars", f"""SELECT asset_id, ts, SUBSTR({REASON}, 9) AS reason FROM dirty_bars WHERE {REASON} <> 'ok'""")
+def quarantined_bars(spark, d):
+    store = new_store(spark)
+    store.ingest(Market(spark, d).raw_bars(), "all")
+    return store.quarantine().select("asset_id", "ts", "reason")
 
 
 @query("upsert_latest", """

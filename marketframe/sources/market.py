@@ -5,13 +5,16 @@ lines still becomes at most one row per calendar day. Every per-asset window dow
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marketframe.functions.stats import rnd
 from marketframe.operators.windows import by_asset, running
-from marketframe.session import settled
-
+from marketframe.session import settled, shared_dir
+from marketframe.sources.store import BarStore
 
+_STORES: dict[tuple[str, str], BarStore] = {}
 
 class Market:
     """Lazily built inputs over one data directory."""
@@ -40,6 +43,22 @@ class Market:
             rnd(F.greatest("open", "close") * (1 + F.col("tx") / 10), 4).alias("high"),
             rnd(F.least("open", "close") * (1 - F.col("tx") / 10), 4).alias("low"), "close", "volume")
 
+    def raw_bars(self) -> DataFrame:
+        """Bars as they come in, faulty ones included, with the factor of the day."""
+        factors = self.adjustment_factors().withColumnRenamed("effective_date", "ts")
+        split = F.coalesce("cumulative_split_factor", F.lit(1.0))
+        return self.dirty_bars().join(factors, ["asset_id", "ts"], "left").withColumn("adj_close", F.col("close") * split).select(
+            "asset_id", "ts", "open", "high", "low", "close", "volume", F.when(F.col("close") > 0, F.col("adj_close") / F.col("close")).otherwise(1.0).alias("factor"))
+
+    def store(self) -> BarStore:
+        """The bar store of this directory's clean bars, filled once per application."""
+        key = (self.spark.sparkContext.applicationId, self.path)
+        if key not in _STORES:
+            store = BarStore(self.spark, f"{shared_dir(self.spark)}/bars-{uuid.uuid4().hex}")
+            store.ingest(self.bars().withColumn("factor", F.lit(1.0)), "all")
+            _STORES[key] = store
+        return _STORES[key]
+
     def adjustment_factors(self) -> DataFrame:
         return (self._lines_with_asset("l_shipdate", "l_tax", "l_discount")
                 .groupBy("asset_id", F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")).cast("date")
