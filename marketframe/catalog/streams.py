@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketframe.catalog.registry import query
+from marketframe.catalog.sqltext import roll
 from marketframe.functions.stats import rnd
 from marketframe.operators.asof import asof_daily
 from marketframe.sources.market import Market
 from marketframe.streaming import jobs
-from marketframe.streaming.sources import run_batches, run_to_parquet, table_stream, ticks
+from marketframe.session import durable
+from marketframe.streaming.sources import replay, run_batches, run_to_parquet, run_with_history, table_stream, ticks
 
 NTZ = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
 LIMIT = "(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -43,19 +45,36 @@ def stream_alerts(spark, d):
 @query("stream_order_fill", """SELECT o_orderkey AS order_id, o_orderdate AS order_ts, l_shipdate AS fill_ts, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
     AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 120 DAY""")
 def stream_order_fill(spark, d):
-    orders = table_stream(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("order_ts"))
-    fills = table_stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("fill_order_id"), F.col("l_shipdate").cast("timestamp").alias("fill_ts"),
-                                                      F.col("l_quantity").alias("quantity"))
-    # both tables are stored by key, over eight years of dates
-    return run_to_parquet(jobs.order_fills(orders, fills, delay="3000 days"), "order_fill").select("order_id", NTZ("order_ts"), NTZ("fill_ts"), "quantity")
+    m = Market(spark, d)
+    orders = m.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("order_ts"))
+    fills = m.table("lineitem").select(F.col("l_orderkey").alias("fill_order_id"), F.col("l_shipdate").cast("timestamp").alias("fill_ts"), F.col("l_quantity").alias("quantity"))
+    # the tables are stored by key; replayed year by year they need a delay of a year, and state older than that goes
+    live = jobs.order_fills(replay(orders, "order_ts", "orders"), replay(fills, "fill_ts", "fills"), delay="367 days")
+    return run_to_parquet(live, "order_fill").select("order_id", NTZ("order_ts"), NTZ("fill_ts"), "quantity")
 
 
-@query("stream_trailing_stop", """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+DUE = "(SELECT DATE_TRUNC('milliseconds', MAX(ts)) FROM events) - INTERVAL 10 MINUTE"
+
+
+@query("stream_trailing_stop", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+      COALESCE(ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 DAY, TRUE) AS fresh FROM events WHERE ts <= {DUE}),
     s AS (SELECT user_id, ts, rn, px, px AS best, FALSE AS hit FROM n WHERE rn = 1 UNION ALL
-      SELECT n.user_id, n.ts, n.rn, n.px, CASE WHEN s.hit THEN n.px ELSE GREATEST(s.best, n.px) END, n.px <= CASE WHEN s.hit THEN n.px ELSE GREATEST(s.best, n.px) END * 0.5 FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
+      SELECT n.user_id, n.ts, n.rn, n.px, CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END, n.px <= CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END * 0.5 FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
     SELECT user_id, ts, best, px AS exit_price FROM s WHERE hit""")
 def stream_trailing_stop(spark, d):
-    return run_to_parquet(jobs.trailing_stops(ticks(spark, d)), "trailing").select("user_id", NTZ("ts"), "best", "exit_price")
+    stops = jobs.trailing_stops(ticks(spark, d), delay=jobs.DELAY, idle="2 days")
+    return run_to_parquet(stops, "trailing").select("user_id", NTZ("ts"), "best", "exit_price")
+
+
+@query("stream_warm_sma", f"""SELECT asset_id, ts, close, R6({roll('AVG', 'close', 50)}) AS sma FROM bars QUALIFY ts > DATE '1996-12-31'""")
+def stream_warm_sma(spark, d):
+    """Bars up to 1996 are stored history, later ones arrive as a stream, a year at a time."""
+    from marketframe.operators.windows import roll as rolling
+    bars = Market(spark, d).bars().select("asset_id", "ts", "close")
+    old = durable(bars.where("ts <= DATE '1996-12-31'"))
+    live = replay(bars.where("ts > DATE '1996-12-31'"), "ts", "bars", files=1)
+    schema = spark.createDataFrame([], "asset_id string, ts date, close double, sma double").schema
+    return run_with_history(live, old, "warm", 49, lambda b: b.withColumn("sma", rnd(rolling(F.avg, "close", 50))), schema)
 
 
 @query("stream_stale", f"""SELECT user_id, MIN(ts) AS start, MAX(ts) + INTERVAL 6 HOUR AS stale_at, COUNT(*) AS n FROM (

@@ -48,26 +48,54 @@ def order_fills(orders: DataFrame, fills: DataFrame, within: str = "interval 120
     return o.join(f, F.expr(f"order_id = fill_order_id AND fill_ts >= order_ts AND fill_ts <= order_ts + {within}"), "inner")
 
 
-def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5) -> DataFrame:
-    """Exit events of a long position per key that restarts after each exit; state is the best price so far.
+STOP_STATE = "best double, last long, ts array<bigint>, ids array<bigint>, prices array<double>"
 
-    A micro-batch of one key is ordered before it is folded; its size is what the source's rate limit admits.
+
+def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5, delay: str = "0 seconds", idle: str = "365 days") -> DataFrame:
+    """Exit events of a long position per key that restarts after each exit, and after `idle` without a tick.
+
+    Ticks may be out of order by up to `delay`: each waits in the state of its key until the watermark has passed it, and is then
+    folded in order of time and id, so the outcome does not depend on how the input falls into batches. An event-time timer wakes a
+    key whose ticks have become due; another removes the state of one that has been idle. State holds the best price and the ticks
+    of the last `delay`.
     """
+    quiet = int(pd.Timedelta(idle).total_seconds() * 1_000_000)
+
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        best, last, ts, ids, prices = state.get if state.exists else (None, None, [], [], [])
+        waiting = [*zip(ts, ids, prices)]
+        for pdf in batches:
+            waiting += zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["price"].tolist())
+        waiting.sort()
+        watermark = state.getCurrentWatermarkMs()
+        due = sum(t <= watermark * 1000 for t, _, _ in waiting)
         out = []
-        for ts, price in zip(pdf["ts"], pdf["price"]):
+        for t, _, price in waiting[:due]:
+            if last is not None and t - last > quiet:
+                best = None
             best = price if best is None else max(best, price)
+            last = t
             if price <= best * (1 - trail):
-                out.append((k[0], ts, float(best), float(price)))
+                out.append((k[0], t, float(best), float(price)))
                 best = None
-        state.update((best,))
+        waiting = waiting[due:]
+        if waiting:
+            alarm = -(-waiting[0][0] // 1000) - 1
+        elif best is not None and last + quiet > watermark * 1000:
+            alarm = -(-(last + quiet) // 1000)
+        else:
+            state.remove()
+            alarm = None
+        if alarm is not None:
+            state.update((best, last, [t for t, _, _ in waiting], [i for _, i, _ in waiting], [p for _, _, p in waiting]))
+            state.setTimeoutTimestamp(max(alarm, watermark + 1))
         if out:
-            yield pd.DataFrame(out, columns=[key, "ts", "best", "exit_price"])
+            yield pd.DataFrame(out, columns=[key, "t", "best", "exit_price"])
 
-    return ticks.select(key, "ts", "event_id", "price").groupBy(key).applyInPandasWithState(
-        step, f"{key} bigint, ts timestamp, best double, exit_price double", "best double", "append", GroupStateTimeout.NoTimeout)
+    # times as microseconds, which do not depend on the zone of the session
+    rows = ticks.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("t"), "event_id", "price")
+    exits = rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, t bigint, best double, exit_price double", STOP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return exits.select(key, F.timestamp_micros("t").alias("ts"), "best", "exit_price")
 
 
 def inactivity(ticks: DataFrame, key: str = "user_id", gap: str = "6 hours", delay: str = DELAY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketframe.sources import sinks
 from marketframe.streaming import jobs
-from marketframe.streaming.sources import run_to_parquet, table_stream
+from marketframe.streaming.sources import replay, run_to_parquet, run_with_history, table_stream
 
 
 @pytest.fixture()
@@ -106,3 +106,71 @@ def test_order_fills_do_not_depend_on_batches(spark, folder):
         o = split_table(spark, folder, orders, f"o{parts}", [orders[i::parts] for i in range(parts)]).withColumnRenamed("ts", "order_ts")
         f = split_table(spark, folder, fills, f"f{parts}", [fills[i::parts] for i in range(parts)]).withColumnRenamed("ts", "fill_ts")
         assert run_to_parquet(jobs.order_fills(o, f, delay="600 days"), f"of{parts}").count() == want
+
+
+def plain_stops(pdf, trail, idle):
+    want = []
+    for user, g in pdf.sort_values(["ts", "event_id"]).groupby("user_id"):
+        best = last = None
+        for r in g.itertuples():
+            if last is not None and r.ts - last > idle:
+                best = None
+            best, last = r.price if best is None else max(best, r.price), r.ts
+            if r.price <= best * (1 - trail):
+                want.append((user, r.ts, best, r.price))
+                best = None
+    return sorted(want)
+
+
+@pytest.mark.parametrize("parts", [1, 10])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_trailing_stops_do_not_depend_on_batches_or_order(spark, folder, parts, shuffled):
+    pdf = ticks(400)
+    pdf["user_id"] = [(i * 7) % 5 for i in range(400)]
+    pdf.loc[(pdf.user_id == 2) & (pdf.event_id < 300), "user_id"] = 3          # a key with a long gap
+    fed = pdf.copy()
+    if shuffled:                                                                # each row up to an hour late
+        fed["k"] = [i + (i * 13) % 8 for i in range(400)]
+        fed = fed.sort_values("k", kind="stable").drop(columns="k")
+    size = -(-400 // parts)
+    stream = split_table(spark, folder, fed, "t", [fed[i * size:(i + 1) * size] for i in range(parts)])
+    got = run_to_parquet(jobs.trailing_stops(stream, trail=0.2, delay="2 hours", idle="10 hours"), "t").toPandas()
+    due = pdf[pdf.ts <= pdf.ts.max() - pd.Timedelta("2h")]
+    want = plain_stops(due, 0.2, pd.Timedelta("10h"))
+    assert sorted(zip(got.user_id, got.ts, got.best, got.exit_price)) == want and len(want) > 10
+
+
+def test_state_of_idle_keys_goes(spark, folder):
+    pdf = ticks(300)
+    pdf["user_id"] = [i if i < 100 else 1000 for i in range(300)]              # a hundred keys with one tick each
+    stream = split_table(spark, folder, pdf, "t", [pdf[i * 50:(i + 1) * 50] for i in range(6)])
+    out = jobs.trailing_stops(stream, trail=0.2, delay="1 hour", idle="3 hours")
+    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) > 50 and held[-1] <= 2
+
+
+def test_replayed_tables_keep_little_state(spark, folder):
+    days = pd.Timestamp("2015-01-01") + pd.to_timedelta([(i * 53) % 2500 for i in range(1000)], "D")
+    orders = spark.createDataFrame(pd.DataFrame({"order_id": range(1000), "order_ts": days}))
+    fills = spark.createDataFrame(pd.DataFrame({"fill_order_id": [i % 1000 for i in range(2000)], "fill_ts": [days[i % 1000] + pd.Timedelta(days=(i * 7) % 150) for i in range(2000)]}))
+    want = sum(((i * 7) % 150) <= 120 for i in range(2000))
+    live = jobs.order_fills(replay(orders, "order_ts", "o"), replay(fills, "fill_ts", "f"), delay="367 days")
+    query = live.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(f"{folder}/out").count() == want
+    assert max(held) < 2200 and held[-1] < 1300                                # of 3,000 rows
+
+
+def test_warm_start_has_full_windows(spark, folder):
+    from marketframe.operators.windows import roll
+    pdf = pd.DataFrame({"asset_id": [f"a{i % 3}" for i in range(600)], "ts": [(pd.Timestamp("2020-01-01") + pd.Timedelta(days=i // 3)).date() for i in range(600)],
+                        "close": [100.0 + (i * 31) % 17 for i in range(600)]})
+    history, live = spark.createDataFrame(pdf[:300]), spark.createDataFrame(pdf[300:])
+    schema = spark.createDataFrame([], "asset_id string, ts date, close double, sma double").schema
+    out = run_with_history(replay(live, "ts", "b", unit="week", files=1), history, "warm", 19, lambda b: b.withColumn("sma", roll(F.avg, "close", 20)), schema).toPandas()
+    pdf["sma"] = pdf.groupby("asset_id").close.transform(lambda x: x.rolling(20).mean())
+    want = {(r.asset_id, r.ts): r.sma for r in pdf[300:].itertuples()}
+    assert len(out) == 300 and all(abs(want[(r.asset_id, r.ts)] - r.sma) < 1e-9 for r in out.itertuples())
