@@ -197,10 +197,41 @@ def hrp_weights(spark, d):
     return weights.hrp_weights(rets(Market(spark, d)))
 
 
-@query("black_litterman_weights")
+VIEWS = [({"Brand#11": 1.0, "Brand#23": -1.0}, 0.05 / 252, 0.7), ({"Brand#45": 1.0}, 0.10 / 252, 0.5)]
+LEGS = ", ".join(f"({k}, '{a}', {w}::DOUBLE)" for k, (legs, _, _) in enumerate(VIEWS) for a, w in legs.items())
+
+
+@query("black_litterman_weights", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT asset_id, ts, close / LAG(close) {W} - 1 AS ret, close * volume AS dv FROM bars),
+    win AS MATERIALIZED (SELECT * FROM (SELECT asset_id, ts, ret, dv, CAST(DATE_TRUNC('month', ts) + k * INTERVAL 1 MONTH AS DATE) AS reb FROM r, (SELECT UNNEST(RANGE(1, 13)) AS k))
+      WHERE reb <= (SELECT DATE_TRUNC('month', MAX(ts)) FROM r WHERE ret IS NOT NULL)),
+    ok AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY reb ORDER BY asset_id) - 1 AS i, COUNT(*) OVER (PARTITION BY reb) AS p, dv / SUM(dv) OVER (PARTITION BY reb) AS w
+      FROM (SELECT reb, asset_id, AVG(ret) AS m, SUM(dv) AS dv FROM win GROUP BY 1, 2 HAVING COUNT(ret) >= 20) QUALIFY p >= 2),
+    x AS MATERIALIZED (SELECT reb, ts, asset_id, ret - m AS x FROM win JOIN ok USING (reb, asset_id) WHERE ret IS NOT NULL),
+    days AS (SELECT reb, COUNT(DISTINCT ts)::DOUBLE AS t FROM win WHERE ret IS NOT NULL GROUP BY 1),
+    s AS MATERIALIZED (SELECT a.reb, a.asset_id AS ai, b.asset_id AS aj, a.i, b.i AS j, a.p, COALESCE(q.v, 0) / t AS s FROM ok AS a JOIN ok AS b ON b.reb = a.reb JOIN days ON days.reb = a.reb
+      LEFT JOIN (SELECT y.reb, y.asset_id AS ai, z.asset_id AS aj, SUM(y.x * z.x) AS v FROM x AS y JOIN x AS z ON z.reb = y.reb AND z.ts = y.ts GROUP BY 1, 2, 3) AS q ON q.reb = a.reb AND q.ai = a.asset_id AND q.aj = b.asset_id),
+    sh AS (SELECT reb, mu, LEAST((q4 / t - fro) / (p * t), (fro - p * mu * mu) / p) / ((fro - p * mu * mu) / p) AS h FROM (SELECT reb, SUM(CASE WHEN i = j THEN s END) / MAX(p) AS mu, SUM(s * s) AS fro, MAX(p)::DOUBLE AS p FROM s GROUP BY 1)
+      JOIN (SELECT reb, SUM(q * q) AS q4 FROM (SELECT reb, ts, SUM(x * x) AS q FROM x GROUP BY 1, 2) GROUP BY 1) USING (reb) JOIN days USING (reb)),
+    cv AS MATERIALIZED (SELECT s.reb, ai, aj, i, j, p, (1 - h) * s + CASE WHEN i = j THEN h * mu ELSE 0 END AS c FROM s JOIN sh USING (reb)),
+    lg AS MATERIALIZED (SELECT reb, k, asset_id, l.w / SUM(ABS(l.w)) OVER (PARTITION BY reb, k) AS l FROM (VALUES {LEGS}) AS l(k, asset_id, w) JOIN ok USING (asset_id)),
+    ld AS MATERIALIZED (SELECT cv.reb, k, ai, 0.025::DOUBLE * SUM(c * l) AS v FROM cv JOIN lg ON lg.reb = cv.reb AND lg.asset_id = cv.aj GROUP BY 1, 2, 3),
+    sp AS MATERIALIZED (SELECT lg.reb, lg.k, ld.k AS m, SUM(l * v) AS v FROM lg JOIN ld ON ld.reb = lg.reb AND ld.ai = lg.asset_id GROUP BY 1, 2, 3),
+    eq AS MATERIALIZED (SELECT cv.reb, ai, 2.5::DOUBLE * SUM(c * w) AS e FROM cv JOIN ok ON ok.reb = cv.reb AND ok.asset_id = cv.aj GROUP BY 1, 2),
+    rs AS (SELECT lg.reb, k, CASE k WHEN 0 THEN {VIEWS[0][1]!r}::DOUBLE ELSE {VIEWS[1][1]!r}::DOUBLE END - SUM(l * e) AS v FROM lg JOIN eq ON eq.reb = lg.reb AND eq.ai = lg.asset_id GROUP BY 1, 2),
+    vw AS MATERIALIZED (SELECT o.reb, COALESCE(MAX(CASE WHEN k = 0 AND m = 0 THEN v * {2 - VIEWS[0][2]!r}::DOUBLE END), 1) AS a, COALESCE(MAX(CASE WHEN k = 1 AND m = 1 THEN v * {2 - VIEWS[1][2]!r}::DOUBLE END), 1) AS d, COALESCE(MAX(CASE WHEN k = 0 AND m = 1 THEN v END), 0) AS b
+      FROM (SELECT DISTINCT reb FROM ok) AS o LEFT JOIN sp ON sp.reb = o.reb GROUP BY 1),
+    rv AS (SELECT o.reb, COALESCE(MAX(CASE WHEN k = 0 THEN v END), 0) AS r0, COALESCE(MAX(CASE WHEN k = 1 THEN v END), 0) AS r1 FROM (SELECT DISTINCT reb FROM ok) AS o LEFT JOIN rs ON rs.reb = o.reb GROUP BY 1),
+    lv AS MATERIALIZED (SELECT ok.reb, ok.asset_id, i, p, COALESCE(MAX(CASE WHEN k = 0 THEN v END), 0) AS x, COALESCE(MAX(CASE WHEN k = 1 THEN v END), 0) AS y FROM ok LEFT JOIN ld ON ld.reb = ok.reb AND ld.ai = ok.asset_id GROUP BY 1, 2, 3, 4),
+    sys AS (SELECT cv.reb, cv.i, cv.j, cv.p, 1.025::DOUBLE * c - (d * f.x * g.x - b * (f.x * g.y + f.y * g.x) + a * f.y * g.y) / (a * d - b * b) AS v FROM cv JOIN vw USING (reb) JOIN lv AS f ON f.reb = cv.reb AND f.i = cv.i JOIN lv AS g ON g.reb = cv.reb AND g.i = cv.j
+      UNION ALL SELECT lv.reb, lv.i, lv.p, lv.p, e + x * (d * r0 - b * r1) / (a * d - b * b) + y * (a * r1 - b * r0) / (a * d - b * b) FROM lv JOIN eq ON eq.reb = lv.reb AND eq.ai = lv.asset_id JOIN vw ON vw.reb = lv.reb JOIN rv ON rv.reb = lv.reb),
+    gj AS (SELECT reb, i, j, p, v, 0 AS k FROM sys UNION ALL SELECT reb, i, j, p, CASE WHEN i = k THEN v / pv ELSE v - vi * vj / pv END, k + 1 FROM (
+        SELECT *, MAX(CASE WHEN j = k THEN v END) OVER (PARTITION BY reb, i) AS vi, MAX(CASE WHEN i = k THEN v END) OVER (PARTITION BY reb, j) AS vj, MAX(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY reb) AS pv FROM gj) WHERE k < p),
+    best AS (SELECT reb, i, LEAST(GREATEST(v / 2.5, 0), 0.30) AS v FROM gj WHERE k = p AND j = p)
+    SELECT reb AS rebalance, asset_id, R6(CASE WHEN SUM(v) OVER (PARTITION BY reb) > 0 THEN v / SUM(v) OVER (PARTITION BY reb) ELSE 1.0 / p END) AS weight FROM best JOIN ok USING (reb, i)""")
 def black_litterman_weights(spark, d):
-    views = [({"Brand#11": 1.0, "Brand#23": -1.0}, 0.05 / 252, 0.7), ({"Brand#45": 1.0}, 0.10 / 252, 0.5)]
-    return weights.black_litterman_weights(rets(Market(spark, d)), views)
+    m = Market(spark, d)
+    panel = m.bars().select("asset_id", "ts", pct_change("close").alias("ret"), (F.col("close") * F.col("volume")).alias("dv"))
+    return weights.black_litterman_weights(panel, VIEWS, size="dv").withColumn("weight", rnd("weight"))
 
 
 @query("turbulence")
