@@ -25,25 +25,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marketframe.llm import texts
+from marketframe.llm import bitmaps, texts
 from marketframe.llm.registry import query, table
 from marketframe.llm.storage import Shelf, arrays
 
 LONGEST = 4
 THRESHOLD = 30
-SHARDS = 4
+SHARDS = 2
 #: one byte each: the step at which a phrase with this hash reached the threshold
 SLOTS = 1 << 24
 NEVER = 255
 TOP = 2000
 WHOLE = 80
 SALTS = 64
+#: the share 1 / NAMING of the texts is searched for the texts of phrases first
+NAMING = 16
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 COUNTED = "key long, tag long, n long"
 NAMED = "key long, tag long, n long, lang string, phrase string"
+LANGS = "lang string, key long"
 
 
 class Counts:
@@ -95,60 +98,86 @@ def _phrases(chunk: texts.Chunk, at: np.ndarray, size: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out[~last])).cast(pa.string())
 
 
-def _phrase_hashes(chunk: texts.Chunk, seed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, second hash) of the phrases of this size, the language included."""
-    n = len(chunk.hash) - size + 1
-    h, _ = texts.window_hash(chunk.hash, chunk.row, size)
-    other = np.zeros(n, dtype=np.uint64)
+def _tags(chunk: texts.Chunk, pick: np.ndarray, seed: np.ndarray, size: int, when: np.ndarray) -> np.ndarray:
+    """48 bits of a second hash, the step at which the phrase is active, and its size."""
+    other = np.zeros(len(pick), dtype=np.uint64)
     for j in range(size):
-        other = (other + chunk.hash[j:j + n]) * np.uint64(0xD6E8FEB86659FD93)
-    return texts.mix(h ^ seed[:n] ^ np.uint64(size)), texts.mix(other + seed[:n])
+        other = (other + chunk.hash[pick + j]) * np.uint64(0xD6E8FEB86659FD93)
+    return (texts.mix(other + seed[pick]) & ~np.uint64(0xFFFF)) | (when[pick] << 3 | size).astype(np.uint64)
 
 
-def _scan(batches, held, step: int | None, shards: int, longest: int):
-    """lang, text -> COUNTED, the active phrases of this step; with no step NAMED, what has reached the threshold, and words by language."""
+def _scan(batches, held, step: int, shards: int, longest: int):
+    """lang, text -> COUNTED: the active phrases of this step, and in the first cycle the words of each language (tag 0)."""
     reached = np.frombuffer(zlib.decompress(held.value), dtype=np.uint8)
-    counts = Counts(["tag"] if step is not None else ["tag", "lang", "phrase"])
+    counts = Counts(["tag"])
+    for lang, seeds, code, chunk in _chunks(batches):
+        for size, h, same, when, before, seed in _phrases_of(chunk, seeds, code, reached, longest):
+            at = np.flatnonzero(same & (when <= step) & (step < when + shards))
+            if len(at):
+                key, first, where = np.unique(h[at], return_index=True, return_inverse=True)
+                yield from counts.add(key, np.bincount(where), [pa.array(_tags(chunk, at[first], seed, size, when).view(np.int64))])
+        if step < shards and len(chunk.hash):
+            own, words = np.unique(code[chunk.first + chunk.row], return_counts=True)
+            yield from counts.add(seeds[own], words, [pa.array(np.zeros(len(own), dtype=np.int64))])
+    yield from counts.end()
+
+
+def _names(batches, held, longest: int, wanted):
+    """lang, text -> NAMED: what has reached the threshold, of the keys that the bitmap (all without one) lets through."""
+    reached = np.frombuffer(zlib.decompress(held.value), dtype=np.uint8)
+    counts = Counts(["tag", "lang", "phrase"], 300_000)
+    for lang, seeds, code, chunk in _chunks(batches):
+        for size, h, same, when, before, seed in _phrases_of(chunk, seeds, code, reached, longest):
+            at = np.flatnonzero(before < NEVER)
+            if wanted is not None:
+                at = at[bitmaps.holds(wanted.value, h[at])]
+            if len(at):
+                key, first, where = np.unique(h[at], return_index=True, return_inverse=True)
+                pick = at[first]
+                yield from counts.add(key, np.bincount(where), [
+                    pa.array(_tags(chunk, pick, seed, size, when).view(np.int64)), lang.take(pa.array(chunk.first + chunk.row[pick])), _phrases(chunk, pick, size)])
+    yield from counts.end()
+
+
+def _chunks(batches):
+    """(languages of the batch, hash of each distinct one, which one each row has, chunk) of every chunk."""
     for batch in batches:
         lang = batch.column("lang")
         names = lang.dictionary_encode()
         seeds = np.array([hash_bytes(v) for v in names.dictionary.to_pylist()], dtype=np.uint64)
         code = names.indices.to_numpy()
-        if step is None and len(lang):
-            own = np.unique(code)
-            words = np.zeros(len(seeds), dtype=np.int64)
         for chunk in texts.chunks(batch.column("text")):
             chunk.words(_WORD, lower=True)
-            if step is None:
-                np.add.at(words, code[chunk.first:chunk.first + chunk.rows], chunk.count())
-            broken = np.zeros(len(chunk.data) + 1, dtype=np.int64)
-            np.cumsum(_BREAK[chunk.data], out=broken[1:])
-            # words of one piece have as many breaks before them, and one row
-            piece = broken[chunk.starts] + chunk.row
-            seed = seeds[code[chunk.first + chunk.row]] if len(chunk.row) else np.zeros(0, dtype=np.uint64)
-            when = np.zeros(len(chunk.hash), dtype=np.int64)            # step at which the phrase at a word is active
-            for size in range(1, longest + 1):
-                if len(chunk.hash) < size:
-                    break
-                h, other = _phrase_hashes(chunk, seed, size)
-                same = piece[:len(h)] == piece[size - 1:]
-                if size > 1:
-                    when = np.maximum(before[:-1], before[1:]) + 1
-                at_slot = reached[(h & np.uint64(len(reached) - 1)).astype(np.int64)]
-                # no phrase reaches the threshold before it is active, whatever else has its slot
-                before = np.where(same & (when < NEVER), np.maximum(at_slot, when), NEVER)
-                at = np.flatnonzero(same & (when <= step) & (step < when + shards) if step is not None else before < NEVER)
-                if len(at):
-                    key, first, where = np.unique(h[at], return_index=True, return_inverse=True)
-                    pick = at[first]
-                    tag = (other[pick] & ~np.uint64(0xFFFF)) | (when[pick] << 3 | size).astype(np.uint64)
-                    columns = [pa.array(tag.view(np.int64))]
-                    if step is None:
-                        columns += [lang.take(pa.array(chunk.first + chunk.row[pick])), _phrases(chunk, pick, size)]
-                    yield from counts.add(key, np.bincount(where), columns)
-        if step is None and len(lang):
-            yield from counts.add(seeds[own], words[own], [pa.array(np.zeros(len(own), dtype=np.int64)), names.dictionary.take(pa.array(own)), pa.array([""] * len(own))])
-    yield from counts.end()
+            yield lang, seeds, code, chunk
+
+
+def _phrases_of(chunk: texts.Chunk, seeds: np.ndarray, code: np.ndarray, reached: np.ndarray, longest: int):
+    """For every size, of the phrase at each word: hash, whether it lies in one piece, the step at which it is active, and the one at which it reached the threshold."""
+    broken = np.zeros(len(chunk.data) + 1, dtype=np.int64)
+    np.cumsum(_BREAK[chunk.data], out=broken[1:])
+    # words of one piece have as many breaks before them, and one row
+    piece = broken[chunk.starts] + chunk.row
+    seed = seeds[code[chunk.first + chunk.row]] if len(chunk.row) else np.zeros(0, dtype=np.uint64)
+    when, before = np.zeros(len(chunk.hash), dtype=np.int64), None
+    for size in range(1, longest + 1):
+        if len(chunk.hash) < size:
+            return
+        h, _ = texts.window_hash(chunk.hash, chunk.row, size)
+        h = texts.mix(h ^ seed[:len(h)] ^ np.uint64(size))
+        same = piece[:len(h)] == piece[size - 1:]
+        if size > 1:
+            when = np.maximum(before[:-1], before[1:]) + 1
+        at_slot = reached[(h & np.uint64(len(reached) - 1)).astype(np.int64)]
+        # no phrase reaches the threshold before it is active, whatever else has its slot
+        before = np.where(same & (when < NEVER), np.maximum(at_slot, when), NEVER)
+        yield size, h, same, when, before, seed
+
+
+def _seeds(batches):
+    for batch in batches:
+        names = batch.column("lang")
+        key = np.array([hash_bytes(v) for v in names.to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([names, pa.array(key.view(np.int64))], names=["lang", "key"])
 
 
 def hash_bytes(name: str) -> int:
@@ -192,9 +221,11 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, s
         if open_ is not None:
             counted = open_.where(closing >= step).select("key", "tag", "n", F.col("n").alias("old")).union(counted)
         now = shelf.put(counted.groupBy("key", "tag").agg(F.sum("n").alias("n"), F.sum("old").alias("old")), f"step-{step}")
-        fresh = (F.col("n") >= threshold) & (F.col("old") < threshold)
+        if step == shards - 1:
+            totals = shelf.put(now.where("tag = 0").select("key", "n"), "words")
+        fresh = (F.col("n") >= threshold) & (F.col("old") < threshold) & (size > 0)
         _note(reached, now.where(fresh), step)
-        done.append(shelf.put(now.where((F.col("n") >= threshold) & (closing == step)).drop("old"), f"done-{step}"))
+        done.append(shelf.put(now.where((F.col("n") >= threshold) & (closing == step) & (size > 0)).drop("old"), f"done-{step}"))
         if open_ is not None:
             shelf.drop(open_)
         held.destroy()                                                  # the step is a table now
@@ -204,17 +235,29 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, s
         last = max(last, ends[0] or 0, ends[1] or 0)
         step += 1
     shelf.drop(open_)
-    held = spark.sparkContext.broadcast(zlib.compress(reached, 1))
-    named = root.select("lang", "text").mapInArrow(lambda b: _scan(b, held, None, shards, longest), NAMED)
-    named = shelf.put(named.groupBy("key", "tag", "lang", "phrase").agg(F.sum("n").alias("n")), "named")
     found = done[0]
     for more in done[1:]:
         found = found.union(more)
-    phrases = found.join(named.where("tag <> 0").select("key", "tag", "lang", "phrase"), ["key", "tag"]).select("lang", size.cast("int").alias("size"), "phrase", "n")
-    phrases, totals = shelf.put(phrases, "phrases"), shelf.put(named.where("tag = 0 and n > 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    # a phrase needs its text once: most have theirs in a part of the corpus, the others are looked up in the rest
+    held = spark.sparkContext.broadcast(zlib.compress(reached, 1))
+    part = F.pmod(F.shiftright(F.xxhash64("text"), 20), F.lit(NAMING)) == 0
+
+    def named(rows: DataFrame, wanted, name: str) -> DataFrame:
+        texts_ = rows.select("lang", "text").mapInArrow(lambda b: _names(b, held, longest, wanted), NAMED)
+        own = F.struct("lang", "phrase")
+        return shelf.put(texts_.groupBy("key", "tag").agg(F.min(own).alias("x"), F.max(own).alias("y")).select("key", "tag", "x.*", (F.col("x") == F.col("y")).alias("one")), name)
+    names = named(root.where(part), None, "names")
+    missing = shelf.put(found.join(names, ["key", "tag"], "left_anti").select(F.col("key").alias("k")), "missing")
+    wanted = spark.sparkContext.broadcast(bitmaps.fill(missing))
+    names = names.union(named(root.where(~part), wanted, "more-names").join(missing, F.col("key") == F.col("k"), "left_semi"))
+    # two texts under one pair of hashes would be a collision; they are told apart or the job fails, never mixed
+    checked = F.when(F.col("one"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases have equal hashes")).cast("string"))
+    phrases = shelf.put(found.join(names, ["key", "tag"]).select("lang", size.cast("int").alias("size"), checked.alias("phrase"), "n"), "phrases")
+    langs = root.select("lang").distinct().mapInArrow(_seeds, LANGS)
+    totals = shelf.put(totals.join(langs, "key").select("lang", "n"), "totals")
     held.destroy()
-    for used in (root, named, *done):
-        shelf.drop(used)
+    wanted.destroy()
+    shelf.drop(root)
     return phrases, totals
 
 
