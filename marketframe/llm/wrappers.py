@@ -5,11 +5,15 @@ summed into it, and neighbouring regions of one shape are merged. Pages of one h
 a host in one place: pages are reduced to statistics per (host, tree shape, region) by an aggregate; the most frequent shape of
 a host is its reference tree; each other shape is aligned to it by simple tree matching, and the statistics of matched regions
 are summed per reference region. Regions whose text is the same on all of a host's (differing) pages are template, the others
-are slots. The wrapper of a host is the path of the region that holds its varying text, chosen without navigation, forms, adverts
-and the like (known by tag, by words of class, id and role, or by link share), and the template paths to leave out.
+are slots. The wrapper of a host is its reference tree with the region that holds its varying text, chosen without navigation, forms,
+adverts and the like (known by tag, by words of class, id and role, or by link share), and the template regions to leave out.
 
-extract() applies the wrapper to each page; a page on which its path is absent falls back to the same choice within the page.
-Inside the chosen region all text blocks stay, recurring ones too; only template regions and regions known as furniture go.
+extract() aligns each page with the reference tree of its host by the same matching; a page without a node for the content region
+falls back to the same choice within the page. Inside the chosen region all text blocks stay, recurring ones and lists of links
+too; only aligned nodes that never change and regions known as furniture go.
+
+Pages are read forward once, whatever their length: tags whose quotes never close end at the next bracket, what is nested deeper
+than DEPTH stands in its ancestor on that level, and implied end tags look up through REACH elements.
 
 Character references are decoded, white space in a block becomes one space, blocks (block elements, and lines ended by br) are joined by one
 line feed. Nulls and empty pages give empty text; a null url has the empty host; repeated pages are extracted each; broken markup is closed as
@@ -20,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from zlib import crc32
 
 import pyarrow as pa
@@ -51,16 +56,25 @@ LINKS, HOLDS = 0.5, 0.8
 #: pages from which a text that never changes is template
 CONSTANT_PAGES = 3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: levels of the element tree; what is nested deeper stands in its ancestor on the last one
+DEPTH = 150
+#: elements that an implied end tag looks up through; quotes of unclosed tags passed on a page before quotes are ignored on it
+REACH, PATIENCE = 512, 1_000_000
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+DELIMITER = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "names", "hidden", "parent", "items")
+    """items are child nodes, texts, and None for a line break; sink is where its content goes: its own items, or those of an ancestor at DEPTH."""
+
+    __slots__ = ("tag", "label", "names", "hidden", "parent", "items", "depth", "sink")
 
     def __init__(self, tag: str, attributes: str, parent: "Node | None"):
         self.tag, self.parent, self.items = tag, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.sink = self.items
         self.names, self.hidden, self.label = frozenset(), False, tag
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes or "style" in attributes):
             values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
@@ -70,63 +84,123 @@ class Node:
             self.label = tag + "." + re.sub(r"[0-9]{3,}", "", " ".join(values.get("class", "").split()[:1])) + "#" + re.sub(r"[0-9]+", "", values.get("id", ""))
 
 
+class Scanner:
+    """Where tags end. It only moves forward, so that a page of any length is read once, whatever its quotes and brackets."""
+
+    def __init__(self, text: str):
+        self.text, self.spent = text, 0
+        self.last = {c: text.rfind(c) for c in (">", '"', "'", "]]>")}
+
+    def tag_end(self, at: int) -> int:
+        """Position of the > that ends the tag whose attributes start at at; the next one of all if quotes never close; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        here, steps = at, 0
+        while self.spent < PATIENCE:
+            steps += 1
+            m = DELIMITER.search(self.text, here)
+            if m is None:
+                break
+            if m.group() == ">":
+                return m.start()
+            if m.start() >= self.last[m.group()]:
+                break
+            here = self.text.find(m.group(), m.end()) + 1
+        self.spent += steps
+        return self.text.find(">", at)
+
+
 def parse(text: str) -> Node:
     """The element tree; items are child nodes, texts (decoded), and None for a line break."""
     root = Node("#root", "", None)
     at, here, size = 0, root, len(text)
+    scan, opened, begun = Scanner(text), Counter(), 0
+
+    def close(upto: Node | None) -> Node:
+        """Close the open elements from here to upto's child."""
+        node = here
+        while node is not upto:
+            opened[node.tag] -= 1
+            if node.sink is not node.items and node.tag in BLOCK:
+                node.sink.append(None)
+            node = node.parent
+        return node
+
+    def above(wanted, fence) -> Node | None:
+        """The topmost open element of wanted below the first one of the fence."""
+        node, found, steps = here, None, 0
+        while node is not root and node.tag not in fence and steps < REACH:
+            if node.tag in wanted:
+                found = node
+            node, steps = node.parent, steps + 1
+        return found if node is root or node.tag in fence or steps == REACH else None
+
     while at < size:
-        m = TOKEN.search(text, at)
-        if m is None:
-            here.items.append(entities.unescape(text[at:]))
+        start = text.find("<", at)
+        if start < 0:
             break
-        if m.start() > at:
-            here.items.append(entities.unescape(text[at:m.start()]))
-        at = m.end()
-        tag = m.group(2)
+        at = start + 1
+        if text.startswith("<!--", start):
+            end = text.find("-->", start + 4)
+            stop, tag = (end + 3 if end >= 0 else size), None
+        elif text.startswith("<![CDATA[", start) and start < scan.last["]]>"]:
+            stop, tag = text.find("]]>", start) + 3, None
+        elif text[at:at + 1] in ("!", "?"):
+            end = text.find(">", at) if at <= scan.last[">"] else -1
+            if end < 0:
+                continue
+            stop, tag = end + 1, None
+        else:
+            m = OPENING.match(text, start)
+            end = scan.tag_end(m.end()) if m else -1
+            if end < 0:
+                continue                                            # a sign, not a tag
+            stop, tag, attributes = end + 1, m.group(2).lower(), text[m.end():end]
+        if start > begun:
+            here.sink.append(entities.unescape(text[begun:start]))
+        at = begun = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if m.group(1):
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node.parent)
             continue
         if tag in RAW:
-            if not m.group(3).endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-                at = end.end() if end else size
+                at = begun = end.end() if end else size
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                here.items.append(None)
+                here.sink.append(None)
             continue
-        if tag in CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in REGION:
-                node = node.parent
+        if tag in CLOSES_P and opened["p"]:
+            node, steps = here, 0
+            while node is not root and node.tag != "p" and node.tag not in REGION and steps < REACH:
+                node, steps = node.parent, steps + 1
             if node.tag == "p":
-                here = node.parent
+                here = close(node.parent)
         if tag in SAME:
-            node, last = here, None
-            while node is not root and node.tag not in FENCE[tag]:
-                if node.tag in SAME[tag]:
-                    last = node
-                node = node.parent
+            last = above(SAME[tag], FENCE[tag])
             if last is not None:
-                here = last.parent
-        if tag == "html" or tag == "body":
-            # repeated or late: continue in the open one
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                continue
-        child = Node(tag, m.group(3), here)
-        here.items.append(child)
-        if not m.group(3).endswith("/"):
+                here = close(last.parent)
+        if tag in ("html", "body") and opened[tag]:
+            continue                                                # repeated or late: continue in the open one
+        child = Node(tag, attributes, here)
+        if child.depth <= DEPTH:
+            here.items.append(child)
+        else:
+            child.sink = [] if furniture(child, True) or here.depth > DEPTH and here.sink is here.items else here.sink
+            if tag in BLOCK:
+                child.sink.append(None)
+        if not attributes.endswith("/"):
             here = child
+            opened[tag] += 1
+    if begun < size:
+        here.sink.append(entities.unescape(text[begun:]))
     return root
 
 
@@ -144,17 +218,17 @@ def furniture(node: Node, inside: bool) -> bool:
 class Region:
     """A region with its own text (outside child regions) and merged repeats."""
 
-    __slots__ = ("label", "furniture", "text", "link", "hash", "children", "kind")
+    __slots__ = ("label", "furniture", "text", "link", "hash", "children", "kind", "nodes")
 
-    def __init__(self, label: str, is_furniture: bool, kind: str):
-        self.label, self.furniture, self.kind = label, is_furniture, kind
+    def __init__(self, label: str, is_furniture: bool, kind: str, node: Node):
+        self.label, self.furniture, self.kind, self.nodes = label, is_furniture, kind, [node]
         self.text = self.link = self.hash = 0
         self.children: list[Region] = []
 
 
 def regions(node: Node, inside: bool = False) -> Region:
     known = furniture(node, inside)
-    region = Region(node.label, known, "article" if node.tag == "article" else "main" if node.tag == "main" or "main" in node.names and node.tag in REGION else "")
+    region = Region(node.label, known, "article" if node.tag == "article" else "main" if node.tag == "main" or "main" in node.names and node.tag in REGION else "", node)
     _fill(node, region, inside or node.tag in ("article", "main"), False)
     merged: list[Region] = []
     for child in region.children:
@@ -188,6 +262,7 @@ def _shape(region: Region) -> str:
 
 def _merge(a: Region, b: Region) -> None:
     a.kind = a.kind or "many"
+    a.nodes += b.nodes
     a.text, a.link, a.hash = a.text + b.text, a.link + b.link, crc32(b.hash.to_bytes(4, "little"), a.hash)
     for x, y in zip(a.children, b.children):
         _merge(x, y)
@@ -297,17 +372,17 @@ def _align(batches):
         yield _arrow(rows, ALIGNED)
 
 
-def choose(nodes: list[dict]) -> tuple[list[str], list[list[str]]]:
-    """(path of the content region, paths of template regions in it) from regions in preorder with statistics."""
+def choose(nodes: list[dict]) -> tuple[int, list[int]]:
+    """(content region, template regions in it) by position, from all regions in preorder with statistics."""
     path: list[int] = []
-    parent, good, bad = [], [], []
+    parent, good, bad, constant = [], [], [], []
     for i, n in enumerate(nodes):
         del path[n["depth"]:]
         parent.append(path[-1] if path else -1)
         path.append(i)
-        constant = n["pages"] >= CONSTANT_PAGES and n["low"] == n["high"] and n["page_low"] != n["page_high"] and n["text"] > 0
+        constant.append(n["pages"] >= CONSTANT_PAGES and n["low"] == n["high"] and n["page_low"] != n["page_high"] and n["text"] > 0)
         furnished = n["furniture"] or (parent[i] >= 0 and bad[parent[i]] == 2)
-        bad.append(2 if furnished else 1 if constant or n["link"] > LINKS * n["text"] else 0)
+        bad.append(2 if furnished else 1 if constant[i] or n["link"] > LINKS * n["text"] else 0)
         good.append(0 if bad[i] else n["text"] - n["link"])
     under = list(good)
     for i in range(len(nodes) - 1, 0, -1):
@@ -329,26 +404,24 @@ def choose(nodes: list[dict]) -> tuple[list[str], list[list[str]]]:
                 break
             at = inner[0]
 
-    def labels(i: int) -> list[str]:
-        out = []
-        while i >= 0:
-            out.append(nodes[i]["label"])
-            i = parent[i]
-        return out[::-1]
     above, i = set(), at
     while i >= 0:
         above.add(i)
         i = parent[i]
-    template = [labels(i) for i in range(len(nodes)) if bad[i] == 1 and i not in above and not under[i]]
-    return labels(at), template
+    # in the article only what never changes goes; a list of links that varies stays, and so does what holds a varying region
+    varies = [not constant[i] and n["text"] > 0 and not n["furniture"] for i, n in enumerate(nodes)]
+    for i in range(len(nodes) - 1, 0, -1):
+        varies[parent[i]] = varies[parent[i]] or varies[i]
+    return at, [i for i in range(len(nodes)) if constant[i] and i not in above and not varies[i]]
 
 
 def _induce(batches):
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            root, template = choose(sorted(r["nodes"], key=lambda n: n["node"]))
-            rows.append((r["host"], json.dumps([root, template], ensure_ascii=False)))
+            nodes = sorted(r["nodes"], key=lambda n: n["node"])
+            at, template = choose(nodes)
+            rows.append((r["host"], json.dumps([[[n["depth"], n["label"]] for n in nodes], at, template], ensure_ascii=False)))
         yield _arrow(rows, "host string, wrapper string")
 
 
@@ -369,57 +442,61 @@ def induce(pages: DataFrame, shelf: Shelf) -> DataFrame:
     return shelf.put(merged.groupBy("host").agg(F.collect_list(F.struct("node", *rest)).alias("nodes")).mapInArrow(_induce, "host string, wrapper string"), "wrappers")
 
 
-def _blocks(node: Node, path: tuple, template: set, out: list[list[str]]) -> None:
-    """Append the text blocks under a content node; out[-1] is the open block."""
+def _blocks(node: Node, template: set, out: list[list[str]]) -> None:
+    """Append the text blocks under a content node, without template nodes (by identity); out[-1] is the open block."""
     for item in node.items:
         if item is None:
             out.append([])
         elif isinstance(item, str):
             out[-1].append(item)
         else:
-            at = (*path, item.label) if item.tag in REGION else path
-            if furniture(item, True) or item.tag in REGION and at in template:
+            if furniture(item, True) or id(item) in template:
                 out.append([])
                 continue
             if item.tag in BLOCK:
                 out.append([])
-            _blocks(item, at, template, out)
+            _blocks(item, template, out)
             if item.tag in BLOCK:
                 out.append([])
 
 
-def _find(node: Node, path: list[str]) -> list[Node]:
-    """Region nodes at a path of region labels, in page order."""
-    level = [node]
-    for label in path[1:]:
-        following = []
-        for n in level:
-            todo = list(reversed(n.items))
-            while todo:
-                item = todo.pop()
-                if isinstance(item, Node):
-                    if item.tag in REGION or item.names and furniture(item, False):
-                        if item.label == label:
-                            following.append(item)
-                    else:
-                        todo += reversed(item.items)
-        level = following
-    return level
-
-
-def text_of(page: str, wrapper: tuple[list[str], list[list[str]]] | None) -> str:
-    """The main text of a page by a wrapper, or by the page alone where the wrapper's path is absent or empty."""
+class Wrapper:
+    """The reference tree of a host with its content region and template regions; alignments of tree shapes are kept."""
+
+    def __init__(self, text: str):
+        reference, self.at, template = json.loads(text)
+        self.reference, self.template, self.known = [tuple(x) for x in reference], set(template), {}
+
+    def align(self, own: list[tuple[int, str]]) -> dict[int, int]:
+        if own == self.reference:
+            return {i: i for i in range(len(own))}
+        key = tuple(own)
+        if key not in self.known:
+            if len(self.known) > 200:
+                self.known.clear()
+            self.known[key] = match(own, self.reference)
+        return self.known[key]
+
+
+def text_of(page: str, wrapper: Wrapper | None) -> str:
+    """The main text of a page by a wrapper, or by the page alone where it has no region like the wrapper's, or an empty one."""
     root = parse(page)
+    own = flat(regions(root))
     for attempt in (wrapper, None):
         if attempt is None:
-            nodes = [{"node": i, "depth": d, "label": r.label, "kind": r.kind, "furniture": r.furniture, "pages": 1, "text": r.text, "link": r.link, "low": r.hash,
-                      "high": r.hash, "page_low": 0, "page_high": 0} for i, (d, r) in enumerate(flat(regions(root)))]
-            attempt = choose(nodes)
-        template = {tuple(t) for t in attempt[1]}
+            at, template = choose([{"node": i, "depth": d, "label": r.label, "kind": r.kind, "furniture": r.furniture, "pages": 1, "text": r.text, "link": r.link,
+                                    "low": r.hash, "high": r.hash, "page_low": 0, "page_high": 0} for i, (d, r) in enumerate(own)])
+            content, gone = [at], template
+        else:
+            places = attempt.align([(d, r.label) for d, r in own])
+            content = [i for i, j in places.items() if j == attempt.at]
+            gone = [i for i, j in places.items() if j in attempt.template]
         out: list[list[str]] = [[]]
-        for node in _find(root, attempt[0]):
-            out.append([])
-            _blocks(node, tuple(attempt[0]), template, out)
+        skipped = {id(node) for i in gone for node in own[i][1].nodes}
+        for i in content:
+            for node in own[i][1].nodes:
+                out.append([])
+                _blocks(node, skipped, out)
         text = "\n".join(x for x in (" ".join("".join(b).split()) for b in out) if x)
         if text:
             return text
@@ -427,7 +504,7 @@ def text_of(page: str, wrapper: tuple[list[str], list[list[str]]] | None) -> str
 
 
 def _extract(batches):
-    known: dict[str, tuple] = {}
+    known: dict[str, Wrapper] = {}
     for batch in batches:
         ids, urls, pages, wrappers = (batch.column(c) for c in ("page_id", "url", "html", "wrapper"))
         texts_: list[str] = []
@@ -435,9 +512,9 @@ def _extract(batches):
         for i in range(len(batch)):
             w = wrappers[i].as_py()
             if w is not None and w not in known:
-                if len(known) > 2000:
+                if len(known) > 200:
                     known.clear()
-                known[w] = tuple(json.loads(w))
+                known[w] = Wrapper(w)
             texts_.append(text_of(pages[i].as_py() or "", known.get(w)))
             held += len(texts_[-1])
             if held > 1 << 22 or i == len(batch) - 1:

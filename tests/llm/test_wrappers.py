@@ -98,3 +98,53 @@ def test_odd_pages(spark):
     assert ("1", 0, "") in got and ("None", 5, "plain") in got and got.count(("3", 13, "unclosed ")) == 2 and ("6", 9, "core text") in got and ("7", 0, "") in got
     assert ("8", 799_999, "w w w w w") in got and ("4", 4, "lone") in got
     assert w.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article>" + "<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after</article>", "deep\nafter"),
+    ("<article>" + "<b>" * 100_000 + "deep" + "</b>" * 100_000 + " after</article>", "deep after"),
+    ("<article><p>one" + "<div>" * 300 + "<p>two<div class=nav>menu</div>three" + "</div>" * 300 + "four</article>", "one\ntwo\nthree\nfour"),
+    ("<article><p>" + "</i>" * 100_000 + "x" + "<li>" * 50_000 + "y</article>", "x\ny"),
+])
+def test_deep_markup(html, text):
+    import time
+    start = time.time()
+    assert w.text_of(html, None) == text
+    assert time.time() - start < 10
+
+
+@pytest.mark.parametrize("html", ["<p>" + "<b x" * 300_000, "<p>x" + "<" * 500_000, "<p>y<a title=\"" + "<b c='" * 200_000, "<p>" + "<a b=\"'>'" * 200_000, "<!--" * 300_000, "<p>" + "<p a='" * 100_000 + ">" * 10,
+                                  "<table>" + "<td><b>" * 60_000, "<p>" + "<![CDATA[" * 200_000])
+def test_unclosed_markup_is_read_once(html):
+    import time
+    start = time.time()
+    w.text_of(html, None)
+    assert time.time() - start < 10
+
+
+def test_quotes_and_brackets_in_tags():
+    assert w.text_of("<article><p title=\"a > b\" class='x>y'>one <a href=u'>two</a> 3 < 4 <5> a<b c</article>", None) == "one two 3 < 4 <5> a"
+    assert w.text_of("<p>a <!-- > <p> --> b <![CDATA[c]]> d <!doctype x> e", None) == "a b d e"
+
+
+def test_a_varying_list_of_links_in_the_article_stays(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(8):
+        body, names = words(rng, 40), words(rng, 5).split()
+        refs = "".join(f"<li><a href='/{n}'>{n}</a></li>" for n in names)
+        rows.append((i, f"http://refs/{i}", f"<nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><p>{body}</p><ul>{refs}</ul></article><footer>end</footer>"))
+        want[i] = "\n".join([f"Title {i}", body, *names])
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_only_the_constant_one_of_equal_siblings_goes(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(8):
+        first, listed = words(rng, 30), words(rng, 4)
+        rows.append((i, f"http://equal/{i}", f"<body><article><h1>Title {i}</h1><div><p>{first}</p></div><ul><li>{listed}</li></ul><div>Print this page or save it</div></article></body>"))
+        want[i] = f"Title {i}\n{first}\n{listed}"
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
