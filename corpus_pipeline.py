@@ -20,6 +20,9 @@ from marketframe.llm import decontamination, mixing, secrets, similarity, toxici
 from marketframe.llm.registry import table
 from marketframe.session import shared_dir
 
+#: near-duplicate stages take five words and a similarity of 0.8
+NEAR = similarity.Rule(5, 80)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7, by a model fitted on training labels."""
@@ -28,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of shingle overlap of 90 % or more: the one with the smallest id."""
-    return similarity.keep_one(docs)
+    """One document of each component of an overlap of 80 % or more in shingles of five words: the one with the smallest id."""
+    return similarity.keep_one(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
