@@ -9,11 +9,11 @@ from marketframe.llm import similarity
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows):
+def brute(rows, words=3, percent=90):
     sets, parent = [], list(range(len(rows)))
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-        sets.append({tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
 
     def root(i):
         while parent[i] != i:
@@ -22,7 +22,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     groups = {}
@@ -130,7 +130,7 @@ def test_join_lists_every_link(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TILE", 3)
     rows = [(i, t) for i, (_, t) in enumerate(corpus(7))]
     sets, _ = by_rule(rows, 3, 90)
-    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
     pairs, members = (d.collect() for d in similarity.join(frame(spark, rows)))
     assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in members) == [
         (i, len(a), sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)]
