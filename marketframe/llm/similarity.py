@@ -10,8 +10,8 @@ because whole buckets have to agree. Within tiles, hashed bitmap signatures (par
 set bits of their exclusive-or never exceed the size of the symmetric difference. Pairs that pass are confirmed by intersecting
 the exact sorted arrays.
 
-A tile is not expanded into its pairs. First each class meets the smallest class of its tiles; the confirmed links give
-components. Only tiles that still hold several components are compared in full, as blocks of at most TILE rows whose bitmaps
+A tile is not expanded into its pairs. First each class meets one class, the least of those that are the smallest of its tiles, then
+the smallest of each of its tiles where the two are still apart; the confirmed links give components. Only tiles that still hold several components are compared in full, as blocks of at most TILE rows whose bitmaps
 are compared in arrays; blocks are spread over tasks, so one large group fills no task. linked() and keep_one() need no links
 inside one component: the components are those of all links. join() lists them: it compares every tile in full, in the same blocks,
 and returns all pairs of classes that link and the number of links of every row.
@@ -281,15 +281,24 @@ def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has doc_id, th, n, cls; classes has cls, component: the (doc_id, th) that stands for its component."""
     shelf = Shelf(docs.sparkSession, "jaccard")
     rows, classes, shared = _tiles(docs, shelf, rule)
-    links = confirmed(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct(), classes, docs, shelf, "stars", rule)
+    meets = shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")).distinct()
+    # each class meets one class first: in a group of near copies that settles most, and the sets of a class travel once
+    first = shelf.put(meets.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+    links = confirmed(first, classes, docs, shelf, "first", rule)
+    roots = components(links, shelf)
+    # then the smallest class of each of its tiles, where they are still apart
+    sides = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy"]
+    apart = meets.join(sides[0], "x", "left").join(sides[1], "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
+    stars = shelf.put(apart.join(first, ["x", "y"], "left_anti"), "star-pairs")
+    links = shelf.put(links.union(confirmed(stars, classes, docs, shelf, "stars", rule)), "star-links")
     roots = components(links, shelf)
     # tiles that still hold several components
     placed = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     pairs, open_rows = _candidates(placed, classes, shelf, rule)
-    pairs = pairs.join(shared.where("cls <> low").select(F.col("low").alias("x"), F.col("cls").alias("y")), ["x", "y"], "left_anti")
+    pairs = pairs.join(first.union(stars), ["x", "y"], "left_anti")
     more = confirmed(pairs, classes, docs, shelf, "tiles", rule)
     roots = components(links.union(more), shelf)
-    for used in (shared, open_rows, links, more):
+    for used in (shared, open_rows, first, stars, links, more):
         shelf.drop(used)
     final = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = final.groupBy("root").agg(F.min("rep").alias("component"))      # the smallest id; rows without one come last
