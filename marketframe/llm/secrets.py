@@ -34,22 +34,56 @@ KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _runs(text: Column, pattern: str, rank: int, good=None) -> Column:
-    """Spans of the leftmost non-overlapping matches; good: a condition on (match, group 2 of it)."""
+#: elements folded at a time: an array that grows by one element per step is copied at every step, so it grows in pieces
+PIECE = 64
+
+
+def _folded(items: Column, at: Column, kind: str, step) -> Column:
+    """Fold with a state and an output array, in time linear in the items: step(at, item) -> (at, array of what to add)."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, x: Column) -> Column:
+        now, more = step(s["at"], x)
+        return F.struct(now.alias("at"), F.concat(s["out"], more).alias("out"))
+
+    def piece(s: Column, p: Column) -> Column:
+        inner = F.aggregate(p, F.struct(s["at"].alias("at"), empty.alias("out")), one)
+        # through an array of one, so that the inner fold is computed once and used twice
+        return F.aggregate(F.array(inner), s, lambda t, i: F.struct(i["at"].alias("at"), F.concat(t["out"], F.array(i["out"])).alias("out")))
+    start = F.struct(at.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+    def whole(own: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / PIECE).cast("int"))
+        return F.aggregate(places, start, lambda s, c: piece(s, F.slice(own, c * PIECE + 1, PIECE)), lambda s: F.flatten(s["out"]))
+    # again through an array of one: the items are computed once, not once a piece
+    return F.element_at(F.transform(F.array(items), lambda own: F.when(F.size(own) > 0, whole(own)).otherwise(empty)), 1)
+
+
+FOUND = "struct<start:int,end:int,m:string>"
+
+
+def _matches(text: Column, pattern: str, good=None) -> Column:
+    """(start, end, match) of the leftmost non-overlapping matches; good: a condition on (match, group 2 of it)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if good else found
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["g"])
+    def step(at: Column, p: Column):
+        begin = at + F.length(p["g"])
         end = begin + F.length(p["m"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        kept = F.when(good(p["m"], p["v"]), F.concat(s["out"], span)).otherwise(s["out"]) if good else F.concat(s["out"], span)
-        return F.struct(end.alias("at"), kept.alias("out"))
+        span = F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m")))
+        return end, F.when(good(p["m"], p["v"]), span).otherwise(F.array().cast(f"array<{FOUND}>")) if good else span
     # most texts match nowhere; they pay for one search only
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _folded(parts, F.lit(0), FOUND, step)).otherwise(F.array().cast(f"array<{FOUND}>"))
+
+
+def _spans(matches: Column, rank: int) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))).cast(SPAN)
+
+
+def _runs(text: Column, pattern: str, rank: int, good=None) -> Column:
+    return _spans(_matches(text, pattern, good), rank)
 
 
 def base_spans(text: Column) -> Column:
@@ -67,8 +101,26 @@ class RandomStrings:
         width = len(ALPHABET) + 1
         # a constant: folded once, not built per row
         ratios = F.from_json(F.lit(json.dumps([round(x, 6) for x in self.ratio])), "array<double>")
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda s, i: s + F.get(ratios, place(i) * width + place(i + 1)))
+        start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+
+        def step(s: Column, c: Column) -> Column:
+            place = F.instr(F.lit(ALPHABET), c)
+            return F.struct(place.alias("before"), (s["sum"] + F.when(s["before"] < 0, F.lit(0.0)).otherwise(F.get(ratios, s["before"] * width + place))).alias("sum"))
+        # one pass over the characters of the run
+        return F.aggregate(F.split(run, ""), start, step, lambda s: s["sum"])
+
+
+def _free(matches: Column, base: Column) -> Column:
+    """The matches that overlap no base span: both in one order, and the furthest end of the base spans that begin before a match ends."""
+    event = "array<struct<key:int,order:int,start:int,end:int,m:string>>"
+    of_base = F.transform(base, lambda b: F.struct(b["start"].alias("key"), F.lit(1).alias("order"), b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("m"))).cast(event)
+    of_match = F.transform(matches, lambda m: F.struct(m["end"].alias("key"), F.lit(0).alias("order"), m["start"].alias("start"), m["end"].alias("end"), m["m"].alias("m"))).cast(event)
+    none = F.array().cast(f"array<{FOUND}>")
+
+    def step(reach: Column, e: Column):
+        kept = F.array(F.struct(e["start"].alias("start"), e["end"].alias("end"), e["m"].alias("m")))
+        return F.when(e["order"] == 1, F.greatest(reach, e["end"])).otherwise(reach), F.when((e["order"] == 0) & (reach <= e["start"]), kept).otherwise(none)
+    return F.when((F.size(base) > 0) & (F.size(matches) > 0), _folded(F.array_sort(F.concat(of_base, of_match)), F.lit(0), FOUND, step)).otherwise(matches)
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE, generated: int = GENERATED) -> DataFrame:
@@ -114,10 +166,10 @@ def find(docs: DataFrame, model: RandomStrings) -> DataFrame:
     """doc_id, text, base, spans: base spans, and all spans, of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    runs = _runs(F.col("text"), CANDIDATE, 3)
-    free = F.filter(runs, lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    random = F.filter(free, lambda r: model.score(F.substring("text", r["start"] + 1, r["end"] - r["start"])) >= RATIO)
-    return rows.withColumn("spans", F.array_sort(F.concat("base", random)))
+    # columns of their own, so that later expressions refer to them instead of repeating them
+    rows = rows.withColumn("__runs", _matches(F.col("text"), CANDIDATE)).withColumn("__free", _free(F.col("__runs"), F.col("base")))
+    random = _spans(F.filter("__free", lambda r: model.score(r["m"]) >= RATIO), 3)
+    return rows.withColumn("spans", F.array_sort(F.concat("base", random))).drop("__runs", "__free")
 
 
 def listed(spans: Column) -> Column:
@@ -130,8 +182,7 @@ def redact(docs: DataFrame, model: RandomStrings, mark: str = "[SECRET]") -> Dat
     """docs with every span of text replaced by mark (overlapping spans by one), all other columns as they are."""
     text = F.coalesce("text", F.lit(""))
     base = base_spans(text)
-    runs = _runs(text, CANDIDATE, 3)
-    random = F.filter(runs, lambda r: model.score(F.substring(text, r["start"] + 1, r["end"] - r["start"])) >= RATIO)
+    random = _spans(F.filter(_matches(text, CANDIDATE), lambda r: model.score(r["m"]) >= RATIO), 3)
     spans = F.array_sort(F.concat(base, random))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
