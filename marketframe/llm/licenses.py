@@ -53,6 +53,8 @@ TOP, VARIANT, NEAR = 5, 0.25, 2
 #: bytes of a neighbouring line that may belong to a notice
 SHORT = 160
 LEVEL = 3
+#: length of a window in a long block, in spans that the longest notice may take
+WINDOW = 10
 #: lines longer than this many bytes are cut around their cues, in overlapping pieces that cover every cue
 LINE = 2048
 WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+[0-9]*")
@@ -103,7 +105,22 @@ class Scanner:
         return ("exact" if not missing and not added else "variant", spans[first][1], spans[last - 1][2], missing, added, ";".join(notes))
 
     def scan(self, block: str):
-        """Confirmed licenses of a block, each place by its best template. What is found is blanked and the rest ranked again."""
+        """Confirmed licenses of a block, each place by its best template.
+
+        A block of many notices is taken in windows, so that time follows its length: what ends in the last part of a window, which
+        may hold the beginning of a longer notice, is left to the next one, which begins there.
+        """
+        reach = 2 * max(self.sizes.values())
+        out, at = [], 0
+        while len(block) - at > WINDOW * reach:
+            here = [(name, saved, (got[0], got[1] + at, got[2] + at, *got[3:])) for name, saved, got in self._scan(block[at:at + WINDOW * reach])]
+            sure = [x for x in here if x[2][2] <= at + (WINDOW - 1) * reach]
+            out += sure
+            at = max([at + (WINDOW - 1) * reach - reach, *[x[2][2] for x in sure]])
+        return out + [(name, saved, (got[0], got[1] + at, got[2] + at, *got[3:])) for name, saved, got in self._scan(block[at:])]
+
+    def _scan(self, block: str):
+        """The licenses of a window. What is found is blanked and the rest ranked again."""
         out = []
         while True:
             found = []
