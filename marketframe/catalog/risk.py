@@ -83,3 +83,18 @@ def bracket_positions(bars):
 def stop_hits(spark, d):
     bars = Market(spark, d).bars()
     return exits.stop_hits(bracket_positions(bars), bars).withColumn("level", rnd("level"))
+
+
+@query("atr_trail_hits", f"""WITH ranged AS MATERIALIZED (SELECT *, {roll('AVG', 'tr', 14)} AS atr FROM (SELECT *, GREATEST(high - low, ABS(high - LAG(close) {W}), ABS(low - LAG(close) {W})) AS tr FROM bars)),
+    pos AS MATERIALIZED (SELECT CONCAT(asset_id, '@', STRFTIME(ts, '%Y-%m-%d')) AS position_id, asset_id, ts AS entry_ts, close AS entry_price, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END AS side FROM bars),
+    path AS (SELECT p.*, b.ts, b.high, b.low, b.close, b.atr, CASE WHEN side = 1 THEN GREATEST(entry_price, MAX(b.high) OVER w) ELSE LEAST(entry_price, MIN(b.low) OVER w) END AS best
+      FROM pos AS p JOIN ranged AS b ON b.asset_id = p.asset_id AND b.ts > p.entry_ts WINDOW w AS (PARTITION BY p.position_id ORDER BY b.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    lv AS (SELECT *, COALESCE(LAST_VALUE(CASE WHEN atr > 0 THEN best - side * 2.5::DOUBLE * atr END IGNORE NULLS) OVER (PARTITION BY position_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), entry_price * (1 - side * 0.2::DOUBLE)) AS stop FROM path)
+    SELECT position_id, asset_id, ts AS exit_ts, R6(stop) AS level, close AS exit_price FROM lv WHERE side = 1 AND low <= stop OR side = -1 AND high >= stop
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY position_id ORDER BY ts) = 1""")
+def atr_trail_hits(spark, d):
+    """One position per bar behind a stop at 2.5 mean true ranges from the best price since entry, 20 % from the entry while the range is unknown."""
+    bars = Market(spark, d).bars()
+    positions = bracket_positions(bars).withColumns({"stop_pct": F.lit(0.2), "target_pct": F.lit(None).cast("double"), "trail_pct": F.lit(None).cast("double"), "atr_multiple": F.lit(2.5)})
+    hits = exits.stop_hits(positions, exits.atr_stops(bars, 14))
+    return hits.select("position_id", "asset_id", "exit_ts", rnd("level").alias("level"), "exit_price")

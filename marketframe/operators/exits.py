@@ -25,9 +25,11 @@ GROUP_ROWS = 50_000      # positions handled by one task at a time
 def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     """First bar after entry on which a position leaves, and why.
 
-    positions: position_id, asset_id, entry_ts, entry_price, direction, stop_pct, target_pct, trail_pct (the last two may
-    be null). A trailing level follows the best price since entry including the current bar; on one bar a stop counts
-    before a target. Levels are compared to the bar's low and high.
+    positions: position_id, asset_id, entry_ts, entry_price, direction, stop_pct, target_pct, trail_pct and, optional,
+    atr_multiple (the last three may be null). A trailing level follows the best price since entry including the current
+    bar, at a share of it or, with atr_multiple, at that many mean true ranges (the column atr of bars) as they are on the bar;
+    while the range is unknown or zero the last level stands. On one bar a stop counts before a target. Levels are
+    compared to the bar's low and high.
 
     Positions of an asset are cut into groups of about GROUP_ROWS by a hash, from a count per asset, so a popular asset
     is spread over many tasks; every group sees the bars of its asset, at most one per calendar day. Inside a group all
@@ -37,7 +39,10 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     left = positions.join(count, "asset_id").withColumn(
         "_g", F.pmod(F.xxhash64("position_id"), F.col("_groups").cast("long")).cast("int")).drop("_groups")
     copies = count.select(F.col("asset_id").alias("_asset"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_copy"))
-    right = bars.select(F.col("asset_id").alias("_asset"), "ts", "high", "low", "close").join(copies, "_asset")
+    if "atr_multiple" not in positions.columns:
+        left = left.withColumn("atr_multiple", F.lit(None).cast("double"))
+    atr = F.col("atr") if "atr" in bars.columns else F.lit(None).cast("double")
+    right = bars.select(F.col("asset_id").alias("_asset"), "ts", "high", "low", "close", atr.alias("atr")).join(copies, "_asset")
 
     def run(pos, bar):
         import numpy as np
@@ -46,11 +51,11 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=columns)
         bar = bar.sort_values("ts")
         days = bar["ts"].to_numpy(dtype="datetime64[D]")
-        high, low, close = (bar[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
+        high, low, close, width = (bar[c].to_numpy(dtype=float) for c in ("high", "low", "close", "atr"))
         at = np.searchsorted(days, pos["entry_ts"].to_numpy(dtype="datetime64[D]"), side="right")
         side = np.where(pos["direction"] == "LONG", 1.0, -1.0)
-        entry, stop_pct, target_pct, trail_pct = (pos[c].to_numpy(dtype=float) for c in (
-            "entry_price", "stop_pct", "target_pct", "trail_pct"))
+        entry, stop_pct, target_pct, trail_pct, multiple = (pos[c].to_numpy(dtype=float) for c in (
+            "entry_price", "stop_pct", "target_pct", "trail_pct", "atr_multiple"))
         stop, target, best = entry * (1 - side * stop_pct), entry * (1 + side * target_pct), entry.copy()
         trailing = ~np.isnan(trail_pct)
         out_bar, reason, level = np.full(len(pos), -1), np.full(len(pos), "", dtype=object), np.full(len(pos), np.nan)
@@ -60,6 +65,8 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
             s, h, lo = side[live], high[i], low[i]
             best[live] = np.where(s > 0, np.maximum(best[live], h), np.minimum(best[live], lo))
             stop[live] = np.where(trailing[live], best[live] * (1 - s * trail_pct[live]), stop[live])
+            known = ~np.isnan(multiple[live]) & (np.nan_to_num(width[i]) > 0)
+            stop[live] = np.where(known, best[live] - s * multiple[live] * np.nan_to_num(width[i]), stop[live])
             adverse, favour = np.where(s > 0, lo, h), np.where(s > 0, h, lo)
             stopped = (adverse - stop[live]) * s <= 0
             reached = ~stopped & ((favour - target[live]) * s >= 0)

@@ -171,6 +171,20 @@ def test_bracket_exits_golden(spark):
     assert "never" not in got.index
 
 
+def test_range_trail_follows_the_best_price_and_the_range(spark):
+    days = pd.bdate_range("2020-01-01", periods=7).date
+    bar = pd.DataFrame({"asset_id": "A", "ts": days, "high": [101.0, 103, 110, 112, 113, 109, 200], "low": [99.0, 99, 104, 108, 104.5, 96, 1], "close": [100.0, 102, 108, 110, 105, 97, 5],
+                        "atr": [np.nan, np.nan, 3.0, 0.0, 4.0, 5.0, 5.0]})
+    pos = pd.DataFrame({"position_id": ["narrow", "wide", "short"], "asset_id": "A", "entry_ts": days[0], "entry_price": 100.0, "direction": ["LONG", "LONG", "SHORT"], "stop_pct": [0.02, 0.02, 0.5],
+                        "target_pct": np.nan, "trail_pct": np.nan, "atr_multiple": [2.0, 3.0, 4.0]})
+    got = exits.stop_hits(spark.createDataFrame(pos), spark.createDataFrame(bar)).toPandas().set_index("position_id")
+    # narrow: 98 while the range is unknown, then 110 - 6 = 104 (touched), wide: 110 - 9 = 101, kept at range 0, 113 - 12 = 101, 113 - 15 = 98
+    assert got.loc["narrow", ["exit_ts", "level"]].tolist() == [days[2], 104.0]
+    assert got.loc["wide", ["exit_ts", "level"]].tolist() == [days[5], 98.0]
+    # short: best low 99, 99 + 12 = 111 (not reached by 110), kept, then 99 + 16 = 115, 96 + 20 = 116, 1 + 20 = 21
+    assert got.loc["short", ["exit_ts", "level"]].tolist() == [days[3], 111.0]
+
+
 def test_stop_hits_split_a_popular_asset(spark, bars, monkeypatch):
     base = bars.where("asset_id = 'ASSET_0'").select(F.concat("asset_id", F.col("ts").cast("string")).alias("position_id"), "asset_id", F.col("ts").alias("entry_ts"),
         F.col("close").alias("entry_price"), F.lit("LONG").alias("direction"), F.lit(0.04).alias("stop_pct"), F.lit(0.06).alias("target_pct"), F.lit(None).cast("double").alias("trail_pct"))
