@@ -7,8 +7,8 @@ near the lower edge of its band joins the band below too, so that every linkable
 shingles into more buckets than linkable sets can differ in, so two linked sets agree in all of at least one bucket: classes
 that share a bucket's content form a tile. Nothing is lost by this, and a passage that many documents share makes no tile,
 because whole buckets have to agree. Within tiles, hashed bitmap signatures (parity bits) bound the overlap from above: the
-set bits of their exclusive-or never exceed the size of the symmetric difference. Pairs that pass are confirmed by intersecting
-the exact sorted arrays.
+set bits of their exclusive-or never exceed the size of the symmetric difference. Pairs that pass meet wider bitmaps, of two bits a
+shingle, and those that pass again are confirmed by intersecting the exact sorted arrays.
 
 A tile is not expanded into its pairs. First each class meets one class, the least of those that are the smallest of its tiles, then
 the smallest of each of its tiles where the two are still apart; the confirmed links give components. Only tiles that still hold several components are compared in full, as blocks of at most TILE rows whose bitmaps
@@ -188,6 +188,34 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
 
 
+def _wide(batches, held, words: int):
+    """Parity bitmaps of about two bits a shingle, a power of two long, of the rows that the bitmap lets through."""
+    for own in _sets(batches, held, words):
+        items = own.column("items")
+        out, sizes = [], []
+        for x in items:
+            h = x.values.to_numpy().view(np.uint64)
+            slots = max(1024, 1 << int(2 * len(h) - 1).bit_length())
+            odd = np.bincount((texts.mix(h) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+            out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            sizes.append(len(h))
+        yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "wide"])
+
+
+def _screen(batches, percent: int):
+    """(x, y, nx, ny, wx, wy) -> the pairs whose wide bitmaps allow a link; a longer one is folded to the shorter."""
+    for batch in batches:
+        good = []
+        for nx, ny, wx, wy in zip(batch.column("nx").to_pylist(), batch.column("ny").to_pylist(), batch.column("wx"), batch.column("wy")):
+            a, b = wx.values.to_numpy().view(np.uint64), wy.values.to_numpy().view(np.uint64)
+            a, b = (a, b) if len(a) <= len(b) else (b, a)
+            while len(b) > len(a):
+                b = b[:len(b) // 2] ^ b[len(b) // 2:]
+            apart = int(np.bitwise_count(a ^ b).sum())
+            good.append(apart * (100 + percent) <= (nx + ny) * (100 - percent))
+        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+
 def _bound(percent: int) -> Column:
     """Whether the bitmaps of two classes (nx, bx; ny, by) allow a link: |A xor B| <= (|A| + |B|) (100 - p) / (100 + p)."""
     apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
@@ -198,21 +226,35 @@ def _bound(percent: int) -> Column:
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf, tag: str, rule: Rule) -> DataFrame:
     """Of distinct pairs (x, y) of classes, those that link. classes: cls, rep, n, bits."""
     side = [classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("rep").alias(f"r{k}")) for k in "xy"]
-    likely = shelf.put(pairs.join(side[0], "x").join(side[1], "y").where(_bound(rule.percent)).select("x", "y", "rx", "ry"), f"likely-{tag}")
-    wanted = likely.select(F.explode(F.array(F.struct(F.col("x").alias("cls"), F.col("rx").alias("rep")),
-                                             F.struct(F.col("y").alias("cls"), F.col("ry").alias("rep")))).alias("s")).select("s.*").distinct()
-    wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{tag}")
+    named = [side[0].select("x", "nx", "bx", "rx"), side[1].select("y", "ny", "by", "ry")]
+    likely = shelf.put(pairs.join(named[0], "x").join(named[1], "y").where(_bound(rule.percent)).select("x", "y", "rx", "ry"), f"likely-{tag}")
     key = F.xxhash64("doc_id", "th").alias("k")
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
-    # only rows that may be wanted leave the scan; texts are not shuffled
-    near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
-            .mapInArrow(lambda b: _sets(b, held, rule.words), "doc_id long, th long, items array<long>"))
-    same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
-    sets = shelf.put(near.join(wanted, same).groupBy("cls").agg(F.any_value("items").alias("items")), f"sets-{tag}")
-    links = (likely.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("items").alias("xs")), "x")
-            .join(sets.select(F.col("cls").alias("y"), F.col("items").alias("ys")), "y").mapInArrow(lambda b: _confirm(b, rule.percent), "x long, y long"))
+
+    def fetched(chosen: DataFrame, make, columns: str, name: str) -> DataFrame:
+        """cls and columns made from the text that stands for it, of the classes of chosen pairs."""
+        wanted = chosen.select(F.explode(F.array(F.struct(F.col("x").alias("cls"), F.col("rx").alias("rep")),
+                                                 F.struct(F.col("y").alias("cls"), F.col("ry").alias("rep")))).alias("s")).select("s.*").distinct()
+        wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{name}")
+        held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
+        # only rows that may be wanted leave the scan; texts are not shuffled
+        near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
+                .mapInArrow(lambda b: make(b, held, rule.words), f"doc_id long, th long, {columns}"))
+        same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
+        names = [c.split()[0] for c in columns.split(", ")]
+        out = shelf.put(near.join(wanted, same).groupBy("cls").agg(*[F.any_value(c).alias(c) for c in names]), name)
+        shelf.drop(wanted)
+        return out
+    # wide bitmaps first: large sets that only share a bucket by a common passage are told apart without their sets
+    wide = fetched(likely, _wide, "n long, wide array<long>", f"wide-{tag}")
+    passed = shelf.put(likely.select("x", "y").join(wide.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x")
+                       .join(wide.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy")), "y").select("x", "y", "nx", "ny", "wx", "wy")
+                       .mapInArrow(lambda b: _screen(b, rule.percent), "x long, y long"), f"passed-{tag}")
+    sets = fetched(likely.join(passed, ["x", "y"]), _sets, "items array<long>", f"sets-{tag}")
+    links = (passed.join(sets.select(F.col("cls").alias("x"), F.col("items").alias("xs")), "x")
+            .join(sets.select(F.col("cls").alias("y"), F.col("items").alias("ys")), "y").select("x", "y", "xs", "ys")
+            .mapInArrow(lambda b: _confirm(b, rule.percent), "x long, y long"))
     out = shelf.put(links.select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{tag}")
-    for used in (sets, wanted, likely):
+    for used in (sets, passed, wide, likely):
         shelf.drop(used)
     return out
 
