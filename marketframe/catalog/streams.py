@@ -56,10 +56,10 @@ def stream_order_fill(spark, d):
 DUE = "(SELECT DATE_TRUNC('milliseconds', MAX(ts)) FROM events) - INTERVAL 10 MINUTE"
 
 
-@query("stream_trailing_stop", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-      COALESCE(ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 DAY, TRUE) AS fresh FROM events WHERE ts <= {DUE}),
-    s AS (SELECT user_id, ts, rn, px, px AS best, FALSE AS hit FROM n WHERE rn = 1 UNION ALL
-      SELECT n.user_id, n.ts, n.rn, n.px, CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END, n.px <= CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END * 0.5 FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
+@query("stream_trailing_stop", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, ts, value AS px, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id, value) AS rn,
+      COALESCE(ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id, value) > INTERVAL 2 DAY, TRUE) AS fresh FROM events WHERE ts <= {DUE}),
+    s AS (SELECT user_id, ts, rn, px, px AS best, px <= px * 0.5 AS hit FROM n WHERE rn = 1 UNION ALL
+      SELECT n.user_id, n.ts, n.rn, n.px, CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END, n.px <= CASE WHEN s.hit OR n.fresh THEN n.px ELSE GREATEST(s.best, n.px) END * 0.5 FROM s JOIN n ON n.user_id IS NOT DISTINCT FROM s.user_id AND n.rn = s.rn + 1)
     SELECT user_id, ts, best, px AS exit_price FROM s WHERE hit""")
 def stream_trailing_stop(spark, d):
     stops = jobs.trailing_stops(ticks(spark, d), delay=jobs.DELAY, idle="2 days")

@@ -58,6 +58,10 @@ def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5, d
     folded in order of time and id, so the outcome does not depend on how the input falls into batches. An event-time timer wakes a
     key whose ticks have become due; another removes the state of one that has been idle. State holds the best price and the ticks
     of the last `delay`.
+
+    Every tick is held against the best price up to and including itself, the first one of a key too, so a price of zero exits at once.
+    Ticks of one time and id are ordered by price (NaN, then null, last). A null key is a key; a null price counts as a sign of life
+    only; NaN is the greatest price and exits at once, as it compares in SQL; ticks without a time are no ticks.
     """
     quiet = int(pd.Timedelta(idle).total_seconds() * 1_000_000)
 
@@ -65,17 +69,19 @@ def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5, d
         best, last, ts, ids, prices = state.get if state.exists else (None, None, [], [], [])
         waiting = [*zip(ts, ids, prices)]
         for pdf in batches:
-            waiting += zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["price"].tolist())
-        waiting.sort()
+            waiting += zip(pdf["t"].tolist(), pdf["event_id"].tolist(), [None if n else p for n, p in zip(pdf["none"].tolist(), pdf["price"].tolist())])
+        waiting.sort(key=lambda w: (w[0], w[1], w[2] is None, w[2] != w[2], w[2]))
         watermark = state.getCurrentWatermarkMs()
         due = sum(t <= watermark * 1000 for t, _, _ in waiting)
         out = []
         for t, _, price in waiting[:due]:
             if last is not None and t - last > quiet:
                 best = None
-            best = price if best is None else max(best, price)
             last = t
-            if price <= best * (1 - trail):
+            if price is None:
+                continue
+            best = price if best is None or price != price else max(best, price)
+            if price != price or price <= best * (1 - trail):
                 out.append((k[0], t, float(best), float(price)))
                 best = None
         waiting = waiting[due:]
@@ -90,10 +96,12 @@ def trailing_stops(ticks: DataFrame, key: str = "user_id", trail: float = 0.5, d
             state.update((best, last, [t for t, _, _ in waiting], [i for _, i, _ in waiting], [p for _, _, p in waiting]))
             state.setTimeoutTimestamp(max(alarm, watermark + 1))
         if out:
-            yield pd.DataFrame(out, columns=[key, "t", "best", "exit_price"])
+            # a key may be null, and Spark appends empty rows: nullable integers stay exact
+            yield pd.DataFrame(out, columns=[key, "t", "best", "exit_price"]).astype({key: "Int64", "t": "Int64"})
 
     # times as microseconds, which do not depend on the zone of the session
-    rows = ticks.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("t"), "event_id", "price")
+    rows = ticks.where("ts IS NOT NULL").withWatermark("ts", delay).select(
+        key, "ts", F.unix_micros("ts").alias("t"), F.coalesce("event_id", F.lit((1 << 63) - 1)).alias("event_id"), "price", F.col("price").isNull().alias("none"))
     exits = rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, t bigint, best double, exit_price double", STOP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return exits.select(key, F.timestamp_micros("t").alias("ts"), "best", "exit_price")
 

@@ -140,6 +140,26 @@ def test_trailing_stops_do_not_depend_on_batches_or_order(spark, folder, parts,
     assert sorted(zip(got.user_id, got.ts, got.best, got.exit_price)) == want and len(want) > 10
 
 
+def test_trailing_stop_query_equals_its_sql_on_odd_ticks(spark, folder):
+    """First prices of zero, null keys, prices and times, NaN, ties in time and id."""
+    import duckdb
+    import check
+    from marketframe.catalog import load
+    queries, oracles = load()
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 11 MINUTE AS ts, i % 7 AS user_id, 'view' AS event_type,
+        CASE WHEN i < 3 THEN 0.0 ELSE 100 + (i * 37) % 171 END::DOUBLE AS value, '{}' AS props FROM RANGE(900) t(i)""")
+    con.execute("UPDATE events SET user_id = NULL WHERE user_id = 6")
+    con.execute("UPDATE events SET value = NULL WHERE event_id % 50 = 7")
+    con.execute("UPDATE events SET value = 'NaN' WHERE event_id IN (5, 300, 301)")
+    con.execute("UPDATE events SET ts = NULL WHERE event_id % 90 = 11")
+    con.execute("INSERT INTO events SELECT event_id, ts, user_id, event_type, value / 2.5, props FROM events WHERE event_id % 10 = 3")
+    con.execute("INSERT INTO events VALUES (NULL, TIMESTAMP '2024-01-02', 9007199254740993, 'view', 50, '{}'), (NULL, TIMESTAMP '2024-01-02 00:01', 9007199254740993, 'view', 1, '{}')")
+    con.execute(f"COPY events TO '{folder}/events.parquet'")
+    problem, n, _ = check.compare(spark, con, queries["stream_trailing_stop"], oracles["stream_trailing_stop"], folder)
+    assert problem is None and n > 50
+
+
 def test_state_of_idle_keys_goes(spark, folder):
     pdf = ticks(300)
     pdf["user_id"] = [i if i < 100 else 1000 for i in range(300)]              # a hundred keys with one tick each
