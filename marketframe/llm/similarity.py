@@ -5,8 +5,10 @@ Rule has the words of a shingle and the percentage; band ends and bucket counts
 Method. Each distinct set becomes one class (copies collapse before anything is joined). Classes are banded by set size; a size
 near the lower edge of its band joins the band below too, so that every linkable pair shares a band. A band deals each set's
 shingles into more buckets than linkable sets can differ in, so two linked sets agree in all of at least one bucket: classes
-that share a bucket's content form a tile. Nothing is lost by this, and a passage that many documents share makes no tile,
-because whole buckets have to agree. Within tiles, hashed bitmap signatures (parity bits) bound the overlap from above: the
+that share a bucket's content form a tile. There are SLACK and a SPARE-th more buckets than the pigeonhole asks for, and each set leaves out as many
+of its own: the thinnest first, in an order of buckets by their content. Linked sets agree in more buckets than that, and those of them that either leaves
+out are all among the ones left out by the set that goes further, so one stays in both. Nothing is lost by this; empty and thin buckets, in which long
+documents agree by chance, make no tiles, and neither does a passage that many documents share, because whole buckets have to agree. Within tiles, hashed bitmap signatures (parity bits) bound the overlap from above: the
 set bits of their exclusive-or never exceed the size of the symmetric difference. Pairs that pass meet wider bitmaps, of two bits a
 shingle, and those that pass again are confirmed by intersecting the exact sorted arrays.
 
@@ -38,8 +40,8 @@ from marketframe.llm.storage import Shelf, arrays
 BITS = 16
 #: ratio of a band's ends
 RATIO = 1.5
-#: buckets above the pigeonhole minimum: sets with at most this many empty buckets need no keys for empty ones
-SLACK = 4
+#: buckets above the pigeonhole minimum, and one more for so many of them: each set leaves out as many of its thinnest
+SLACK, SPARE = 4, 5
 TILE = 512
 #: bits of the filter in front of the shuffle of exact sets: 2 MB whatever the input
 FILTER_BITS = 1 << 24
@@ -99,10 +101,12 @@ def shingles(chunk: texts.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tile_keys(row: np.ndarray, h: np.ndarray, band: np.ndarray, rows: int, rule: Rule):
-    """(row, key) of every bucket of the rows that have a band (band < 0: none)."""
+    """(row, key) of the buckets of the rows that have a band (band < 0: none), without the thinnest ones of each row."""
     on = band >= 0
     top = rule.edges[np.minimum(np.maximum(band, 0) + 1, len(rule.edges) - 1)]
-    k = np.where(on, rule.differ(top) + 1 + SLACK, 0)
+    differ = rule.differ(top)
+    spare = SLACK + differ // SPARE
+    k = np.where(on, differ + 1 + spare, 0)
     base = np.concatenate(([0], np.cumsum(k)))
     keep = on[row]
     r, x = row[keep], texts.mix(h[keep] ^ np.uint64(0x5851F42D4C957F2D))
@@ -114,8 +118,9 @@ def _tile_keys(row: np.ndarray, h: np.ndarray, band: np.ndarray, rows: int, rule
     slot = np.arange(base[-1]) - base[owner]
     place = texts.mix((band[owner].astype(np.uint64) << np.uint64(40)) ^ slot.astype(np.uint64))
     key = texts.mix(total ^ place ^ (filled.astype(np.uint64) << np.uint64(50)))
-    empty = np.bincount(owner, weights=filled == 0, minlength=rows)
-    good = (filled > 0) | (empty[owner] > SLACK)
+    # an order by content alone, so that sets that agree in a bucket place it alike
+    order = np.lexsort((key, filled, owner))
+    good = order[np.arange(len(order)) - base[owner] >= spare[owner]]
     return owner[good], key[good]
 
 

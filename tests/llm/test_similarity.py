@@ -113,6 +113,31 @@ def test_other_rules_equal_all_pairs(spark, words, percent):
     assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
 
 
+def keys_of(texts, rule):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "th": [0] * len(texts), "text": texts})
+    return [set(k) for out in similarity.signatures([batch], rule) for k in out.column("keys").to_pylist()]
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_long_texts_meet_when_they_link_and_not_by_chance(words, percent):
+    rng = random.Random(4)
+    lines = [" ".join(f"line{i}x{j}" for j in range(12)) for i in range(40)]
+    base, rows = [[f"d{i}w{rng.random()}" for _ in range(rng.randrange(2500, 4000))] for i in range(30)], []
+    for w in base:
+        for _ in range(6):                                                     # a few lines that all texts draw from
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choice(lines).split()
+        near, n = list(w), len(w) - words + 1
+        for j in range(n * (100 - percent) // (100 + percent) // words):       # as many scattered words as a link allows
+            near[j * (len(w) // (n * (100 - percent) // (100 + percent) // words))] = f"new{rng.random()}"
+        rows += [" ".join(w), " ".join(near)]
+    keys = keys_of(rows, similarity.Rule(words, percent))
+    assert all(keys[i] & keys[i + 1] for i in range(0, len(rows), 2))
+    apart = sum(bool(keys[i] & keys[j]) for i in range(len(rows)) for j in range(i) if i // 2 != j // 2)
+    assert apart <= 17                                                         # of 1,740 pairs
+
+
 def test_scattered_words_link_by_five_words_and_80_percent(spark):
     w = [f"w{i}" for i in range(100)]
     rows = [(1, " ".join(w)), (2, " ".join(w[:30] + ["x"] + w[31:70] + ["y"] + w[71:]))]
