@@ -43,6 +43,8 @@ RATIO = 1.5
 #: buckets above the pigeonhole minimum, and one more for so many of them: each set leaves out as many of its thinnest
 SLACK, SPARE = 4, 5
 TILE = 512
+#: shingles of a part of a circle whose sets are compared
+MASS = 1 << 20
 #: bits of the filter in front of the shuffle of exact sets: 2 MB whatever the input
 FILTER_BITS = 1 << 24
 SIGNED = "doc_id long, th long, n long, cls long, keys array<long>, bits array<long>"
@@ -228,27 +230,32 @@ def _bound(percent: int) -> Column:
     return ((apart * (100 + percent) <= total * (100 - percent)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
 
 
+def _fetched(wanted: DataFrame, docs: DataFrame, make, columns: str, shelf: Shelf, name: str, rule: Rule) -> DataFrame:
+    """cls and columns made from the text that stands for it, of the wanted classes. wanted: cls, rep."""
+    key = F.xxhash64("doc_id", "th").alias("k")
+    wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{name}")
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
+    # only rows that may be wanted leave the scan; texts are not shuffled
+    near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
+            .mapInArrow(lambda b: make(b, held, rule.words), f"doc_id long, th long, {columns}"))
+    same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
+    names = [c.split()[0] for c in columns.split(", ")]
+    out = shelf.put(near.join(wanted, same).groupBy("cls").agg(*[F.any_value(c).alias(c) for c in names]), name)
+    shelf.drop(wanted)
+    return out
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf, tag: str, rule: Rule) -> DataFrame:
     """Of distinct pairs (x, y) of classes, those that link. classes: cls, rep, n, bits."""
     side = [classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("rep").alias(f"r{k}")) for k in "xy"]
     named = [side[0].select("x", "nx", "bx", "rx"), side[1].select("y", "ny", "by", "ry")]
     likely = shelf.put(pairs.join(named[0], "x").join(named[1], "y").where(_bound(rule.percent)).select("x", "y", "rx", "ry"), f"likely-{tag}")
-    key = F.xxhash64("doc_id", "th").alias("k")
 
     def fetched(chosen: DataFrame, make, columns: str, name: str) -> DataFrame:
-        """cls and columns made from the text that stands for it, of the classes of chosen pairs."""
+        """What is made from the texts of the classes of chosen pairs."""
         wanted = chosen.select(F.explode(F.array(F.struct(F.col("x").alias("cls"), F.col("rx").alias("rep")),
                                                  F.struct(F.col("y").alias("cls"), F.col("ry").alias("rep")))).alias("s")).select("s.*").distinct()
-        wanted = shelf.put(wanted.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), f"wanted-{name}")
-        held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(key)))
-        # only rows that may be wanted leave the scan; texts are not shuffled
-        near = (docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select("*", key)
-                .mapInArrow(lambda b: make(b, held, rule.words), f"doc_id long, th long, {columns}"))
-        same = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["th"] == wanted["th"])
-        names = [c.split()[0] for c in columns.split(", ")]
-        out = shelf.put(near.join(wanted, same).groupBy("cls").agg(*[F.any_value(c).alias(c) for c in names]), name)
-        shelf.drop(wanted)
-        return out
+        return _fetched(wanted, docs, make, columns, shelf, name, rule)
     # wide bitmaps first: large sets that only share a bucket by a common passage are told apart without their sets
     wide = fetched(likely, _wide, "n long, wide array<long>", f"wide-{tag}")
     passed = shelf.put(likely.select("x", "y").join(wide.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x")
@@ -264,32 +271,106 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shel
     return out
 
 
+def _folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """Rows of parity bitmaps, folded to so many longs."""
+    while bits.shape[-1] > longs:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+class _Blocks:
+    """The members of the blocks of a batch as flat arrays, and the rows of each that may link. Bitmaps may differ in length."""
+
+    def __init__(self, batch: pa.RecordBatch, percent: int):
+        members = batch.column("members")
+        self.percent, self.flat, ends = percent, members.values, members.offsets.to_numpy()
+        self.spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        self.side, self.cls, root, self.n = (self.flat.field(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "root", "n"))
+        self.root = root.copy()
+        bits = self.flat.field("bits")
+        self.at, self.bits = bits.offsets.to_numpy().astype(np.int64), bits.values.to_numpy().view(np.uint64)
+        self.longs = np.diff(self.at)
+
+    def open(self, lo: int, hi: int):
+        """(row, rows on the other side, in other components at that time, that pass the bounds) of the block from lo to hi."""
+        # side 0 and 1 are the parts of a tile, 2 stands in both
+        left, right = lo + np.flatnonzero(self.side[lo:hi] != 1), lo + np.flatnonzero(self.side[lo:hi] != 0)
+        n, percent, longs = self.n, self.percent, self.longs
+        place, maps = np.zeros(hi - lo, dtype=np.int64), {}
+        for size in np.unique(longs[lo:hi]).tolist():
+            rows = np.flatnonzero(longs[lo:hi] == size)
+            place[rows] = np.arange(len(rows))
+            maps[size, size] = self.bits[self.at[lo + rows][:, None] + np.arange(size)]
+        for i in left.tolist():
+            ok = self.root[right] != self.root[i]
+            ok &= 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+            rows = right[ok]
+            if not len(rows):
+                continue
+            own, apart = maps[int(longs[i]), int(longs[i])][place[i - lo]], np.zeros(len(rows), dtype=np.int64)
+            for size in np.unique(longs[rows]).tolist():
+                least, these = min(size, int(longs[i])), longs[rows] == size
+                if (size, least) not in maps:
+                    maps[size, least] = _folded(maps[size, size], least)
+                apart[these] = np.bitwise_count(maps[size, least][place[rows[these] - lo]] ^ _folded(own, least)).sum(axis=1, dtype=np.int64)
+            rows = rows[apart * (100 + percent) <= (n[i] + n[rows]) * (100 - percent)]
+            if len(rows):
+                yield i, rows
+
+
 def _compare(batches, percent: int):
-    """members of tiles -> pairs that lie on two sides, in different components, and pass the bounds."""
+    """members of blocks -> pairs that lie on two sides, in different components, and pass the bounds."""
     for batch in batches:
+        blocks = _Blocks(batch, percent)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        members = batch.column("members")
-        ends = members.offsets.to_numpy()
-        flat = members.values
-        side, cls, root, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "root", "n"))
-        bits = flat.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
-        for lo, hi in zip(ends[:-1], ends[1:]):
-            # side 0 and 1 are the blocks of a tile, 2 stands in both
-            left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
-            for i in left.tolist():
-                ok = root[right] != root[i]
-                ok &= 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
-                open_ = right[ok]
-                if len(open_):
-                    apart = np.bitwise_count(bits[i] ^ bits[open_]).sum(axis=1, dtype=np.int64)
-                    open_ = open_[apart * (100 + percent) <= (n[i] + n[open_]) * (100 - percent)]
-                    xs.append(np.full(len(open_), cls[i]))
-                    ys.append(cls[open_])
+        for lo, hi in blocks.spans:
+            for i, rows in blocks.open(lo, hi):
+                xs.append(np.full(len(rows), blocks.cls[i]))
+                ys.append(blocks.cls[rows])
         x, y = np.concatenate(xs), np.concatenate(ys)
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["x", "y"])
 
 
+def _circles(batches, percent: int):
+    """members of blocks -> the circles of each: its classes that such pairs connect. A class is in one circle of a block at most."""
+    for batch in batches:
+        blocks, out = _Blocks(batch, percent), []
+        for lo, hi in blocks.spans:
+            label = np.arange(lo, hi)
+            for i, rows in blocks.open(lo, hi):
+                met = np.unique(label[np.append(rows, i) - lo])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+            order = np.argsort(label, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                if len(part) > 1:
+                    out.append(np.unique(blocks.cls[lo + part]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["circle"])
+
+
+def _link(batches, percent: int):
+    """members of blocks with their sets -> links that connect its components: fewer than a block has rows, whatever links in it."""
+    for batch in batches:
+        blocks, a, b = _Blocks(batch, percent), [], []
+        items, root = blocks.flat.field("items"), blocks.root
+        at, value = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        for lo, hi in blocks.spans:
+            here = root[lo:hi]
+            for i, rows in blocks.open(lo, hi):
+                own, size = value[at[i]:at[i + 1]], at[rows + 1] - at[rows]
+                other = np.concatenate([value[at[j]:at[j + 1]] for j in rows.tolist()])
+                same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+                for j in rows[100 * both >= percent * (len(own) + size - both)].tolist():
+                    if root[j] != root[i]:
+                        a.append(blocks.cls[i])
+                        b.append(blocks.cls[j])
+                        here[here == root[j]] = root[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _order() -> Column:
     """What stands for a class: the smallest id, rows without an id last."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -308,20 +389,69 @@ def _tiles(docs: DataFrame, shelf: Shelf, rule: Rule) -> tuple[DataFrame, DataFr
     return rows, classes, shared
 
 
-def _candidates(placed: DataFrame, classes: DataFrame, shelf: Shelf, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(pairs (x, y) of different roots that share a tile and pass the bounds, the table they read). placed: key, cls, root."""
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
-    open_rows = shelf.put(placed.join(mixed.select("key", F.ceil(F.col("m") / TILE).cast("long").alias("parts")), "key")
-                          .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts"))), "open")
-    dealt = (open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+def _blocks(tiles: DataFrame, facts: DataFrame) -> DataFrame:
+    """members of the blocks of tiles, with the facts of their classes. tiles: key, cls, root, parts that the tile is cut into."""
+    dealt = (tiles.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
              .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
              .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
              .agg(F.array_sort(F.collect_list(F.struct("cls", "side", "root"))).alias("members")))
-    # near copies meet in many tiles with the same members; each such tile is compared once
-    tiles = dealt.groupBy("members").count().select(F.xxhash64("members").alias("tile"), F.explode("members").alias("m")).select("tile", "m.*")
-    full_tiles = (tiles.join(classes.select("cls", "n", "bits"), "cls").groupBy("tile")
-                  .agg(F.collect_list(F.struct("side", "cls", "root", "n", "bits")).alias("members")))
-    return full_tiles.select("members").mapInArrow(lambda b: _compare(b, rule.percent), "x long, y long").distinct(), open_rows
+    # near copies meet in many tiles with the same members; each such block is compared once
+    blocks = dealt.groupBy("members").count().select(F.xxhash64("members").alias("block"), F.explode("members").alias("m")).select("block", "m.*")
+    return (blocks.join(facts, "cls").groupBy("block")
+            .agg(F.collect_list(F.struct("side", "cls", "root", *[c for c in facts.columns if c != "cls"])).alias("members")).select("members"))
+
+
+def _open(placed: DataFrame, shelf: Shelf) -> DataFrame:
+    """The tiles that hold several roots, for _blocks. placed: key, cls, root."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    return shelf.put(placed.join(mixed.select("key", F.ceil(F.col("m") / TILE).cast("long").alias("parts")), "key"), "open")
+
+
+def _pooled(circles: DataFrame, classes: DataFrame, roots: DataFrame, mass: int, shelf: Shelf, tag: str) -> DataFrame:
+    """Circles (key, low, cls) as tiles for _blocks, whose parts hold about mass shingles at most. roots: cls, root.
+
+    A class is in many circles, so circles that share classes are compared as one pool where that moves fewer shingles.
+    """
+    pools = components(circles.select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct(), shelf)
+    named = circles.select("key", "cls").join(pools.toDF("cls", "pool"), "cls").join(classes.select("cls", "n"), "cls")
+    ways = named.select("pool", F.lit(False).alias("whole"), "key", "cls", "n")
+    ways = shelf.put(ways.union(named.select("pool", F.lit(True), F.col("pool"), "cls", "n")).distinct(), f"ways-{tag}")
+    parts = (ways.groupBy("pool", "whole", "key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+             .withColumn("parts", F.ceil(F.greatest(F.col("m") / TILE, F.col("n") / mass)).cast("long")))
+    moved = [F.sum(F.when(side, F.col("n") * F.col("parts"))) for side in (F.col("whole"), ~F.col("whole"))]
+    better = parts.groupBy("pool").agg((moved[0] <= moved[1]).alias("whole"))
+    tiles = ways.join(better, ["pool", "whole"]).join(parts.select("pool", "whole", "key", "parts"), ["pool", "whole", "key"])
+    return tiles.join(roots, "cls").select("key", "cls", "root", "parts")
+
+
+def _connected(placed: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect all roots that links within tiles connect. placed: key, cls, root.
+
+    The pairs of a group of near copies grow with its square and recur in many tiles, so none is a row: bitmaps only tell the circles
+    of a block, and equal circles become one; wide bitmaps part these again; where the sets of a circle are compared, links that
+    connect it are handed on.
+    """
+    def circles(tiles: DataFrame, facts: DataFrame, tag: str) -> DataFrame:
+        found = _blocks(tiles, facts).mapInArrow(lambda b: _circles(b, rule.percent), "circle array<long>").groupBy("circle").count()
+        return shelf.put(found.select(F.xxhash64("circle").alias("key"), F.col("circle")[0].alias("low"), F.explode("circle").alias("cls")), f"circles-{tag}")
+
+    def fetched(met: DataFrame, make, columns: str, name: str) -> DataFrame:
+        wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
+        return _fetched(wanted, docs, make, columns, shelf, name, rule)
+    open_rows = _open(placed, shelf)
+    roots = open_rows.select("cls", "root").distinct()
+    near = circles(open_rows, classes.select("cls", "n", "bits"), "near")
+    wide = fetched(near, _wide, "n long, wide array<long>", "wide-circles")
+    facts = wide.withColumnRenamed("wide", "bits")
+    # a bitmap takes a sixteenth of its set or less
+    nearer = circles(_pooled(near, classes, roots, 16 * MASS, shelf, "near"), facts, "nearer")
+    sets = fetched(nearer, _sets, "items array<long>", "sets-circles")
+    links = _blocks(_pooled(nearer, classes, roots, MASS, shelf, "nearer"), facts.join(sets, "cls")).mapInArrow(lambda b: _link(b, rule.percent), "a long, b long")
+    out = shelf.put(links.distinct(), "links-circles")
+    for used in (open_rows, near, wide, nearer, sets):
+        shelf.drop(used)
+    return out
 
 
 def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
@@ -341,11 +471,9 @@ def groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     roots = components(links, shelf)
     # tiles that still hold several components
     placed = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    pairs, open_rows = _candidates(placed, classes, shelf, rule)
-    pairs = pairs.join(first.union(stars), ["x", "y"], "left_anti")
-    more = confirmed(pairs, classes, docs, shelf, "tiles", rule)
+    more = _connected(placed, classes, docs, shelf, rule)
     roots = components(links.union(more), shelf)
-    for used in (shared, open_rows, first, stars, links, more):
+    for used in (shared, first, stars, links, more):
         shelf.drop(used)
     final = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = final.groupBy("root").agg(F.min("rep").alias("component"))      # the smallest id; rows without one come last
@@ -361,7 +489,9 @@ def join(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     shelf = Shelf(docs.sparkSession, "jaccard-join")
     rows, classes, shared = _tiles(docs, shelf, rule)
     # every class is its own root, so that every tile is compared in full
-    candidates, open_rows = _candidates(shared.select("key", "cls", F.col("cls").alias("root")), classes, shelf, rule)
+    open_rows = _open(shared.select("key", "cls", F.col("cls").alias("root")), shelf)
+    candidates = (_blocks(open_rows, classes.select("cls", "n", "bits"))
+                  .mapInArrow(lambda b: _compare(b, rule.percent), "x long, y long").distinct())
     pairs = confirmed(candidates, classes, docs, shelf, "pairs", rule)
     for used in (shared, open_rows):
         shelf.drop(used)

@@ -164,3 +164,54 @@ def test_join_lists_every_link(spark, monkeypatch):
     every = sorted(set(text.values()), key=sorted)
     want = {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if link(a, b)}
     assert len(got) == len(set(got)) and set(got) == want and all(r.a < r.b for r in pairs)
+
+
+@pytest.mark.parametrize("tile,mass", [(512, 300), (3, 1 << 20)])
+def test_circles_in_parts_equal_all_pairs(spark, monkeypatch, tile, mass):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "MASS", mass)
+    rng = random.Random(2)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(13))]
+    for base in (rng.sample(range(10 ** 6), 179), rng.sample(range(10 ** 6), 700)):        # near the edge of a link
+        for _ in range(30):
+            w = [str(x) for x in base]
+            for _ in range(len(w) // 90 + rng.randrange(2)):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    sets, root = by_rule(rows, 5, 80)
+    got = sorted(tuple(r) for r in similarity.linked(frame(spark, rows), similarity.Rule(5, 80)).collect())
+    assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
+
+
+def rows_made(spark, node, begin):
+    """Rows that nodes of such a description have made in all queries from begin on; and the number of queries."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, made = store.executionsList(), 0
+    for i in range(begin, runs.size()):
+        k = runs.apply(i).executionId()
+        found, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for m in (metrics.apply(x) for x in range(metrics.size()) if node.search(nodes.apply(j).desc())):
+                if m.name() == "number of output rows" and found.contains(m.accumulatorId()):
+                    made += int(found.apply(m.accumulatorId()).replace(",", ""))
+    return made, runs.size()
+
+
+def test_near_copies_make_no_row_for_each_pair(spark):
+    """120 texts that differ by a little more than a link allows: the bitmaps let about half of their 7,140 pairs through."""
+    rng = random.Random(8)
+    base, rows = [f"w{rng.random()}" for _ in range(179)], []
+    for k in range(120):
+        w = list(base)
+        for at in (rng.randrange(5, 80), rng.randrange(95, 170)):
+            w[at] = f"new{rng.random()}"
+        rows.append((k, " ".join(w)))
+    sets, root = by_rule(rows, 5, 80)
+    node = re.compile(r"^MapInArrow .*\(members")
+    _, begin = rows_made(spark, node, 0)
+    got = sorted(tuple(r) for r in similarity.linked(frame(spark, rows), similarity.Rule(5, 80)).collect())
+    assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
+    made, _ = rows_made(spark, node, begin)
+    assert 0 < made <= 4 * len(rows)
