@@ -183,35 +183,20 @@ def test_circles_in_parts_equal_all_pairs(spark, monkeypatch, tile, mass):
     assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
 
 
-def rows_made(spark, node, begin):
-    """Rows that nodes of such a description have made in all queries from begin on; and the number of queries."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    store = spark._jsparkSession.sharedState().statusStore()
-    runs, made = store.executionsList(), 0
-    for i in range(begin, runs.size()):
-        k = runs.apply(i).executionId()
-        found, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
-        for j in range(nodes.size()):
-            metrics = nodes.apply(j).metrics()
-            for m in (metrics.apply(x) for x in range(metrics.size()) if node.search(nodes.apply(j).desc())):
-                if m.name() == "number of output rows" and found.contains(m.accumulatorId()):
-                    made += int(found.apply(m.accumulatorId()).replace(",", ""))
-    return made, runs.size()
-
-
-def test_near_copies_make_no_row_for_each_pair(spark):
-    """120 texts that differ by a little more than a link allows: the bitmaps let about half of their 7,140 pairs through."""
-    rng = random.Random(8)
-    base, rows = [f"w{rng.random()}" for _ in range(179)], []
+def test_blocks_make_no_row_for_each_pair():
+    """120 sets of which all 7,140 pairs link: one circle, and the links of a tree."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    shared, members = rng.integers(0, 1 << 62, 170), []
     for k in range(120):
-        w = list(base)
-        for at in (rng.randrange(5, 80), rng.randrange(95, 170)):
-            w[at] = f"new{rng.random()}"
-        rows.append((k, " ".join(w)))
-    sets, root = by_rule(rows, 5, 80)
-    node = re.compile(r"^MapInArrow .*\(members")
-    _, begin = rows_made(spark, node, 0)
-    got = sorted(tuple(r) for r in similarity.linked(frame(spark, rows), similarity.Rule(5, 80)).collect())
-    assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
-    made, _ = rows_made(spark, node, begin)
-    assert 0 < made <= 4 * len(rows)
+        items = np.sort(np.concatenate([shared, rng.integers(0, 1 << 62, 5)])).astype(np.uint64)
+        bits = np.zeros(similarity.BITS, dtype=np.uint64)
+        np.bitwise_xor.at(bits, (items & np.uint64(similarity.BITS - 1)).astype(np.int64), np.uint64(1) << ((items >> np.uint64(8)) & np.uint64(63)))
+        members.append({"side": 2, "cls": k, "root": k, "n": len(items), "bits": bits.view(np.int64).tolist(), "items": items.view(np.int64).tolist()})
+    kind = pa.struct([("side", pa.int32()), *[(c, pa.int64()) for c in ("cls", "root", "n")], ("bits", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array([members, members[:2]], pa.list_(kind))], names=["members"])
+    circles, = similarity._circles([batch], 80)
+    assert circles.column("circle").to_pylist() == [list(range(120)), [0, 1]]
+    links, = similarity._link([batch], 80)
+    assert len(links) == 119 + 1 and set(links.column("a").to_pylist() + links.column("b").to_pylist()) == set(range(120))
