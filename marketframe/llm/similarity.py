@@ -14,7 +14,8 @@ shingle, and those that pass again are confirmed by intersecting the exact sorte
 
 A tile is not expanded into its pairs. First each class meets one class, the least of those that are the smallest of its tiles, then
 the smallest of each of its tiles where the two are still apart; the confirmed links give components. Only tiles that still hold several components are compared in full, as blocks of at most TILE rows whose bitmaps
-are compared in arrays; blocks are spread over tasks, so one large group fills no task. linked() and keep_one() need no links
+are compared in arrays; blocks are spread over tasks, so one large group fills no task. Pairs are no rows there: a block hands on the circles of
+classes that its bitmaps connect, wide bitmaps part them, and where sets are compared only links that connect a circle are handed on. linked() and keep_one() need no links
 inside one component: the components are those of all links. join() lists them: it compares every tile in full, in the same blocks,
 and returns all pairs of classes that link and the number of links of every row.
 
