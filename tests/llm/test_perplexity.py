@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketframe.llm import perplexity as ppl, texts
+from marketframe.llm.storage import Shelf
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,6 +106,48 @@ def test_bands_reject_what_is_odd_and_keep_the_rest(spark):
     assert ppl.judge(df.limit(0)).count() == 0
 
 
+def test_lower_band_rejects_droning(spark):
+    """Documents that repeat a stock phrase below the base rule's share lie under the lower band of their length; others of any length stay."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("aeilmnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, "en", " ".join(rng.choice(vocab) for _ in range(60 if i % 3 else 1500))) for i in range(300)]
+    droning = [" ".join(w for _ in range(150) for w in [*(rng.choice(vocab) for _ in range(6)), "buy", "it", "now"]) for _ in range(3)]
+    df = spark.createDataFrame(rows + [(1000 + i, "en", t) for i, t in enumerate(droning)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in ppl.judge(df).collect()}
+    assert not any(got[1000 + i].base_failed or got[1000 + i].kept for i in range(3))
+    assert all(got[1000 + i].log_ppl < got[1000 + i].low for i in range(3))
+    assert sum(got[i].kept for i in range(300)) >= 298
+
+
+def test_bands_equal_plain_code(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice(["en", "de"]), rng.random() < 0.8, round(rng.gauss(1.5, 0.2), 3), rng.randint(50, 5000)) for _ in range(400)] + [("xx", False, 9.0, 60), ("yy", True, 0.5, 60)]
+    got = {r["_lang"]: r for r in ppl.bands(spark.createDataFrame(rows, "lang string, trusted boolean, log_ppl double, n long"), Shelf(spark, "test")).collect()}
+
+    def quantile(values, q):
+        return sorted(values)[max(int(np.ceil(len(values) * q)) - 1, 0)]
+    middle = {k: quantile([p for lang, t, p, _ in rows if t and lang == k], 0.5) for k in ("en", "de", "yy")}
+    assert got.keys() == {*middle, None}
+    for k, r in got.items():
+        here = [(p, n, middle[lang]) for lang, t, p, n in rows if t and k in (lang, None)]
+        assert r.middle == pytest.approx(quantile([p for p, _, _ in here], 0.5), abs=1e-3)
+        strays = [(p - m) * n ** 0.5 for p, n, m in here]
+        assert (-r.below, r.above) == pytest.approx((quantile(strays, 0.25), quantile(strays, 0.75)), rel=2e-3, abs=2e-3)
+
+
+def test_a_language_without_trusted_documents_is_judged(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("aeilmnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, "en", " ".join(rng.choice(vocab) for _ in range(90))) for i in range(100)]
+    rows += [(1000, "xx", " ".join(rng.choice("#*$%&|<>") + rng.choice(vocab) for _ in range(90))), (1001, None, "$ " + "too short")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in ppl.judge(df).collect()}
+    assert not got[1000].base_failed and not got[1000].trusted and not got[1000].kept and not got[1001].kept
+    assert all(got[i].kept for i in range(100))
+    # without any trusted document nothing is outside
+    assert ppl.judge(df.where("doc_id = 1000")).first().kept
+
+
 def test_slots_bound_the_model(spark):
     df = spark.createDataFrame([(1, "en", " ".join(f"w{i}" for i in range(400)))], "doc_id long, lang string, text string")
     model = ppl.fit(ppl.with_language(df), slots=64)
