@@ -53,6 +53,74 @@ def test_listing_does_not_change_tail_sums(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("listed", [10, 60, 150])
+def test_scores_do_not_depend_on_the_list(spark, listed):
+    """Words beyond the list have the classes, transitions and emissions they would have on it."""
+    df = spark.createDataFrame(language(300) + [(1000, "Unknown1 unknown2"), (1001, "v59 unknown3 n119 n118"), (1002, None)], "doc_id long, text string")
+    few, all_ = ({r.doc_id: r for r in brown.score(df, HELD(), listed=n, clustered=20, classes=4).collect()} for n in (listed, 5000))
+    assert few.keys() == all_.keys()
+    assert all(few[k].score == pytest.approx(all_[k].score, abs=1e-6) and few[k].n_known == all_[k].n_known for k in all_)
+
+
+@pytest.mark.parametrize("listed", [12, 5000])
+def test_neighbours_equal_plain_counts(spark, listed):
+    from marketframe.llm.storage import Shelf
+    texts_ = [t for _, t in language(40)] + ["", "rare1 rare2"]
+    df = spark.createDataFrame([(t,) for t in texts_], "text string").repartition(5)
+    c = Counter(x for t in texts_ for x in t.lower().split())
+    seen = {}
+    stop = RuntimeError()
+
+    def look(table, words, classes, sweeps=0):
+        seen["n"] = Counter()
+        for r in table.collect():
+            body = np.frombuffer(bytes(r.entries), dtype=np.uint32).reshape(-1, 2).astype(int)
+            for key, n in body.tolist():
+                seen["n"][(r.w, key >> 1) if key % 2 == 0 else (key >> 1, r.w), key % 2, r.w] += n
+        seen["words"] = words
+        raise stop
+    before, brown.cluster = brown.cluster, look
+    try:
+        with pytest.raises(RuntimeError):
+            brown.fit(df, Shelf(spark, "test"), listed=listed, clustered=10, classes=3)
+    finally:
+        brown.cluster = before
+    words = seen["words"]
+    assert words.known == sum(n > 1 for n in c.values()) and words.whole == (listed == 5000)
+    pairs = Counter()
+    for t in texts_:
+        ids = [None, *(x if c[x] > 1 else "tail" for x in t.lower().split()), None]
+        pairs.update(zip(ids[:-1], ids[1:]))
+    # every pair stands under each of its words beyond the head, or under the left one; the numbers of words may differ, their counts not
+    left = Counter(sorted(n for (p, side, w), n in seen["n"].items() if side == 0 or not words.moving(np.array([p[0]]))[0]))
+    assert left == Counter(sorted(pairs.values()))
+    assert sum(n for (p, side, w), n in seen["n"].items() if p == (words.end, words.end)) == pairs[None, None]
+    assert sum(n for (p, side, w), n in seen["n"].items() if side == 0 and p[0] == words.tail) + sum(
+        n for (p, side, w), n in seen["n"].items() if side == 1 and p[0] == words.tail) == sum(n for (a, _), n in pairs.items() if a == "tail")
+
+
+def test_every_known_word_is_clustered(spark):
+    """Words beyond the head find the classes of their kind, and score nearly as well as if all were in the head."""
+    from marketframe.llm.storage import Shelf
+    df = spark.createDataFrame(language(1500), "doc_id long, text string")
+    model, _ = brown.fit(df, Shelf(spark, "test"), clustered=30, classes=8)
+    words = model.words
+    names = [f"{k}{i}" for k, m in (("a", 40), ("n", 120), ("v", 60)) for i in range(m)]
+    chunk = next(brown.texts.chunks(brown.pa.array([" ".join(names)])))
+    chunk.words(lower=True)
+    at = words.find(chunk.hash)
+    ids = words.array.values[0][at]
+    assert (at >= 0).all() and (ids >= 30).sum() > 150
+    cls = model.label[ids]
+    kinds = [Counter(cls[[n[0] == k for n in names]].tolist()) for k in "anv"]
+    assert all(c < 8 for k in kinds for c in k)
+    assert not any(set(a) & set(b) for i, a in enumerate(kinds) for b in kinds[:i])
+    every, counts = words.array.values
+    assert np.array_equal(np.bincount(model.label[every], weights=counts, minlength=10)[:8], model.total[:8]) and model.total.sum() == words.tokens
+    few, many = (brown.score(df, HELD(), clustered=n, classes=8).where("held_out").agg(F.sum("score")).first()[0] for n in (30, 300))
+    assert few > 1.01 * many
+
+
 def test_classes_beat_single_words_on_held_out_texts(spark):
     df = spark.createDataFrame(language(1500), "doc_id long, text string")
     r = brown.score(df, HELD(), clustered=200, classes=8).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
